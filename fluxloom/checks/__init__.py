@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("periods",)
+FAMILIES = ("periods", "joins", "sequence", "qc")
 
 
 def load_checks():

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.joins import complete_grid
 from . import standin
 
 
@@ -23,6 +24,16 @@ class Tables:
     def tower(self) -> DataFrame:
         return standin.tower(self.read("events"))
 
+    def slots(self) -> DataFrame:
+        """Hourly means of the tower samples; an hour without samples has no row."""
+        us = F.col("us") - F.pmod(F.col("us"), F.lit(standin.HOUR_US))
+        return self.tower().withColumn("us", us).groupBy("site", "height", "us").agg(
+            *[F.avg(c).alias(c) for c in ("u", "w", "ts_c", "h2o")])
+
+    def grid(self) -> DataFrame:
+        """The hourly means on their complete grid."""
+        return complete_grid(self.slots(), standin.KEYS, "us", standin.HOUR_US)
+
     def windows(self) -> DataFrame:
         return standin.windows(self.read("embeddings"))
 

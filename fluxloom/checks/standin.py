@@ -149,5 +149,12 @@ _PRODUCTS = """prod AS (
    CAST(o_custkey % 3 AS INTEGER) AS qc, (o_custkey % 101) / 100.0::DOUBLE AS rssi
  FROM orders)"""
 
+_GRID = _TOWER + f""",
+slots AS (SELECT site, height, us - us % {HOUR_US} AS us, AVG(u) AS u, AVG(w) AS w, AVG(ts_c) AS ts_c,
+   AVG(h2o) AS h2o FROM tower GROUP BY 1, 2, 3),
+grid AS (SELECT g.site, g.height, g.us, s.u, s.w, s.ts_c, s.h2o FROM (
+     SELECT site, height, UNNEST(generate_series(MIN(us), MAX(us), {HOUR_US})) AS us FROM slots GROUP BY 1, 2) g
+   LEFT JOIN slots s ON g.site = s.site AND g.height = s.height AND g.us = s.us)"""
+
 # longer tokens first: replacement is textual
-SQL = {"tower": _TOWER, "prime": _PRIMES, "win": _WINDOWS, "imu": _PLATFORM, "prod": _PRODUCTS}
+SQL = {"grid": _GRID, "tower": _TOWER, "prime": _PRIMES, "win": _WINDOWS, "imu": _PLATFORM, "prod": _PRODUCTS}
