@@ -30,7 +30,8 @@ def direction_speed(u: Column, v: Column, bearing: Column) -> tuple[Column, Colu
 def compass_label(bearing: Column) -> Column:
     """16-point label, half-even rounding; empty for a missing bearing."""
     point = F.pmod(F.bround(F.pmod(bearing, F.lit(360.0)) / 22.5).cast("int"), F.lit(16))
-    return F.coalesce(F.element_at(F.array(*[F.lit(c) for c in COMPASS]), point + 1), F.lit(""))
+    label = F.element_at(F.array(*[F.lit(c) for c in COMPASS]), point + 1)
+    return F.when(bearing.isNull(), "").otherwise(label)
 
 
 def angular_separation(d: Column, centre: Column) -> Column:
