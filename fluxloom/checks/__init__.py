@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("periods", "joins", "sequence", "qc", "rotation", "thermo", "flux")
+FAMILIES = ("periods", "joins", "sequence", "qc", "rotation", "thermo", "flux", "lags")
 
 
 def load_checks():

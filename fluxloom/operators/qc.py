@@ -206,16 +206,9 @@ VOIDED_BY = {
 def blank(df: DataFrame, flags: dict[str, str] | None = None) -> DataFrame:
     """Void the outputs whose flags are raised; *flags* maps output to flag columns."""
     rules = VOIDED_BY if flags is None else flags
-    out = []
-    for c in df.columns:
-        if c in rules:
-            raised = F.lit(False)
-            for f in rules[c].split():
-                raised = raised | F.coalesce(F.col(f), F.lit(False))
-            out.append(F.when(~raised, F.col(c)).alias(c))
-        else:
-            out.append(F.col(c))
-    return df.select(*out)
+    return df.selectExpr(*[
+        f"case when not ({' or '.join(f'coalesce({f}, false)' for f in rules[c].split())}) then `{c}` end as `{c}`"
+        if c in rules else f"`{c}`" for c in df.columns])
 
 
 def planar_fit_admission(df: DataFrame, flags, speed: Column, lo: float = 0.5, hi: float = 20.0,

@@ -38,9 +38,15 @@ def exact_quantiles(df: DataFrame, keys, x: str, probs: dict[str, float], bucket
     return g.select(*keys, *out)
 
 
-def median_exceeds(x: Column, limit: float) -> Column:
-    """Aggregate: whether the median lies above *limit*, from counts and the two middle values."""
-    above = F.count(F.when(x > limit, x))
-    below = F.count(F.when(x <= limit, x))
-    middle = (F.max(F.when(x <= limit, x)) + F.min(F.when(x > limit, x))) / 2.0
-    return F.when(above > below, True).when(above < below, False).otherwise(F.coalesce(middle > limit, F.lit(False)))
+def median_exceeds(x: Column, limit: Column | float, over=None) -> Column:
+    """Whether the median lies above *limit*, from counts and the two middle values.
+
+    An aggregate, or a window expression with *over*. A column *limit* must be
+    constant within the group.
+    """
+    agg = (lambda a: a) if over is None else (lambda a: a.over(over))
+    above = agg(F.count(F.when(x > limit, x)))
+    below = agg(F.count(F.when(x <= limit, x)))
+    middle = (agg(F.max(F.when(x <= limit, x))) + agg(F.min(F.when(x > limit, x)))) / 2.0
+    tie = middle > (limit if over is not None or not isinstance(limit, Column) else F.max(limit))
+    return F.when(above > below, True).when(above < below, False).otherwise(F.coalesce(tie, F.lit(False)))

@@ -30,7 +30,7 @@ def pack(df: DataFrame, keys, slot: str, cols) -> DataFrame:
     """
     one = df.groupBy(*keys, slot).agg(*[F.avg(c).alias(c) for c in cols])
     rows = one.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(slot, *cols))).alias("_r"))
-    return rows.select(*keys, *[F.transform("_r", lambda r, c=c: r[c]).alias(c) for c in cols])
+    return rows.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
 def unpack(df: DataFrame, keys, cols, slot: str = "i") -> DataFrame:
@@ -48,7 +48,8 @@ def array_mean(x: Column) -> Column:
 def demeaned(df: DataFrame, cols) -> DataFrame:
     """Packed windows with each signal about its own mean."""
     out = df.withColumns({f"_m_{c}": array_mean(F.col(c)) for c in cols})
-    out = out.withColumns({c: F.transform(c, lambda a, c=c: a - F.col(f"_m_{c}")) for c in cols})
+    minus = lambda m: lambda a: a - m
+    out = out.withColumns({c: F.transform(c, minus(F.col(f"_m_{c}"))) for c in cols})
     return out.drop(*[f"_m_{c}" for c in cols])
 
 

@@ -10,15 +10,15 @@ perturbations come from the period means without a rotated pass.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import flags as qf, stability, thermo
 from ..functions.wind import planar_fit_rotate, slope_angles, wrap360, yaw_rotate
-from ..operators.moments import efficiency_columns, transport_efficiency
 from ..operators.qc import blank, frame_flags
-from ..operators.quantiles import exact_quantiles
+from ..operators.quantiles import median_exceeds
 from ..operators.rotation import planar_fit
 
 KEY = ["site", "height", "period_us"]
@@ -74,15 +74,19 @@ def reference_state(state: DataFrame, opts: FluxOptions, slow: DataFrame | None
     atmosphere. Humidity comes from *slow* (columns t_k, rh), else from the
     analyser, else the default; a sonic temperature is reduced to air.
     """
-    low = state.groupBy("site").agg(F.min("height").alias("z_ref"))
-    ref = state.join(low, "site").filter(F.col("height") == F.col("z_ref")).select(
-        "site", "period_us", "z_ref", F.col("a_p_kpa").alias("p_raw"), F.col("a_ts_c").alias("ts_mean"),
-        (F.col("a_h2o") / 1000.0).alias("rho_v_raw"))
-    median = exact_quantiles(ref, ["site"], "p_raw", {"p_median": 0.5})
-    ref = ref.join(median, "site", "left")
-    p_std = thermo.standard_pressure(F.col("z_ref") + opts.elevation)
-    usable = F.abs((F.col("p_median") - p_std) / p_std) < 0.05
-    ref = ref.withColumn("P_kPa", F.when(usable, F.coalesce("p_raw", p_std)).otherwise(p_std))
+    lowest = state.groupBy("site", "period_us").agg(
+        F.min("height").alias("z_low"),
+        F.min_by(F.struct("a_p_kpa", "a_ts_c", "a_h2o"), "height").alias("_r"))
+    site = W.partitionBy("site")
+    ref = lowest.select("site", "period_us", "_r", "z_low", F.min("z_low").over(site).alias("z_ref"))
+    # a period without samples at the reference height has no reference sensor
+    here = lambda c: F.when(F.col("z_low") == F.col("z_ref"), F.col("_r")[c])
+    ref = ref.select("site", "period_us", "z_ref", here("a_p_kpa").alias("p_raw"), here("a_ts_c").alias("ts_mean"),
+                     (here("a_h2o") / 1000.0).alias("rho_v_raw"),
+                     thermo.standard_pressure(F.col("z_ref") + opts.elevation).alias("p_std"))
+    usable = (median_exceeds(F.col("p_raw"), 0.95 * F.col("p_std"), site)
+              & ~median_exceeds(F.col("p_raw"), 1.05 * F.col("p_std"), site))
+    ref = ref.withColumn("P_kPa", F.when(usable, F.coalesce("p_raw", "p_std")).otherwise(F.col("p_std")))
     sonic_k = F.col("ts_mean") + 273.15
     if slow is None:
         t, q_slow, is_sonic = sonic_k, F.lit(None).cast("double"), F.lit(True)
@@ -166,58 +170,115 @@ SKEWED = {"u_skew_pf": "ur", "v_skew_pf": "vr", "w_skew_pf": "wr", "theta_v_skew
 STEADY = {"uw": ("ur", "wr"), "vw": ("vr", "wr"), "wt": ("wr", "tp"), "wh": ("wr", "hw"), "wc": ("wr", "cw")}
 
 
-def _expr(product: str) -> Column:
-    out = None
-    for f in product.split("*"):
-        out = F.col(f) if out is None else out * F.col(f)
-    return out
+# series each factor needs; x is the complete wind vector
+_NEEDS = {"up": "u", "vp": "v", "wp": "w", "ur": "x", "vr": "x", "wr": "x", "ut": "x", "vt": "x", "tp": "t", "fp": "f",
+          "hp": "h", "cp": "c", "ta": "th", "hw": "th", "xc": "th", "cw": "thc", "ppm": "tc"}
+_PROBE = {"u": "up", "v": "vp", "w": "wp", "x": "ur", "t": "tp", "f": "fp", "h": "hp", "c": "cp"}
 
 
-def _tag(product: str) -> str:
-    return product.replace("*", "_")
+class Sums:
+    """The distinct sums and counts the products need, each named by its factors and mask.
 
+    A sum over samples where further series are present carries them as its
+    mask, so equal sums of different statistics are computed once.
+    """
 
-def sub_period_sums(p: DataFrame, opts: FluxOptions) -> DataFrame:
-    """Mergeable sums per (period, sub-period): partial aggregation keeps the shuffle to period rows."""
-    sub_us = opts.period_us // opts.n_sub
-    sub = F.least(F.expr(f"(us - 1 - (period_us - {opts.period_us}L)) div {sub_us}L"), F.lit(opts.n_sub - 1)).alias("sub")
-    aggs = []
-    for q in PRODUCTS:
-        aggs += [F.sum(_expr(q)).alias(f"s_{_tag(q)}"), F.count(_expr(q)).alias(f"n_{_tag(q)}")]
+    def __init__(self):
+        self.exprs: dict[str, str] = {}
+
+    def need(self, *products: str) -> str:
+        return "".join(sorted({m for p in products for f in p.split("*") for m in _NEEDS[f]}))
+
+    def count(self, mask: str) -> str:
+        name = f"n_{mask}"
+        test = " and ".join(f"{_PROBE[m]} is not null" for m in mask)
+        self.exprs[name] = f"count(case when {test} then 1 end)"
+        return name
+
+    def total(self, product: str, mask: str = "") -> str:
+        factors = sorted(product.split("*"))
+        extra = "".join(m for m in mask if m not in self.need(product))
+        name = f"s_{'_'.join(factors)}" + (f"__{extra}" if extra else "")
+        value = " * ".join(factors)
+        if extra:
+            test = " and ".join(f"{_PROBE[m]} is not null" for m in extra)
+            value = f"case when {test} then {value} end"
+        self.exprs[name] = f"sum({value})"
+        return name
+
+    def mean(self, product: str, mask: str = "") -> str:
+        mask = "".join(sorted(set(mask) | set(self.need(product))))
+        return f"try_divide({self.total(product, mask)}, {self.count(mask)})"
+
+
+def _mean_exprs(sums: Sums) -> dict[str, str]:
+    return {"M_" + q.replace("*", "_"): sums.mean(q) for q in PRODUCTS}
+
+
+def _correlation_exprs(sums: Sums) -> dict[str, str]:
+    out = {}
     for name, (a, b) in CORRELATED.items():
-        x, y = _expr(a), _expr(b)
-        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-        aggs += [F.sum(x).alias(f"cx_{name}"), F.sum(y).alias(f"cy_{name}"), F.sum(x * x).alias(f"cxx_{name}"),
-                 F.sum(y * y).alias(f"cyy_{name}"), F.sum(x * y).alias(f"cxy_{name}"), F.count(x).alias(f"cn_{name}")]
-    for name, c in EFFICIENT.items():
-        aggs += transport_efficiency(F.col("wr"), F.col(c), f"e_{name}")
+        m = sums.need(a, b)
+        n, sx, sy = sums.count(m), sums.total(a, m), sums.total(b, m)
+        vx, vy = (f"({sums.total(f'{q}*{q}', m)} - try_divide({t} * {t}, {n}))" for q, t in ((a, sx), (b, sy)))
+        cov = f"({sums.total(f'{a}*{b}', m)} - try_divide({sx} * {sy}, {n}))"
+        out[f"{name}_corr_pf"] = f"case when {vx} > 0 and {vy} > 0 then {cov} / sqrt({vx} * {vy}) end"
+    return out
+
+
+def _skewness_exprs(sums: Sums) -> dict[str, str]:
+    out = {}
     for name, c in SKEWED.items():
-        x = F.col(c)
-        aggs += [F.count(x).alias(f"k0_{name}"), F.sum(x).alias(f"k1_{name}"), F.sum(x * x).alias(f"k2_{name}"),
-                 F.sum(x * x * x).alias(f"k3_{name}")]
-    series = sorted({c for pair in STEADY.values() for c in pair})
-    aggs += [F.sum(c).alias(f"ts_{c}") for c in series] + [F.count(c).alias(f"tn_{c}") for c in series]
-    for name, (a, b) in STEADY.items():
-        x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
-        aggs += [F.sum(x * y).alias(f"tp_{name}"), F.count(x).alias(f"tk_{name}"), F.sum(x).alias(f"tx_{name}"),
-                 F.sum(y).alias(f"ty_{name}")]
-    return p.groupBy(*KEY, sub).agg(*aggs)
+        n, mu = sums.count(sums.need(c)), sums.mean(c)
+        m2 = f"({sums.mean(f'{c}*{c}')} - {mu} * {mu})"
+        m3 = f"({sums.mean(f'{c}*{c}*{c}')} - 3 * {mu} * {sums.mean(f'{c}*{c}')} + 2 * {mu} * {mu} * {mu})"
+        out[name] = (f"case when {n} >= 3 and {m2} > 0 then {m3} / ({m2} * sqrt({m2})) * sqrt({n} * ({n} - 1.0D)) / ({n} - 2.0D) end")
+    return out
+
+
+def _efficiency_sums(sums: Sums) -> None:
+    for name, c in EFFICIENT.items():
+        p = f"wr * {c}"
+        sums.exprs[f"e_{name}_sum"], sums.exprs[f"e_{name}_n"] = f"sum({p})", f"count({p})"
+        for sign, s in (("pos", ">"), ("neg", "<")):
+            for side, w in (("up", ">"), ("dn", "<")):
+                hit = f"case when {p} {s} 0 and wr {w} 0 then {p} end"
+                sums.exprs[f"e_{name}_{sign}_{side}"], sums.exprs[f"e_{name}_k{sign}_{side}"] = f"sum({hit})", f"count({hit})"
 
 
-def _block_cov(name: str, a: str, b: str, pre: str = "") -> Column:
+def _block_cov(sums: Sums, a: str, b: str) -> str:
     """Covariance of a block about each series' own mean, from its sums."""
-    c = lambda s: F.col(pre + s)
-    n = c(f"tk_{name}")
-    mx, my = F.try_divide(c(f"ts_{a}"), c(f"tn_{a}")), F.try_divide(c(f"ts_{b}"), c(f"tn_{b}"))
-    return F.try_divide(c(f"tp_{name}"), n) - mx * F.try_divide(c(f"ty_{name}"), n) - my * F.try_divide(c(f"tx_{name}"), n) + mx * my
+    m = sums.need(a, b)
+    mx, my = sums.mean(a), sums.mean(b)
+    return (f"({sums.mean(f'{a}*{b}')} - {mx} * {sums.mean(b, m)} - {my} * {sums.mean(a, m)} + {mx} * {my})")
+
+
+def _all_sums() -> Sums:
+    sums = Sums()
+    for fn in (_mean_exprs, _correlation_exprs, _skewness_exprs, _efficiency_sums):
+        fn(sums)
+    for a, b in STEADY.values():
+        _block_cov(sums, a, b)
+    return sums
+
+
+def sub_period_sums(p: DataFrame, opts: FluxOptions) -> DataFrame:
+    """Mergeable sums per (period, sub-period): partial aggregation keeps the shuffle to period rows."""
+    sub_us = opts.period_us // opts.n_sub
+    sub = f"least((us - 1 - (period_us - {opts.period_us}L)) div {sub_us}L, {opts.n_sub - 1}L)"
+    return p.groupBy(*KEY, F.expr(sub).alias("sub")).agg(*[F.expr(e).alias(n) for n, e in _all_sums().exprs.items()])
 
 
 def period_sums(sub: DataFrame) -> DataFrame:
     """Period sums and the mean of the sub-period covariances."""
-    names = [c for c in sub.columns if c not in (*KEY, "sub")]
-    covs = [F.avg(F.when(F.col(f"tk_{n}") >= 3, _block_cov(n, a, b))).alias(f"sub_{n}") for n, (a, b) in STEADY.items()]
-    raw = [F.avg(F.try_divide(F.col(f"tp_{n}"), F.col(f"tk_{n}"))).alias(f"rawsub_{n}") for n in STEADY]
-    return sub.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in names], *covs, *raw)
+    sums = Sums()
+    aggs = {n: f"sum({n})" for n in sub.columns if n not in (*KEY, "sub")}
+    for name, (a, b) in STEADY.items():
+        cov = _block_cov(sums, a, b)
+        n = sums.count(sums.need(a, b))
+        aggs[f"sub_{name}"] = f"avg(case when {n} >= 3 then {cov} end)"
+        aggs[f"rawsub_{name}"] = f"avg({sums.mean(f'{a}*{b}')})"
+    return sub.groupBy(*KEY).agg(*[F.expr(e).alias(n) for n, e in aggs.items()])
 
 
 def flux_job(samples: DataFrame, opts: FluxOptions, fits: DataFrame | None = None, slow: DataFrame | None = None) -> DataFrame:
@@ -229,97 +290,71 @@ def flux_job(samples: DataFrame, opts: FluxOptions, fits: DataFrame | None = Non
 
 def products(df: DataFrame, opts: FluxOptions) -> DataFrame:
     """Product columns from the period sums and the period state; flags are not applied yet."""
-    m = lambda q: F.try_divide(F.col(f"s_{_tag(q)}"), F.col(f"n_{_tag(q)}"))
+    sums = Sums()
+    add = lambda d, exprs: d.selectExpr("*", *[f"{e} as {n}" for n, e in exprs.items()])
     c = F.col
-    root = lambda x: F.sqrt(F.greatest(x, F.lit(0.0)))
-    df = df.withColumns({f"M_{_tag(q)}": m(q) for q in PRODUCTS})
-    M = lambda q: F.col(f"M_{_tag(q)}")
-    sigma = thermo.M_DRY / thermo.M_VAPOUR
-    ratio = c("rho_v") / c("rho_d")
-    wpl = 1.0 + sigma * ratio
-    direction = wrap360(F.degrees(F.atan2(-c("a_v"), c("a_u"))) + opts.bearing)
-    a1, a2 = slope_angles(direction, opts.slope, opts.aspect)
-    import math
-
-    vertical = M("wr*tp") * math.cos(math.radians(opts.slope)) - M("ut*tp") * F.sin(F.radians(a1)) - M("vt*tp") * F.sin(F.radians(a2))
-    df = df.withColumns({
-        "direction": direction, "n_samples": c("n"),
-        "u_sigma_raw": root(M("up*up")), "v_sigma_raw": root(M("vp*vp")), "w_sigma_raw": root(M("wp*wp")),
-        "u_sigma_pf": root(M("ur*ur")), "v_sigma_pf": root(M("vr*vr")), "w_sigma_pf": root(M("wr*wr")),
-        "ts_sigma": root(M("tp*tp")), "theta_v_sigma": root(M("tp*tp")), "t_fw_sigma": root(M("fp*fp")),
-        "h2o_sigma": root(M("hp*hp")), "co2_sigma": root(M("cp*cp")) * 1e6,
-        "co2_wpl_sigma": root(M("cw*cw") - M("cw") * M("cw")) * 1e6,
-        "Tau_raw": stability.momentum_flux(M("up*wp"), M("vp*wp")), "Tau_pf": stability.momentum_flux(M("ur*wr"), M("vr*wr")),
-        "u_var_pf": M("ur*ur"), "v_var_pf": M("vr*vr"), "w_var_pf": M("wr*wr"), "u_v_cov_pf": M("ur*vr"),
-        "u_w_cov_pf": M("ur*wr"), "v_w_cov_pf": M("vr*wr"), "u_var_tilt": M("ut*ut"), "v_var_tilt": M("vt*vt"),
-        "w_var_tilt": M("wr*wr"), "u_v_cov_tilt": M("ut*vt"), "u_w_cov_tilt": M("ut*wr"), "v_w_cov_tilt": M("vt*wr"),
-        "TKE": 0.5 * (M("up*up") + M("vp*vp") + M("wp*wp")),
-        "TKE_transport_pf": 0.5 * (M("wr*ur*ur") + M("wr*vr*vr") + M("wr*wr*wr")), "u_w_transport_pf": M("wr*ur*wr"),
-        "w_theta_v_transport_pf": M("wr*tp*wr"), "ts_var_transport_pf": M("wr*tp*tp"), "w_h2o_transport_pf": M("wr*hp*wr"),
-        "w_h2o_wpl_transport_pf": M("wr*hw*wr"), "w_co2_transport_pf": M("wr*cp*wr"), "w_co2_wpl_transport_pf": M("wr*cw*wr"),
-        "u_theta_v_cov_snsp": M("ut*tp"), "v_theta_v_cov_snsp": M("vt*tp"), "w_theta_v_cov_snsp": M("wr*tp"),
-        "w_theta_v_cov_vertical": vertical,
-        "w_ts_cov_raw": M("wp*tp"), "w_theta_v_cov_pf": M("wr*tp"), "w_t_air_cov_raw": M("wp*ta"), "w_t_air_cov_pf": M("wr*ta"),
-        "w_theta_s_cov_raw": M("wp*tp"), "w_theta_s_cov_pf": M("wr*tp"), "w_t_fw_cov_raw": M("wp*fp"), "w_t_fw_cov_pf": M("wr*fp"),
-        "u_ts_cov_raw": M("up*tp"), "v_ts_cov_raw": M("vp*tp"), "u_ts_cov_pf": M("ur*tp"), "v_ts_cov_pf": M("vr*tp"),
-        "Lv": thermo.vaporisation_heat_j_per_g(c("T_K")),
-        "w_h2o_cov_raw": M("wp*hp"), "w_h2o_cov_pf": M("wr*hp"), "w_h2o_wpl_cov_pf": M("wr*hw"),
-        "w_q_wpl_cov_pf": wpl * (M("wr*hp") / 1e3 + c("rho_v") / c("T_K") * M("wr*ta")),
-        "w_co2_cov_raw": M("wp*cp"), "w_co2_cov_pf": M("wr*cp"), "w_co2_wpl_cov_pf": M("wr*cp") + M("wr*xc"),
-        "u_theta_v_cov_pf": M("ur*tp"), "u_h2o_cov_pf": M("ur*hp"), "u_h2o_wpl_cov_pf": M("ur*hw"), "u_co2_cov_pf": M("ur*cp"),
-        "u_co2_wpl_cov_pf": M("ur*cw"), "co2_mole_fraction": M("ppm"),
-    })
-    # the density terms use the flagged temperature flux, so a voided one voids them
-    df = df.withColumn("_heat", F.when(~(c("rot") | c("tsf") | c("h2of")), c("w_t_air_cov_pf")))
-    df = df.withColumns({
-        "L": stability.obukhov_length(F.when(~c("rot"), c("Tau_pf")), c("T_virt_K"), c("w_theta_v_cov_vertical")),
-        "ustar_pf": F.when(~c("rot"), stability.friction_velocity(c("Tau_pf"))),
-        "LE_wpl_raw": 1000.0 * c("Lv") * wpl * (c("w_h2o_cov_raw") / 1000.0 + c("rho_v") / c("T_K") * c("_heat")),
-        "LE_wpl_pf": 1000.0 * c("Lv") * wpl * (c("w_h2o_cov_pf") / 1000.0 + c("rho_v") / c("T_K") * c("_heat")),
-    })
-    evaporation = F.when(~(c("unrot") | c("h2of")), c("LE_wpl_pf")) / c("Lv") / 1000.0
-    rho_c = c("a_co2") / 1e6
-    oxygen = 0.23 * 0.0045 / 0.153 * c("rho_d") / c("T_K") * c("_heat") * 1000.0
-    zeta = c("height") / F.when(~(c("rot") | c("tsf")), c("L"))
-    df = df.withColumns({
-        "zeta": zeta, "theta_star": -c("w_theta_v_cov_pf") / c("ustar_pf"),
-        "q_star": -(c("w_h2o_cov_pf") / (c("rho_d") + c("rho_v"))) / c("ustar_pf"),
-        "psi_m": stability.psi_m(zeta, opts.stability_source), "psi_h": stability.psi_h(zeta, opts.stability_source),
-        "Fc_wpl_pf": c("w_co2_cov_pf") + sigma * rho_c / c("rho_d") * evaporation + wpl * rho_c / c("T_K") * c("_heat"),
+    df = add(df, _mean_exprs(sums))
+    wrap = f"degrees(atan2(-a_v, a_u)) + {opts.bearing}D"
+    df = add(df, {"direction": f"pmod({wrap}, 360D)", "n_samples": "n",
+                  "wpl": f"1 + {thermo.M_DRY / thermo.M_VAPOUR!r}D * rho_v / rho_d",
+                  "mu_c": f"{thermo.M_DRY / thermo.M_VAPOUR!r}D * (a_co2 / 1e6D) / rho_d"})
+    a1, a2 = slope_angles(c("direction"), opts.slope, opts.aspect)
+    df = df.withColumns({"_a1": F.sin(F.radians(a1)), "_a2": F.sin(F.radians(a2)), "Lv": thermo.vaporisation_heat_j_per_g(c("T_K"))})
+    root = lambda q: f"sqrt(greatest(M_{q}, 0D))"
+    df = add(df, {
+        "u_sigma_raw": root("up_up"), "v_sigma_raw": root("vp_vp"), "w_sigma_raw": root("wp_wp"), "u_sigma_pf": root("ur_ur"),
+        "v_sigma_pf": root("vr_vr"), "w_sigma_pf": root("wr_wr"), "ts_sigma": root("tp_tp"), "theta_v_sigma": root("tp_tp"),
+        "t_fw_sigma": root("fp_fp"), "h2o_sigma": root("hp_hp"), "co2_sigma": root("cp_cp") + " * 1e6D",
+        "co2_wpl_sigma": "sqrt(greatest(M_cw_cw - M_cw * M_cw, 0D)) * 1e6D",
+        "Tau_raw": "hypot(M_up_wp, M_vp_wp)", "Tau_pf": "hypot(M_ur_wr, M_vr_wr)",
+        "u_var_pf": "M_ur_ur", "v_var_pf": "M_vr_vr", "w_var_pf": "M_wr_wr", "u_v_cov_pf": "M_ur_vr", "u_w_cov_pf": "M_ur_wr",
+        "v_w_cov_pf": "M_vr_wr", "u_var_tilt": "M_ut_ut", "v_var_tilt": "M_vt_vt", "w_var_tilt": "M_wr_wr",
+        "u_v_cov_tilt": "M_ut_vt", "u_w_cov_tilt": "M_ut_wr", "v_w_cov_tilt": "M_vt_wr",
+        "TKE": "0.5D * (M_up_up + M_vp_vp + M_wp_wp)", "TKE_transport_pf": "0.5D * (M_wr_ur_ur + M_wr_vr_vr + M_wr_wr_wr)",
+        "u_w_transport_pf": "M_wr_ur_wr", "w_theta_v_transport_pf": "M_wr_tp_wr", "ts_var_transport_pf": "M_wr_tp_tp",
+        "w_h2o_transport_pf": "M_wr_hp_wr", "w_h2o_wpl_transport_pf": "M_wr_hw_wr", "w_co2_transport_pf": "M_wr_cp_wr",
+        "w_co2_wpl_transport_pf": "M_wr_cw_wr", "u_theta_v_cov_snsp": "M_ut_tp", "v_theta_v_cov_snsp": "M_vt_tp",
+        "w_theta_v_cov_snsp": "M_wr_tp",
+        "w_theta_v_cov_vertical": f"M_wr_tp * {math.cos(math.radians(opts.slope))!r}D - M_ut_tp * _a1 - M_vt_tp * _a2",
+        "w_ts_cov_raw": "M_wp_tp", "w_theta_v_cov_pf": "M_wr_tp", "w_t_air_cov_raw": "M_wp_ta", "w_t_air_cov_pf": "M_wr_ta",
+        "w_theta_s_cov_raw": "M_wp_tp", "w_theta_s_cov_pf": "M_wr_tp", "w_t_fw_cov_raw": "M_wp_fp", "w_t_fw_cov_pf": "M_wr_fp",
+        "u_ts_cov_raw": "M_up_tp", "v_ts_cov_raw": "M_vp_tp", "u_ts_cov_pf": "M_ur_tp", "v_ts_cov_pf": "M_vr_tp",
+        "w_h2o_cov_raw": "M_wp_hp", "w_h2o_cov_pf": "M_wr_hp", "w_h2o_wpl_cov_pf": "M_wr_hw",
+        "w_q_wpl_cov_pf": "wpl * (M_wr_hp / 1e3D + rho_v / T_K * M_wr_ta)",
+        "w_co2_cov_raw": "M_wp_cp", "w_co2_cov_pf": "M_wr_cp", "w_co2_wpl_cov_pf": "M_wr_cp + M_wr_xc",
+        "u_theta_v_cov_pf": "M_ur_tp", "u_h2o_cov_pf": "M_ur_hp", "u_h2o_wpl_cov_pf": "M_ur_hw", "u_co2_cov_pf": "M_ur_cp",
+        "u_co2_wpl_cov_pf": "M_ur_cw", "co2_mole_fraction": "M_ppm",
+        # the density terms use the flagged temperature flux, so a voided one voids them
+        "_heat": "case when not (rot or tsf or h2of) then M_wr_ta end", "_tau": "case when not rot then hypot(M_ur_wr, M_vr_wr) end",
     })
-    if opts.krypton:
-        df = df.withColumns({"LE_o2_raw": c("Lv") * (c("w_h2o_cov_raw") + oxygen), "LE_o2_pf": c("Lv") * (c("w_h2o_cov_pf") + oxygen)})
-    heat = c("rho_air") * c("cp_air")
-    void = lambda flag, x: F.when(~flag, x)
     df = df.withColumns({
-        "H_raw": heat * void(c("unrot") | c("tsf") | c("h2of"), c("w_t_air_cov_raw")), "H_pf": heat * c("_heat"),
-        "H_buoyancy_pf": heat * void(c("rot") | c("tsf"), c("w_theta_v_cov_pf")),
-    })
-    out = {}
-    for name in CORRELATED:
-        n = c(f"cn_{name}")
-        cov = c(f"cxy_{name}") - F.try_divide(c(f"cx_{name}") * c(f"cy_{name}"), n)
-        vx = c(f"cxx_{name}") - F.try_divide(c(f"cx_{name}") * c(f"cx_{name}"), n)
-        vy = c(f"cyy_{name}") - F.try_divide(c(f"cy_{name}") * c(f"cy_{name}"), n)
-        out[f"{name}_corr_pf"] = F.when((vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
+        "L": stability.obukhov_length(c("_tau"), c("T_virt_K"), c("w_theta_v_cov_vertical")),
+        "ustar_pf": stability.friction_velocity(c("_tau"))})
+    le = lambda e: f"1000D * Lv * wpl * ({e} / 1000D + rho_v / T_K * _heat)"
+    df = add(df, {"LE_wpl_raw": le("M_wp_hp"), "LE_wpl_pf": le("M_wr_hp"), "zeta": "height / case when not (rot or tsf) then L end"})
+    oxygen = f"{0.23 * 0.0045 / 0.153!r}D * rho_d / T_K * _heat * 1000D"
+    df = add(df, {
+        "theta_star": "-M_wr_tp / ustar_pf", "q_star": "-(M_wr_hp / (rho_d + rho_v)) / ustar_pf",
+        "Fc_wpl_pf": "M_wr_cp + mu_c * (case when not (unrot or h2of) then LE_wpl_pf end / Lv / 1000D) + wpl * (a_co2 / 1e6D) / T_K * _heat",
+        "LE_o2_raw": f"Lv * (M_wp_hp + {oxygen})", "LE_o2_pf": f"Lv * (M_wr_hp + {oxygen})",
+        "H_raw": "rho_air * cp_air * case when not (unrot or tsf or h2of) then M_wp_ta end", "H_pf": "rho_air * cp_air * _heat",
+        "H_buoyancy_pf": "rho_air * cp_air * case when not (rot or tsf) then M_wr_tp end"})
+    df = df.withColumns({"psi_m": stability.psi_m(c("zeta"), opts.stability_source), "psi_h": stability.psi_h(c("zeta"), opts.stability_source)})
+    shape = {**_correlation_exprs(sums), **_skewness_exprs(sums)}
     for name in EFFICIENT:
-        for stat, col in efficiency_columns(f"e_{name}").items():
-            out[f"{name}_{stat}_pf"] = col
-    for name in SKEWED:
-        n = c(f"k0_{name}")
-        mu = F.try_divide(c(f"k1_{name}"), n)
-        m2 = F.try_divide(c(f"k2_{name}"), n) - mu * mu
-        m3 = F.try_divide(c(f"k3_{name}"), n) - 3 * mu * F.try_divide(c(f"k2_{name}"), n) + 2 * mu * mu * mu
-        out[name] = F.when((n >= 3) & (m2 > 0), m3 / (m2 * F.sqrt(m2)) * F.sqrt(n * (n - 1.0)) / (n - 2.0))
-    df = df.withColumns(out)
+        e = lambda part: f"coalesce(e_{name}_{part}, 0)"
+        pick = lambda x, k="": (f"(case when e_{name}_sum > 0 then {e(f'{k}pos_{x}')} when e_{name}_sum < 0 then {e(f'{k}neg_{x}')} end)")
+        shape[f"{name}_eta_pf"] = f"try_divide(e_{name}_sum, {pick('up')} + {pick('dn')})"
+        shape[f"{name}_delta_flux_pf"] = f"try_divide({pick('up')} - {pick('dn')}, e_{name}_sum)"
+        shape[f"{name}_delta_time_pf"] = f"try_divide({pick('up', 'k')} - {pick('dn', 'k')}, e_{name}_n)"
     quality = quality_classes(df, opts)
-    df = df.withColumns(quality)
-    extra = ["L", "ustar_pf", "LE_wpl_raw", "LE_wpl_pf", "zeta", "theta_star", "q_star", "psi_m", "psi_h", "Fc_wpl_pf", "H_raw",
+    extra = ["Lv", "L", "ustar_pf", "LE_wpl_raw", "LE_wpl_pf", "zeta", "theta_star", "q_star", "psi_m", "psi_h", "Fc_wpl_pf", "H_raw",
              "H_pf", "H_buoyancy_pf", *(["LE_o2_raw", "LE_o2_pf"] if opts.krypton else [])]
     base = ["direction", "n_samples", "P_kPa", "T_K", "q_ref", "rho_d", "rho_v", "rho_air", "cp_air", "T_virt_K", "z_ref",
             "unrot", "rot", "tsf", "fwf", "h2of", "co2f"]
     keep = [x for x in df.columns if x in PRODUCT_NAMES]
-    return df.select(*KEY, *base, *keep, *extra, *out, *quality)
+    return df.select(*KEY, *base, *keep, *extra, *[F.expr(e).alias(n) for n, e in shape.items()],
+                     *[q.alias(n) for n, q in quality.items()])
 
 
 PRODUCT_NAMES = set("""u_sigma_raw v_sigma_raw w_sigma_raw u_sigma_pf v_sigma_pf w_sigma_pf ts_sigma theta_v_sigma t_fw_sigma
@@ -327,28 +362,27 @@ PRODUCT_NAMES = set("""u_sigma_raw v_sigma_raw w_sigma_raw u_sigma_pf v_sigma_pf
  v_var_tilt w_var_tilt u_v_cov_tilt u_w_cov_tilt v_w_cov_tilt TKE TKE_transport_pf u_w_transport_pf w_theta_v_transport_pf
  ts_var_transport_pf w_h2o_transport_pf w_h2o_wpl_transport_pf w_co2_transport_pf w_co2_wpl_transport_pf u_theta_v_cov_snsp
  v_theta_v_cov_snsp w_theta_v_cov_snsp w_theta_v_cov_vertical w_ts_cov_raw w_theta_v_cov_pf w_t_air_cov_raw w_t_air_cov_pf
- w_theta_s_cov_raw w_theta_s_cov_pf w_t_fw_cov_raw w_t_fw_cov_pf u_ts_cov_raw v_ts_cov_raw u_ts_cov_pf v_ts_cov_pf Lv
+ w_theta_s_cov_raw w_theta_s_cov_pf w_t_fw_cov_raw w_t_fw_cov_pf u_ts_cov_raw v_ts_cov_raw u_ts_cov_pf v_ts_cov_pf
  w_h2o_cov_raw w_h2o_cov_pf w_h2o_wpl_cov_pf w_q_wpl_cov_pf w_co2_cov_raw w_co2_cov_pf w_co2_wpl_cov_pf u_theta_v_cov_pf
  u_h2o_cov_pf u_h2o_wpl_cov_pf u_co2_cov_pf u_co2_wpl_cov_pf co2_mole_fraction""".split())
 
 
-def steady_state(df_col=F.col) -> dict[str, Column]:
+def steady_state() -> dict[str, Column]:
     """Percent deviation of the mean sub-period covariance, each about its own means."""
-    out = {}
+    sums, out = Sums(), {}
     for name, (a, b) in STEADY.items():
-        full = _block_cov(name, a, b)
-        out[name] = F.when(df_col(f"tk_{name}") >= 10, qf.deviation_percent(df_col(f"sub_{name}"), full))
+        n = F.col(sums.count(sums.need(a, b)))
+        out[name] = F.when(n >= 10, qf.deviation_percent(F.col(f"sub_{name}"), F.expr(_block_cov(sums, a, b))))
     return out
 
 
 def quality_classes(df: DataFrame, opts: FluxOptions) -> dict[str, Column]:
     """Eight classes (steady state with and without the similarity test) and four of the second family."""
-    c = F.col
+    c, sums = F.col, Sums()
     ss = steady_state()
-    n = c("n_wr_wr")
+    n = c("n_x")
     sigma_w = F.when(n > 1, F.sqrt(F.greatest(c("s_wr_wr"), F.lit(0.0)) / (n - 1.0)))
-    l_clean = F.when(~(c("rot") | c("tsf")), c("L"))
-    zeta = F.greatest(c("height") - opts.displacement, F.lit(0.1)) / l_clean
+    zeta = F.greatest(c("height") - opts.displacement, F.lit(0.1)) / F.when(~(c("rot") | c("tsf")), c("L"))
     above = stability.sigma_w_above_canopy(zeta, c("ustar_pf"), opts.latitude)
     model = above
     if opts.canopy is not None:
@@ -356,9 +390,9 @@ def quality_classes(df: DataFrame, opts: FluxOptions) -> dict[str, Column]:
     itc = stability.itc_deviation(sigma_w, c("ustar_pf"), model)
     itc2 = stability.itc_deviation(sigma_w, c("ustar_pf"), qf.itc_cubic_root_model(zeta))
     simple = {}
-    for name in STEADY:
-        full = F.try_divide(c(f"tp_{name}"), c(f"tk_{name}"))
-        simple[name] = F.when(c(f"tk_{name}") >= 10, qf.deviation_percent(c(f"rawsub_{name}"), full))
+    for name, (a, b) in STEADY.items():
+        full = F.expr(sums.mean(f"{a}*{b}"))
+        simple[name] = F.when(c(sums.count(sums.need(a, b))) >= 10, qf.deviation_percent(c(f"rawsub_{name}"), full))
     rows = {"Tau": (("uw", "vw"), ("rot",)), "H": (("wt",), ("rot", "tsf")), "LE": (("wh",), ("rot", "h2of")),
             "Fc": (("wc",), ("rot", "co2f"))}
     out = {}
