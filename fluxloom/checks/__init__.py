@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("periods", "joins", "sequence", "qc", "rotation", "thermo", "flux", "lags", "spectral", "coherent")
+FAMILIES = ("periods", "joins", "sequence", "qc", "rotation", "thermo", "flux", "lags", "spectral", "coherent", "motion", "compare")
 
 
 def load_checks():
