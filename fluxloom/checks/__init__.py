@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("periods", "joins", "sequence", "qc", "rotation", "thermo", "flux", "lags", "spectral", "coherent", "motion", "compare")
+FAMILIES = ("periods", "joins", "sequence", "qc", "rotation", "thermo", "flux", "lags", "spectral", "coherent", "motion", "compare",
+            "sources")
 
 
 def load_checks():

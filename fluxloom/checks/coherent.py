@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import coherent, lags, windows
 from ..plans import coherent_job
 from .registry import check
-from .spectral import FS, N, V, _primes
+from .spectral import _BINS, _DFT, _MRD, FS, N, V, _primes
 
 HOLES = (0.0, 0.5, 1.0, 2.0)
 _HV = ", ".join(f"({h})" for h in HOLES)
@@ -231,14 +231,19 @@ def _(t):
 
 
 @check("f38_analysis_closure", "vec_id ok", "var_error og_error quad_error mrd_error",
-       """WITH @prime SELECT DISTINCT vec_id, 1 AS ok, 0.0::DOUBLE AS var_error, 0.0::DOUBLE AS og_error, 0.0::DOUBLE AS quad_error, 0.0::DOUBLE AS mrd_error FROM prime""", digits=7)
+       "WITH @prime, " + _DFT + ", " + _MRD + """, d AS (SELECT vec_id, VAR_POP(u) AS v, covar_pop(u, w) AS c FROM prime GROUP BY 1),
+         s AS (SELECT vec_id, SUM(sx) * 10 / 64 AS v, SUM(co) * 10 / 64 AS c FROM sp WHERE k > 0 GROUP BY 1), m AS (SELECT vec_id, SUM(d) AS c FROM h GROUP BY 1),
+         q AS (SELECT vec_id, SUM(u * w) FILTER (u * w > 0) / SUM(u * w) + SUM(u * w) FILTER (u * w < 0) / SUM(u * w) AS q FROM prime GROUP BY 1),
+         e AS (SELECT vec_id, abs(s.v - d.v) AS var_error, abs(s.c - d.c) AS og_error, abs(q - 1) AS quad_error, abs(m.c - d.c) AS mrd_error
+           FROM d JOIN s USING (vec_id) JOIN m USING (vec_id) JOIN q USING (vec_id))
+         SELECT *, CAST(greatest(var_error, og_error, quad_error, mrd_error) < 1e-6 AS INTEGER) AS ok FROM e""", digits=7)
 def _(t):
     return coherent_job.closure_checks(_primes(t), V, "u", "w", FS, N, 6)
 
 
 @check("x26_cross_record_medians", "label bin", "median_sx n",
        """WITH @prime, l AS (SELECT DISTINCT vec_id, label FROM prime),
-       """ + __import__("fluxloom.checks.spectral", fromlist=["_DFT"])._DFT + ", " + __import__("fluxloom.checks.spectral", fromlist=["_BINS"])._BINS + """,
+       """ + _DFT + ", " + _BINS + """,
          v AS (SELECT vec_id, VAR_POP(u) AS vu FROM prime GROUP BY 1)
          SELECT label, bin, MEDIAN(sx * f / vu) AS median_sx, COUNT(*) AS n FROM bn JOIN l USING (vec_id) JOIN v USING (vec_id) GROUP BY 1, 2""")
 def _(t):
