@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.flux_job import (CORRELATED, EFFICIENT, PRODUCTS, SKEWED, STEADY, FluxOptions, flux_job, period_state, reference_state,
                               primes, full_state)
+from ..session import spread
 from .registry import check
 from .rotation import _fit
 from .standin import DAY_US, PERIOD
@@ -128,7 +129,7 @@ def _sel(names, extra=""):
 
 
 def _job(t):
-    return flux_job(t.tower(), OPTS)
+    return flux_job(spread(t.tower(), "event_id"), OPTS)
 
 
 GROUPS = {

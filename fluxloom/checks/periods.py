@@ -202,8 +202,8 @@ def _(t):
 
 
 @check("f16_ejection_sweep_asymmetry", P, "delta_flux delta_time",
-       f"""{_EFF} SELECT site, height, period_us, ej / total - sw / total AS delta_flux,
-         kej / n::DOUBLE - ksw / n::DOUBLE AS delta_time FROM g""")
+       f"""{_EFF} SELECT site, height, period_us, CASE WHEN total <> 0 THEN ej / total - sw / total END AS delta_flux,
+         CASE WHEN total <> 0 THEN kej / n::DOUBLE - ksw / n::DOUBLE END AS delta_time FROM g""")
 def _(t):
     return _efficiency(t)
 

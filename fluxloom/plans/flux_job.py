@@ -20,6 +20,7 @@ from ..functions.wind import planar_fit_rotate, slope_angles, wrap360, yaw_rotat
 from ..operators.qc import blank, frame_flags
 from ..operators.quantiles import median_exceeds
 from ..operators.rotation import planar_fit
+from ..session import cut_lineage
 
 KEY = ["site", "height", "period_us"]
 
@@ -283,7 +284,8 @@ def period_sums(sub: DataFrame) -> DataFrame:
 
 def flux_job(samples: DataFrame, opts: FluxOptions, fits: DataFrame | None = None, slow: DataFrame | None = None) -> DataFrame:
     """All product groups; *samples* carry site, height, us, period_us and the channels."""
-    state = full_state(samples, opts, fits, slow)
+    # the state is period-sized and read twice; a written table is computed once and survives lost executors
+    state = cut_lineage(full_state(samples, opts, fits, slow), "flux-state")
     sums = period_sums(sub_period_sums(primes(samples, state), opts))
     return blank(products(sums.join(state, KEY), opts))
 
