@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.joins import complete_grid
+from ..session import spread
 from . import standin
 
 
@@ -35,7 +36,7 @@ class Tables:
         return complete_grid(self.slots(), standin.KEYS, "us", standin.HOUR_US)
 
     def windows(self) -> DataFrame:
-        return standin.windows(self.read("embeddings"))
+        return standin.windows(spread(self.read("embeddings"), "vec_id"))
 
     def platform(self) -> DataFrame:
         return standin.platform(self.read("events"))

@@ -18,7 +18,7 @@ CHUNK = "_chunk"
 
 def with_chunk(df: DataFrame, order: str, chunk: int) -> DataFrame:
     """Add the chunk number of the integer order column."""
-    return df.withColumn(CHUNK, F.expr(f"floor({order} / {int(chunk)}L)").cast("long"))
+    return df.withColumn(CHUNK, F.expr(f"({order} - pmod({order}, {int(chunk)}L)) div {int(chunk)}L"))
 
 
 def _local(keys, order, ties=()):
@@ -39,12 +39,8 @@ def neighbours(df: DataFrame, keys, order: str, cols, chunk: int, ties=()) -> Da
     w = _local(keys, order, ties)
     marked = with_chunk(df, order, chunk)
     row = F.struct(order, *ties, *[c for c in cols if c not in (order, *ties)])
-    edge = (marked.groupBy(*keys, CHUNK)
-            .agg(F.min(row).alias("_first"), F.max(row).alias("_last"))
-            if _orderable(df, cols) else
-            marked.groupBy(*keys, CHUNK)
-            .agg(F.min_by(row, F.struct(order, *ties)).alias("_first"),
-                 F.max_by(row, F.struct(order, *ties)).alias("_last")))
+    at = F.struct(order, *ties)
+    edge = marked.groupBy(*keys, CHUNK).agg(F.min_by(row, at).alias("_first"), F.max_by(row, at).alias("_last"))
     sw = _summary_window(keys)
     edge = edge.select(*keys, CHUNK, F.lag("_last").over(sw).alias("_before"),
                        F.lead("_first").over(sw).alias("_after"))
@@ -61,10 +57,6 @@ def neighbours(df: DataFrame, keys, order: str, cols, chunk: int, ties=()) -> Da
     return out.drop("_before", "_after")
 
 
-def _orderable(df: DataFrame, cols) -> bool:
-    return not any(df.schema[c].dataType.typeName() == "map" for c in cols)
-
-
 def brackets(df: DataFrame, keys, order: str, cols, chunk: int, ties=()) -> DataFrame:
     """Add ``before_<c>`` and ``after_<c>``: struct (o, x) of the nearest valid sample.
 
