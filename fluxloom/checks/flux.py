@@ -39,7 +39,7 @@ j1 AS (SELECT t.us, t.u, t.v, t.w, t.ts_c, t.h2o, t.co2, t.fw, s1.*, CASE WHEN q
 j2 AS (SELECT *, (ts_c + 273.15) / (1 + 0.51 * qf) AS ta_k, AVG((ts_c + 273.15) / (1 + 0.51 * qf)) OVER (PARTITION BY site, height, period_us) AS tam,
   sqrt(b1 * b1 + b2 * b2 + 1) AS nrm FROM j1),
 j3 AS (SELECT *, -b1 / nrm AS p31, sqrt((b2 * b2 + 1)) / nrm AS ca, (b2 / nrm) / (sqrt(b2 * b2 + 1) / nrm) AS sb, (1 / nrm) / (sqrt(b2 * b2 + 1) / nrm) AS cb FROM j2),
-j4 AS (SELECT *, ca * (u - m_u) + p31 * sb * (v - m_v) - p31 * cb * (w - m_w) AS ut, cb * (v - m_v) + sb * (w - m_w) AS vt,
+j4 AS (SELECT *, ca * (u - m_u) + p31 * sb * (v - m_v) - p31 * cb * (w - m_w) AS ut, CASE WHEN u IS NOT NULL THEN cb * (v - m_v) + sb * (w - m_w) END AS vt,
   p31 * (u - m_u) - ca * sb * (v - m_v) + ca * cb * (w - m_w) AS wr, ca * m_u + p31 * sb * m_v - p31 * cb * (m_w - b0) AS yu, cb * m_v + sb * (m_w - b0) AS yv,
   u - a_u AS up, v - a_v AS vp, w - a_w AS wp, ts_c - a_ts AS tp, fw - a_f AS fp, h2o - a_h AS hp, (co2 - a_c) / 1e6 AS cp FROM j3),
 j5 AS (SELECT *, (yu * ut + yv * vt) / sqrt(yu * yu + yv * yv) AS ur, (yu * vt - yv * ut) / sqrt(yu * yu + yv * yv) AS vr,
@@ -98,7 +98,7 @@ _OUT = {
     "TKE": ("0.5 * (m_up_up + m_vp_vp + m_wp_wp)", "rot"),
     "TKE_transport_pf": ("0.5 * (m_wr_ur_ur + m_wr_vr_vr + m_wr_wr_wr)", "rot"), "u_w_transport_pf": ("m_wr_ur_wr", "rot"),
     "w_theta_v_transport_pf": ("m_wr_tp_wr", "rot"), "ts_var_transport_pf": ("m_wr_tp_tp", "rot OR tsf"),
-    "w_theta_v_cov_vertical": ("vert", ""), "u_theta_v_cov_snsp": ("m_ut_tp", ""),
+    "w_theta_v_cov_vertical": ("vert", ""), "u_theta_v_cov_snsp": ("m_ut_tp", ""), "v_theta_v_cov_snsp": ("m_vt_tp", ""),
     "w_ts_cov_raw": ("m_wp_tp", "unrot OR tsf"), "w_theta_v_cov_pf": ("m_wr_tp", "rot OR tsf"),
     "w_t_air_cov_raw": ("m_wp_ta", "unrot OR tsf OR h2of"), "w_t_air_cov_pf": ("m_wr_ta", "rot OR tsf OR h2of"),
     "w_t_fw_cov_raw": ("m_wp_fp", "unrot OR fwf"), "w_t_fw_cov_pf": ("m_wr_fp", "rot OR fwf"),

@@ -141,7 +141,7 @@ _PF = f"""{_MEANS}, fit AS ({_fit('site, height', 'md')}),
  r AS (SELECT t.event_id, t.site, t.height, t.period_us, t.u, t.v, t.w - b0 AS w0, -b1 / sqrt(b1 * b1 + b2 * b2 + 1) AS p31,
    -b2 / sqrt(b1 * b1 + b2 * b2 + 1) AS p32, 1 / sqrt(b1 * b1 + b2 * b2 + 1) AS p33 FROM tower t JOIN fit f ON t.site = f.site AND t.height = f.height),
  q AS (SELECT *, sqrt(p32 * p32 + p33 * p33) AS ca, p31 AS sa, -p32 / sqrt(p32 * p32 + p33 * p33) AS sb, p33 / sqrt(p32 * p32 + p33 * p33) AS cb FROM r),
- pf AS (SELECT event_id, site, height, period_us, ca * u + sa * sb * v - sa * cb * w0 AS u_r, cb * v + sb * w0 AS v_r, sa * u - ca * sb * v + ca * cb * w0 AS w_r FROM q)"""
+ pf AS (SELECT event_id, site, height, period_us, ca * u + sa * sb * v - sa * cb * w0 AS u_r, CASE WHEN u IS NOT NULL THEN cb * v + sb * w0 END AS v_r, sa * u - ca * sb * v + ca * cb * w0 AS w_r FROM q)"""
 
 
 @check("w04_planar_fit_application", "event_id", "u_r v_r w_r", f"{_PF} SELECT event_id, u_r, v_r, w_r FROM pf")

@@ -75,7 +75,8 @@ def planar_fit_rotate(u: Column, v: Column, w: Column, b0: Column, b1: Column, b
     # roll by beta about x first, then pitch by alpha about y
     v1 = cos_b * v + sin_b * (w - b0)
     w1 = -sin_b * v + cos_b * (w - b0)
-    return cos_a * u - sin_a * w1, v1, sin_a * u + cos_a * w1
+    # a sample lacking any component has no rotated wind
+    return cos_a * u - sin_a * w1, F.when(u.isNotNull(), v1), sin_a * u + cos_a * w1
 
 
 def yaw_rotate(u: Column, v: Column, mean_u: Column, mean_v: Column) -> tuple[Column, Column]:
