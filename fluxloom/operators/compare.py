@@ -11,6 +11,8 @@ from .quantiles import exact_quantiles
 def agreement(df: DataFrame, keys, a: str, b: str, ok_rel: float = 0.01, warn_rel: float = 0.05) -> DataFrame:
     """Counts, missing mismatches, bias, RMSE, absolute errors with quantiles, R2 and a status class of b against a."""
     keys = list(keys)
+    if not keys:
+        return agreement(df.withColumn("_all", F.lit(1)), ["_all"], a, b, ok_rel, warn_rel).drop("_all")
     x, y = F.col(a), F.col(b)
     err = F.when(x.isNotNull() & y.isNotNull(), y - x)
     d = df.withColumn("_e", err).withColumn("_ae", F.abs("_e"))
@@ -22,8 +24,7 @@ def agreement(df: DataFrame, keys, a: str, b: str, ok_rel: float = 0.01, warn_re
     q = exact_quantiles(d, keys, "_ae", {"p95_abs": 0.95, "p99_abs": 0.99})
     rel = F.try_divide("mean_abs", "_scale")
     status = F.when(rel <= ok_rel, "ok").when(rel <= warn_rel, "close").otherwise("differs")
-    out = (g.join(q, keys, "left") if keys else g.crossJoin(q))
-    return out.select(*keys, "n", "missing_mismatch", "bias", "rmse", "mean_abs", "max_abs", "p95_abs", "p99_abs", rel.alias("relative"),
+    return g.join(q, keys, "left").select(*keys, "n", "missing_mismatch", "bias", "rmse", "mean_abs", "max_abs", "p95_abs", "p99_abs", rel.alias("relative"),
                       (1.0 - F.try_divide("_mse", "_var")).alias("r2"), status.alias("status"))
 
 

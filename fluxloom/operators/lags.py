@@ -123,9 +123,11 @@ def sliding_bin_median(df: DataFrame, keys, x: str, y: str, width: float, step:
     from .quantiles import exact_quantiles
 
     keys = list(keys)
+    if not keys:
+        return sliding_bin_median(df.withColumn("_all", F.lit(1)), ["_all"], x, y, width, step, min_n).drop("_all")
     ok = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     span = ok.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_n)
-    j = ok.join(span, keys) if keys else ok.crossJoin(span)
+    j = ok.join(span, keys)
     pos = (F.col(x) - F.col("_lo")) / step
     reach = width / 2 / step
     first, last = F.greatest(F.ceil(pos - reach - 1e-9), F.lit(0)), F.least(F.floor(pos + reach + 1e-9), F.ceil((F.col("_hi") - F.col("_lo")) / step))

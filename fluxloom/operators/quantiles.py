@@ -13,11 +13,13 @@ def exact_quantiles(df: DataFrame, keys, x: str, probs: dict[str, float], bucket
     neither a large group nor a frequent value meets one task whole.
     """
     keys = list(keys)
+    if not keys:
+        return exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], x, probs, buckets).drop("_all")
     counts = (df.filter(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("_x"))
               .agg(F.count(F.lit(1)).alias("_k")))
     span = counts.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_k").alias("_n"))
     pos = F.coalesce(F.try_divide(F.col("_x") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    placed = (counts.join(span, keys) if keys else counts.crossJoin(span)).withColumn(
+    placed = counts.join(span, keys).withColumn(
         "_b", F.least(F.floor(pos * buckets), F.lit(buckets - 1)))
     sums = placed.groupBy(*keys, "_b").agg(F.sum("_k").alias("_s"))
     before = F.sum("_s").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
