@@ -29,12 +29,27 @@ def build_session(master: str | None = None, app: str = "fluxloom", **conf) -> S
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder of the cluster for cut lineage; a local one only where none is named."""
+    """The shared folder named in `spark.checkpoint.dir`.
+
+    A local session without one uses a temporary folder of this process; on a
+    cluster that would split tables over machines, so there it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = os.path.join(tempfile.gettempdir(), "fluxloom-scratch")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _LOCAL.setdefault("root", tempfile.mkdtemp(prefix="fluxloom-scratch-"))
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+_LOCAL: dict[str, str] = {}
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Delete all tables that this application has cut; call it when no result based on them is needed any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
