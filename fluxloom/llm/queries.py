@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, tokens
+from . import context_tree, decontaminate, pii, secrets, tokens
 from .oracles import ORACLES
 
 
@@ -18,10 +18,22 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_spans(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = decontaminate.matched_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return spans.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op9_decontamination)}
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.corpus_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_token_counts, op6_secret_scans, op8_personal_data, op9_decontamination, op10_lm_scores)}
