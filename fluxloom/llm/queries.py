@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import context_tree, decontaminate, pii, secrets, tokens
+from . import context_tree, decontaminate, pii, secrets, tokens, warc
 from .oracles import ORACLES
 
 
@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive_and_read(table(spark, sf_dir, "pages"), with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,4 +41,4 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.corpus_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op6_secret_scans, op8_personal_data, op9_decontamination, op10_lm_scores)}
+QUERIES = {f.__name__: f for f in (op1_warc, op4_token_counts, op6_secret_scans, op8_personal_data, op9_decontamination, op10_lm_scores)}
