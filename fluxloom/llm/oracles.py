@@ -25,7 +25,7 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 m AS (SELECT html, max(page_id) AS last FROM p GROUP BY 1),
 h AS (SELECT page_id, last, strlen(html) AS n, upper(sha1(html)) AS x FROM p JOIN m USING (html))
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
-       list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+       list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
            (CAST('0x' || substr(x, 1 + 5 * CAST(floor(i / 4) AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT), 1)), 'string_agg', '') AS payload_digest,
        CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
