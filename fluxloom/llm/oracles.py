@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .quality import BOILERPLATE
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP9 = f"""
@@ -32,4 +34,32 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM h
 """
 
-ORACLES = {"op1_warc": OP1, "op9_decontamination": OP9}
+_WORD = "[^\\x20\\x09-\\x0D]+"
+_BAD_LINE = f"""(20 * (length(l) - length(regexp_replace(l, '[#*$%&|<>]', '', 'g'))) > length(l)
+  OR 5 * len(regexp_extract_all(l, '[!?][!?]+')) > len(regexp_extract_all(l, '{_WORD}'))
+  OR (NOT regexp_matches(l, '\\p{{Ll}}') AND regexp_matches(l, '\\p{{Lu}}.*\\p{{Lu}}.*\\p{{Lu}}') AND len(regexp_extract_all(l, '{_WORD}')) >= 5)
+  OR (len(regexp_extract_all(l, ' [|»›·•>/] ')) >= 3 AND 3 * len(regexp_extract_all(l, ' [|»›·•>/] ')) >= len(regexp_extract_all(l, '{_WORD}')))
+  OR (len(string_split_regex(l, '[ \\x09-\\x0D]+')) >= 6 AND 3 * len(list_filter(list_zip(string_split_regex(l, '[ \\x09-\\x0D]+')[2:],
+      string_split_regex(l, '[ \\x09-\\x0D]+')[:-2]), lambda z: z[1] = z[2])) >= len(string_split_regex(l, '[ \\x09-\\x0D]+')))
+  OR (len(regexp_extract_all(l, '{_WORD}')) < 4 AND NOT regexp_matches(l, '[.!?:;…"”’»)\\]][ \\x09-\\x0D]*\\z'))
+  OR (length(l) <= 200 AND regexp_matches(l, '(?i)({"|".join(BOILERPLATE)})')))"""
+QUALITY = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '{_WORD}') AS w, string_split(t, chr(10)) AS lines FROM d),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS n
+      FROM (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM w WHERE len(w) >= 8))),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM g WHERE n > 1) GROUP BY 1),
+x AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, list_filter(lines, lambda l: regexp_matches(l, '{_WORD}')) AS filled,
+        coalesce(r.n, 0) AS n_repeat_words, lines,
+        list_filter(lines, lambda l: NOT (regexp_matches(l, '{_WORD}') AND {_BAD_LINE})) AS good FROM w LEFT JOIN r USING (doc_id)),
+y AS (SELECT *, CAST(len(filled) - len(list_distinct(filled)) AS BIGINT) AS n_dup_lines, CAST(len(filled) AS BIGINT) AS n_lines,
+        CAST(len(lines) - len(good) AS BIGINT) AS n_bad_lines, length(array_to_string(lines, '')) AS chars,
+        CAST(length(array_to_string(lines, '')) - length(array_to_string(good, '')) AS BIGINT) AS lost_chars,
+        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM x),
+quality AS (SELECT *, NOT base_failed AND 100 * lost_chars <= 40 * chars AND 2 * n_dup_lines <= n_lines AS kept, array_to_string(good, chr(10)) AS cleaned FROM y)
+"""
+OP5 = QUALITY + """SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines, n_bad_lines, lost_chars
+FROM quality"""
+
+ORACLES = {"op1_warc": OP1, "op5_quality_rules": OP5, "op9_decontamination": OP9}

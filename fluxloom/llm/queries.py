@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import context_tree, decontaminate, pieces, pii, secrets, tokens, warc
+from . import context_tree, decontaminate, pieces, pii, quality, secrets, tokens, warc
 from .oracles import ORACLES
 
 
@@ -29,6 +29,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents")).drop("cleaned")
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
@@ -47,4 +51,4 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.corpus_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_sentencepiece, op4_token_counts, op6_secret_scans, op8_personal_data, op9_decontamination, op10_lm_scores)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_sentencepiece, op4_token_counts, op5_quality_rules, op6_secret_scans, op8_personal_data, op9_decontamination, op10_lm_scores)}
