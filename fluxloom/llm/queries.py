@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import context_tree, decontaminate, pieces, pii, quality, secrets, tokens, warc
+from . import context_tree, decontaminate, line_dedup, pieces, pii, quality, secrets, tokens, warc
 from .oracles import ORACLES
 
 
@@ -17,6 +17,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).drop("cleaned")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -51,4 +55,4 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.corpus_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_sentencepiece, op4_token_counts, op5_quality_rules, op6_secret_scans, op8_personal_data, op9_decontamination, op10_lm_scores)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_line_dedup, op3_sentencepiece, op4_token_counts, op5_quality_rules, op6_secret_scans, op8_personal_data, op9_decontamination, op10_lm_scores)}
