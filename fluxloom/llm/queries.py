@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import context_tree, decontaminate, line_dedup, pieces, pii, quality, secrets, tokens, warc
+from . import context_tree, decontaminate, jaccard_join, line_dedup, pieces, pii, quality, secrets, tokens, warc
 from .oracles import ORACLES
 
 
@@ -41,6 +41,10 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_spans(table(spark, sf_dir, "documents"))
 
@@ -55,4 +59,4 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.corpus_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_line_dedup, op3_sentencepiece, op4_token_counts, op5_quality_rules, op6_secret_scans, op8_personal_data, op9_decontamination, op10_lm_scores)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_line_dedup, op3_sentencepiece, op4_token_counts, op5_quality_rules, op6_secret_scans, op7_jaccard_join, op8_personal_data, op9_decontamination, op10_lm_scores)}
