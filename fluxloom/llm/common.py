@@ -13,9 +13,10 @@ WORD_GAP = "[\\x20\\x09-\\x0D]+"
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The key and the text only, so that further columns of any name cannot clash."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """The key and the text only, so that further columns of any name cannot clash; *carry* columns go into one struct."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                       *([F.struct(*carry).alias("carried")] if carry else []))
 
 
 def map_texts(rows: DataFrame, schema: str, work: Callable[[list, list], dict]) -> DataFrame:
@@ -41,6 +42,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def once(rows: DataFrame, *cols) -> DataFrame:
+    """A projection that later filters and projections do not repeat: it goes through a generator of one row."""
+    return rows.select(F.inline(F.array(F.struct(*cols))))
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; NULL and blank texts give an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP, -1), lambda w: w != "")

@@ -169,15 +169,15 @@ def _item_blocks(items: DataFrame, id_col: str, text_col: str, window: int, bloc
 
 def matched_spans(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
                   item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS,
-                  keep_text: bool = False, max_coverage: float = 1.0) -> DataFrame:
+                  keep_text: bool = False, max_coverage: float = 1.0, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, items (sorted as strings), cleaned (only with *keep_text*).
 
     A word inside an occurrence of a window is hit. `cleaned` is the text without the spans of adjoining hit words
     (from the first character of the first to the last of the last); it is NULL where more than *max_coverage* of the
     words are hit, and the text itself where none is. Documents without words have zeros and no items; an item
-    without id hits but is not listed; repeated items count once, repeated documents are each scored.
+    without id hits but is not listed; columns named in *carry* come back in a struct `carried`; repeated items count once, repeated documents are each scored.
     """
-    rows = id_text(docs, id_col, text_col).withColumns({
+    rows = id_text(docs, id_col, text_col, carry).withColumns({
         "hit": F.lit(None).cast("binary"), "items": F.array().cast("array<string>")})
     spark, blocks = rows.sparkSession, _item_blocks(items, item_id, item_text, window, block_words)
     block = next(blocks)
@@ -198,6 +198,8 @@ _DDL = {"doc_id": "long", "n_words": "long", "n_hit": "long", "hit": "binary", "
 
 def _scan(rows: DataFrame, shipped, wanted: tuple[str, ...], max_coverage: float) -> DataFrame:
     """One block's automaton over all rows; hits and items are added to those of earlier blocks."""
+    also = [c for c in rows.columns if c == "carried"]
+
     def run(batches):
         auto = shipped.value
         for batch in batches:
@@ -216,9 +218,11 @@ def _scan(rows: DataFrame, shipped, wanted: tuple[str, ...], max_coverage: float
                     row["cleaned"] = text if mask is None else None if n_hit > max_coverage * len(ws) else cut_spans(text, mask)
                 for name in wanted:
                     out[name].append(row[name])
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, type=_KINDS[k]) for k, v in {"doc_id": col["doc_id"], **out}.items()})
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, type=_KINDS[k]) for k, v in {"doc_id": col["doc_id"], **out}.items()}
+                                             | {c: batch.column(c) for c in also})
 
-    return rows.select("doc_id", "text", "hit", "items").mapInArrow(run, ", ".join(f"{k} {_DDL[k]}" for k in ("doc_id", *wanted)))
+    schema = ", ".join(f"{k} {_DDL[k]}" for k in ("doc_id", *wanted)) + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in also)
+    return rows.select("doc_id", "text", "hit", "items", *also).mapInArrow(run, schema)
 
 
 def cut_spans(text: str, hit: np.ndarray) -> str:

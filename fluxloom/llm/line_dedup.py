@@ -146,18 +146,20 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return here.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list(gone))).alias("dropped")).filter(F.size("dropped") > 0)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, least_chars: int = LEAST_CHARS,
+                carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of *docs*: doc_id, n_lines, n_dropped, dropped, cleaned.
 
     n_lines counts all lines; `dropped` holds the numbers of the dropped ones; `cleaned` is the text without them. Lines
     of fewer than *least_chars* characters and blank lines always stay. A NULL text has no line and stays NULL, an empty
     one has one. Rows that share a doc_id are one document: what its first occurrence keeps, each of them keeps. NULL ids
-    are one document that comes last.
+    are one document that comes last. Columns named in *carry* come back in a struct `carried`.
     """
     gone = dropped_lines(docs, id_col, text_col, max_edits, least_chars).withColumnRenamed("doc_id", "gone_id")
-    rows = id_text(docs, id_col, text_col).withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long"))
+    rows = id_text(docs, id_col, text_col, carry).withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long"))
     rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
     kept = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.expr(
         "array_join(filter(split(text, '\n', -1), (l, k) -> NOT array_contains(dropped, k)), '\n')"))
-    return rows.select("doc_id", "n_lines", F.size(dropped).cast("long").alias("n_dropped"), dropped.alias("dropped"), kept.alias("cleaned"))
+    return rows.select("doc_id", "n_lines", F.size(dropped).cast("long").alias("n_dropped"), dropped.alias("dropped"), kept.alias("cleaned"),
+                       *(["carried"] if carry else []))

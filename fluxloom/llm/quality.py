@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WORD_GAP, id_text
+from .common import WORD_GAP, id_text, once
 
 LEAST_WORDS, MOST_REPEATED, MOST_LOST = 20, 30, 40  # words; per cent of words; per cent of characters
 WINDOW = 8
@@ -39,17 +39,19 @@ _BLANK = "(NOT l RLIKE '[^ \\\\x09-\\\\x0D]')"
 LINE_FAILS = " OR ".join(f"({rule})" for rule in LINE_RULES.values())
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_lost: int = MOST_LOST) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_lost: int = MOST_LOST,
+            carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines,
     n_bad_lines, lost_chars, kept, cleaned.
 
     `cleaned` is the text without failing lines (blank lines stay). A NULL or empty text has zeros, fails the base and is
-    not kept; its cleaned text is what it was. Repeated rows are judged alike, each for itself.
+    not kept; its cleaned text is what it was. Columns named in *carry* come back in a struct `carried`. Repeated rows are judged alike, each for itself.
     """
-    rows = id_text(docs, id_col, text_col)
-    # arrays are bound as lambda variables, so that each is made once per row
+    rows = id_text(docs, id_col, text_col, carry)
+    also = ["carried"] if carry else []
+    # figures are made once per row, filters on them included; arrays are bound as lambda variables, so that each is made once per row
     parts = rows.withColumn("t", F.coalesce("text", F.lit(""))).select(
-        "doc_id", "text", "t", F.filter(F.split("t", WORD_GAP, -1), lambda w: w != "").alias("w"), F.split("t", "\n", -1).alias("lines"))
+        "doc_id", "text", *also, "t", F.filter(F.split("t", WORD_GAP, -1), lambda w: w != "").alias("w"), F.split("t", "\n", -1).alias("lines"))
     windows = f"""CASE WHEN size(w) >= {WINDOW} THEN transform(sequence(1, size(w) - {WINDOW - 1}), i -> xxhash64(slice(w, i, {WINDOW}))) END"""
     some = parts.select("*", F.expr(f"coalesce(transform(array({windows}), h -> size(array_distinct(h)) < size(h))[0], false)").alias("repeats"),
                         F.expr(f"filter(lines, l -> {_BLANK} OR NOT ({LINE_FAILS}))").alias("good"),
@@ -60,8 +62,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mos
         s -> transform(array(array_sort(transform(filter(transform(s, (x, k) -> struct(x.i AS i, (x.g <=> get(s, k - 1).g OR x.g <=> get(s, k + 1).g) AS twice)),
         y -> y.twice), y -> y.i))), p -> aggregate(transform(p, (x, k) -> least({WINDOW}, coalesce(get(p, k + 1) - x, {WINDOW}))), 0L, (a, x) -> a + x))[0])[0]
         ELSE 0L END"""
-    figures = some.select(
-        "doc_id", "text", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+    figures = once(
+        some, "doc_id", "text", *also, F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.regexp_replace("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.expr("CAST(size(full) - size(array_distinct(full)) AS LONG)").alias("n_dup_lines"), F.expr(repeated).alias("n_repeat_words"),
         F.size("full").cast("long").alias("n_lines"), F.expr("CAST(size(lines) - size(good) AS LONG)").alias("n_bad_lines"),
@@ -72,4 +74,4 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mos
     return figures.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "n_lines", "n_bad_lines",
         lost.alias("lost_chars"), (
-            ~failed & (100 * lost <= most_lost * F.col("chars")) & (2 * F.col("n_dup_lines") <= F.col("n_lines"))).alias("kept"), "cleaned")
+            ~failed & (100 * lost <= most_lost * F.col("chars")) & (2 * F.col("n_dup_lines") <= F.col("n_lines"))).alias("kept"), "cleaned", *also)
