@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from ..plans.flux_job import (CORRELATED, EFFICIENT, PRODUCTS, SKEWED, STEADY, FluxOptions, flux_job, period_state, reference_state,
                               primes, full_state)
-from ..session import spread
 from .registry import check
 from .rotation import _fit
 from .standin import DAY_US, PERIOD
 
 OPTS = FluxOptions(period_us=DAY_US, n_sub=4, missing_share=0.12, diagnostic_limit=0.12, elevation=190.0, slope=6.0, aspect=30.0,
-                   bearing=45.0, canopy=3.0, latitude=39.0, displacement=0.3, krypton=True)
+                   bearing=45.0, canopy=3.0, latitude=39.0, displacement=0.3, krypton=True, detrend="constant")
+LINEAR = replace(OPTS, detrend="linear")
 
 _OK = "u IS NOT NULL AND v IS NOT NULL AND w IS NOT NULL"
 _share = lambda c: f"AVG(CAST({c} IS NULL AS INTEGER)) >= 0.12"
@@ -47,13 +49,16 @@ j5 AS (SELECT *, (yu * ut + yv * vt) / sqrt(yu * yu + yv * yv) AS ur, (yu * vt -
 j6 AS (SELECT *, hp + 1000 * (28.97 / 18.0153::DOUBLE * (rho_v / rho_d) * hp / 1000 + rho_v * (1 + 28.97 / 18.0153::DOUBLE * rho_v / rho_d) * ta / "T_K") AS hw,
   28.97 / 18.0153::DOUBLE * (a_c / 1e6 / rho_d) * hp / 1000 + a_c / 1e6 * (1 + 28.97 / 18.0153::DOUBLE * rho_v / rho_d) * ta / "T_K" AS xc,
   co2 * 1000 * 8.314 * ta_k / (44.01 * "P_kPa" * 1000) AS ppm, least((us - 1 - (period_us - {DAY_US})) // {DAY_US // 4}, 3) AS sub FROM j5),
-j7 AS (SELECT *, cp + xc AS cw FROM j6),
+j7 AS (SELECT *, cp + xc AS cw, (co2 - a_c) / 1e6 + xc AS cs, ca * u + p31 * sb * v - p31 * cb * w AS put, CASE WHEN u IS NOT NULL THEN cb * v + sb * w END AS pvt,
+  p31 * u - ca * sb * v + ca * cb * w AS pwr FROM j6),
 sb0 AS (SELECT site, height, period_us, sub, {', '.join(f"CASE WHEN COUNT({a} * {b}) >= 3 THEN AVG({a} * {b}) - AVG({a}) * AVG({b}) FILTER ({a} IS NOT NULL) - AVG({b}) * AVG({a}) FILTER ({b} IS NOT NULL) + AVG({a}) * AVG({b}) END AS c_{n}, AVG({a} * {b}) AS d_{n}" for n, (a, b) in STEADY.items())}
   FROM j7 GROUP BY 1, 2, 3, 4),
 sb1 AS (SELECT site, height, period_us, {', '.join(f"AVG(c_{n}) AS c_{n}, AVG(d_{n}) AS d_{n}" for n in STEADY)} FROM sb0 GROUP BY 1, 2, 3),
 j8 AS (SELECT *, {', '.join(f"SUM(wr * {c}) OVER g AS tot_{n}" for n, c in EFFICIENT.items())} FROM j7 WINDOW g AS (PARTITION BY site, height, period_us)),
 ag AS (SELECT site, height, period_us, {', '.join(f'AVG({q}) AS "m_{q.replace("*", "_")}"' for q in PRODUCTS)},
-  STDDEV_SAMP(wr) AS sw1, VAR_POP(cw) AS cw_var,
+  STDDEV_SAMP(wr) AS sw1, VAR_POP(cs) AS cs_var, STDDEV_POP(u) AS sd_u, STDDEV_POP(v) AS sd_v, STDDEV_POP(w) AS sd_w, STDDEV_POP(ts_c) AS sd_t,
+  STDDEV_POP(fw) AS sd_f, STDDEV_POP(h2o) AS sd_h, STDDEV_POP(co2) AS sd_c, STDDEV_POP((yu * put + yv * pvt) / sqrt(yu * yu + yv * yv)) AS sd_ur,
+  STDDEV_POP((yu * pvt - yv * put) / sqrt(yu * yu + yv * yv)) AS sd_vr, STDDEV_POP(pwr) AS sd_wr,
   {', '.join(f'CORR({a}, {b}) AS {n}_corr_pf' for n, (a, b) in CORRELATED.items())},
   {', '.join(f'SKEWNESS({c}) AS {n}' for n, c in SKEWED.items())},
   {', '.join(f"MAX(tot_{n}) / SUM(wr * {c}) FILTER (wr * {c} * tot_{n} > 0) AS {n}_eta_pf, (coalesce(SUM(wr * {c}) FILTER (wr * {c} * tot_{n} > 0 AND wr > 0), 0) - coalesce(SUM(wr * {c}) FILTER (wr * {c} * tot_{n} > 0 AND wr < 0), 0)) / MAX(tot_{n}) AS {n}_delta_flux_pf, (COUNT(*) FILTER (wr * {c} * tot_{n} > 0 AND wr > 0) - COUNT(*) FILTER (wr * {c} * tot_{n} > 0 AND wr < 0)) / COUNT(wr * {c})::DOUBLE AS {n}_delta_time_pf" for n, c in EFFICIENT.items())},
@@ -74,6 +79,22 @@ w6 AS (SELECT *, CASE WHEN model > 0 THEN abs((model - meas) / model) * 100 END
   {', '.join(f"CASE WHEN k_{n} >= 10 THEN abs((c_{n} - f_{n}) / f_{n}) * 100 END AS ss_{n}, CASE WHEN k_{n} >= 10 THEN abs((d_{n} - g_{n}) / g_{n}) * 100 END AS sr_{n}" for n in STEADY)} FROM w5)"""
 
 
+# with linear detrending each mean becomes the trend at the sample, over the series' own samples (the wind vector: complete ones)
+_T = "(us - period_us) / 1e6"
+_trend = lambda c: f"REGR_INTERCEPT({c}, {_T}) AS i_{c}, REGR_SLOPE({c}, {_T}) AS g_{c}"
+_xtrend = lambda c: f"REGR_INTERCEPT({c}, {_T}) FILTER ({_OK}) AS ix_{c}, REGR_SLOPE({c}, {_T}) FILTER ({_OK}) AS gx_{c}"
+_at = lambda c: f"{c} - i_{c} - g_{c} * (us - period_us) / 1e6"
+_xat = lambda c: f"{c} - ix_{c} - gx_{c} * (us - period_us) / 1e6"
+_FLUX_LINEAR = _FLUX.replace("AVG(diag) >= 0.12 AS fd FROM", "AVG(diag) >= 0.12 AS fd, " + ", ".join(
+    [_trend(c) for c in ("u", "v", "w", "ts_c", "fw", "h2o", "co2")] + [_xtrend(c) for c in "uvw"]) + " FROM")
+for _c in "uvw":
+    _FLUX_LINEAR = _FLUX_LINEAR.replace(f"({_c} - m_{_c})", f"({_xat(_c)})").replace(f"  {_c} - a_{_c} AS", f"  {_at(_c)} AS").replace(
+        f", {_c} - a_{_c} AS", f", {_at(_c)} AS")
+for _c, _m in (("ts_c", "ts"), ("fw", "f"), ("h2o", "h")):
+    _FLUX_LINEAR = _FLUX_LINEAR.replace(f", {_c} - a_{_m} AS", f", {_at(_c)} AS")
+_FLUX_LINEAR = _FLUX_LINEAR.replace("(co2 - a_c) / 1e6 AS cp", f"({_at('co2')}) / 1e6 AS cp")
+
+
 def _cls(ss, itc, flags):
     two = f"CASE WHEN {ss} IS NULL{f' OR {itc} IS NULL' if itc else ''} THEN 2"
     for lim, k in ((30, 0), (100, 1)):
@@ -88,17 +109,25 @@ _QUALITY = ", ".join(f'{_cls(a, "itc", f)} AS "{n}_ssitc", {_cls(a, None, f)} AS
 
 # output: (SQL expression, voiding flags)
 _OUT = {
-    "u_sigma_raw": ("sqrt(m_up_up)", "rot"), "v_sigma_raw": ("sqrt(m_vp_vp)", "rot"), "w_sigma_raw": ("sqrt(m_wp_wp)", "unrot"),
-    "u_sigma_pf": ("sqrt(m_ur_ur)", "rot"), "v_sigma_pf": ("sqrt(m_vr_vr)", "rot"), "w_sigma_pf": ("sqrt(m_wr_wr)", "rot"),
-    "ts_sigma": ("sqrt(m_tp_tp)", "tsf"), "t_fw_sigma": ("sqrt(m_fp_fp)", "fwf"), "h2o_sigma": ("sqrt(m_hp_hp)", "rot OR tsf"),
-    "co2_sigma": ("sqrt(m_cp_cp) * 1e6", "rot OR tsf"), "co2_wpl_sigma": ("sqrt(cw_var) * 1e6", ""),
+    "u_sigma_raw": ("sd_u", "rot"), "v_sigma_raw": ("sd_v", "rot"), "w_sigma_raw": ("sd_w", "unrot"),
+    "u_sigma_pf": ("sd_ur", "rot"), "v_sigma_pf": ("sd_vr", "rot"), "w_sigma_pf": ("sd_wr", "rot"),
+    "ts_sigma": ("sd_t", "tsf"), "t_fw_sigma": ("sd_f", "fwf"), "h2o_sigma": ("sd_h", "rot OR tsf"),
+    "co2_sigma": ("sd_c", "rot OR tsf"), "co2_wpl_sigma": ("sqrt(cs_var) * 1e6", "rot OR tsf"),
     "Tau_raw": ("sqrt(m_up_wp ** 2 + m_vp_wp ** 2)", "rot"), "Tau_pf": ("tau", "rot"), "u_var_pf": ("m_ur_ur", "rot"),
     "u_v_cov_pf": ("m_ur_vr", "rot"), "u_w_cov_pf": ("m_ur_wr", "rot"), "v_w_cov_pf": ("m_vr_wr", "rot"),
-    "u_var_tilt": ("m_ut_ut", ""), "u_w_cov_tilt": ("m_ut_wr", ""), "v_w_cov_tilt": ("m_vt_wr", ""),
+    "u_var_tilt": ("m_ut_ut", "rot"), "u_w_cov_tilt": ("m_ut_wr", "rot"), "v_w_cov_tilt": ("m_vt_wr", "rot"),
     "TKE": ("0.5 * (m_up_up + m_vp_vp + m_wp_wp)", "rot"),
     "TKE_transport_pf": ("0.5 * (m_wr_ur_ur + m_wr_vr_vr + m_wr_wr_wr)", "rot"), "u_w_transport_pf": ("m_wr_ur_wr", "rot"),
     "w_theta_v_transport_pf": ("m_wr_tp_wr", "rot"), "ts_var_transport_pf": ("m_wr_tp_tp", "rot OR tsf"),
-    "w_theta_v_cov_vertical": ("vert", ""), "u_theta_v_cov_snsp": ("m_ut_tp", ""), "v_theta_v_cov_snsp": ("m_vt_tp", ""),
+    "w_theta_v_cov_vertical": ("vert", "rot OR tsf"), "u_theta_v_cov_snsp": ("m_ut_tp", "rot OR tsf"), "v_theta_v_cov_snsp": ("m_vt_tp", "rot OR tsf"),
+    "w_theta_s_cov_raw": ("m_wp_tp", "unrot OR tsf"), "w_theta_s_cov_pf": ("m_wr_tp", "rot OR tsf"),
+    "u_theta_s_cov_raw": ("m_up_tp", "rot OR tsf"), "v_theta_s_cov_raw": ("m_vp_tp", "rot OR tsf"),
+    "u_theta_s_cov_pf": ("m_ur_tp", "rot OR tsf"), "v_theta_s_cov_pf": ("m_vr_tp", "rot OR tsf"),
+    "w_theta_v_cov_snsp": ("m_wr_tp", "rot OR tsf"), "v_var_tilt": ("m_vt_vt", "rot"), "w_var_tilt": ("m_wr_wr", "rot"),
+    "u_v_cov_tilt": ("m_ut_vt", "rot"), "v_var_pf": ("m_vr_vr", "rot"), "w_var_pf": ("m_wr_wr", "rot"),
+    "u_ts_cov_raw": ("m_up_tp", "rot OR tsf"), "v_ts_cov_raw": ("m_vp_tp", "rot OR tsf"), "u_theta_v_cov_pf": ("m_ur_tp", "rot"),
+    "u_h2o_cov_pf": ("m_ur_hp", "rot"), "u_h2o_wpl_cov_pf": ("m_ur_hw", "rot"), "w_h2o_transport_pf": ("m_wr_hp_wr", "rot"),
+    "w_h2o_wpl_transport_pf": ("m_wr_hw_wr", "rot"),
     "w_ts_cov_raw": ("m_wp_tp", "unrot OR tsf"), "w_theta_v_cov_pf": ("m_wr_tp", "rot OR tsf"),
     "w_t_air_cov_raw": ("m_wp_ta", "unrot OR tsf OR h2of"), "w_t_air_cov_pf": ("m_wr_ta", "rot OR tsf OR h2of"),
     "w_t_fw_cov_raw": ("m_wp_fp", "unrot OR fwf"), "w_t_fw_cov_pf": ("m_wr_fp", "rot OR fwf"),
@@ -106,12 +135,12 @@ _OUT = {
     "H_raw": ("rho_air * cp_air * m_wp_ta", "unrot OR tsf OR h2of"), "H_pf": ("rho_air * cp_air * heat", ""),
     "H_buoyancy_pf": ("rho_air * cp_air * m_wr_tp", "rot OR tsf"),
     "Lv": ("lv", ""), "w_h2o_cov_raw": ("m_wp_hp", "unrot OR h2of"), "w_h2o_cov_pf": ("m_wr_hp", "rot OR h2of"),
-    "w_h2o_wpl_cov_pf": ("m_wr_hw", ""), "w_q_wpl_cov_pf": ("1e3 * wpl * (m_wr_hp / 1e3 + rho_v / \"T_K\" * m_wr_ta) / 1e3", ""),
+    "w_h2o_wpl_cov_pf": ("m_wr_hw", "rot OR h2of"), "w_q_wpl_cov_pf": ("1e3 * wpl * (m_wr_hp / 1e3 + rho_v / \"T_K\" * m_wr_ta) / 1e3", "rot OR h2of"),
     "LE_wpl_raw": ("1000 * lv * wpl * (m_wp_hp / 1000 + rho_v / \"T_K\" * heat)", "unrot OR h2of"), "LE_wpl_pf": ("le", ""),
     "LE_o2_raw": ("lv * (m_wp_hp + 0.23 * 0.0045 / 0.153 * rho_d / \"T_K\" * heat * 1000)", ""),
     "LE_o2_pf": ("lv * (m_wr_hp + 0.23 * 0.0045 / 0.153 * rho_d / \"T_K\" * heat * 1000)", ""),
     "w_co2_cov_raw": ("m_wp_cp", "unrot OR co2f"), "w_co2_cov_pf": ("m_wr_cp", "rot OR co2f"),
-    "w_co2_wpl_cov_pf": ("m_wr_cp + m_wr_xc", ""), "co2_mole_fraction": ("m_ppm", ""),
+    "w_co2_wpl_cov_pf": ("m_wr_cp + m_wr_xc", "rot OR co2f"), "co2_mole_fraction": ("m_ppm", ""),
     "Fc_wpl_pf": ("m_wr_cp + 28.97 / 18.0153::DOUBLE * (a_c / 1e6 / rho_d) * (le / lv / 1000) + wpl * (a_c / 1e6 / \"T_K\") * heat", "rot OR co2f"),
     "L": ("lo", ""), "ustar_pf": ("us_", ""), "theta_star": ("-m_wr_tp / us_", "rot OR tsf"),
     "q_star": ("-(m_wr_hp / (rho_d + rho_v)) / us_", "rot OR h2of"),
@@ -129,7 +158,7 @@ def _sel(names, extra=""):
 
 
 def _job(t):
-    return flux_job(spread(t.tower(), "event_id"), OPTS)
+    return flux_job(t.tower(), OPTS)
 
 
 GROUPS = {
@@ -153,15 +182,20 @@ check("p20_simple_quality_flags", "site height period_us " + " ".join(_QS), "",
 _ALL = [n for n in _OUT if n not in ("Fc_wpl_pf", "w_co2_cov_raw", "w_co2_cov_pf", "w_co2_wpl_cov_pf", "L", "psi_m", "psi_h")]
 _CORR = [f"{n}_corr_pf" for n in CORRELATED]
 _EFFN = [f"{n}_{s}_pf" for n in EFFICIENT for s in ("eta", "delta_flux", "delta_time")]
-_BLANKED = {n: "rot OR tsf" for n in ("u_w__w_theta_v_corr_pf", "w_u_corr_pf", "w_theta_v_corr_pf", "w_h2o_corr_pf", "w_co2_corr_pf",
-            "u_w_eta_pf", "w_theta_v_eta_pf", "w_h2o_eta_pf", "w_co2_eta_pf", "u_w_delta_flux_pf", "w_theta_v_delta_flux_pf",
-            "u_w_delta_time_pf", "w_theta_v_delta_time_pf")}
-_BLANKED |= {n: "rot" for n in ("u_skew_pf", "v_skew_pf", "w_skew_pf", "theta_v_skew", "h2o_skew", "co2_skew")}
+_BLANKED = {n: "rot OR tsf" for n in (*_CORR, *_EFFN)} | {n: "rot" for n in SKEWED}
 _TAIL = ", ".join(f"CASE WHEN NOT ({_BLANKED[n]}) THEN {n} END AS {n}" if n in _BLANKED else n for n in (*_CORR, *_EFFN, *SKEWED))
-check("p27_flux_job", "site height period_us n_samples " + " ".join(_QN), " ".join([*_ALL, *_CORR, *_EFFN, *SKEWED]),
-      f"{_FLUX}, w7 AS (SELECT *, {_QUALITY} FROM w6) SELECT site, height, period_us, n_samples, " + ", ".join(f'"{n}"' for n in _QN) + ", "
-      + _sel(_ALL).split("period_us, ", 1)[-1].rsplit(" FROM w6", 1)[0].rsplit("SELECT site, height, period_us, ", 1)[-1]
-      + f", {_TAIL} FROM w7", 5)(_job)
+def _whole(base):
+    return (f"{base}, w7 AS (SELECT *, {_QUALITY} FROM w6) SELECT site, height, period_us, n_samples, " + ", ".join(f'"{n}"' for n in _QN) + ", "
+            + _sel(_ALL).split("period_us, ", 1)[-1].rsplit(" FROM w6", 1)[0].rsplit("SELECT site, height, period_us, ", 1)[-1] + f", {_TAIL} FROM w7")
+
+
+_KEYS, _VALS = "site height period_us n_samples " + " ".join(_QN), " ".join([*_ALL, *_CORR, *_EFFN, *SKEWED])
+check("p27_flux_job", _KEYS, _VALS, _whole(_FLUX), 5)(_job)
+
+
+@check("p27_flux_job_linear", _KEYS, _VALS, _whole(_FLUX_LINEAR), 5)
+def _(t):
+    return flux_job(t.tower(), LINEAR)
 
 
 @check("p04_reference_state", "site period_us", "P_kPa T_K q_ref rho_d rho_v rho_air cp_air T_virt_K",

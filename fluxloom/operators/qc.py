@@ -200,6 +200,18 @@ VOIDED_BY = {
     "theta_star": "rot tsf", "q_star": "rot h2of", "epsilon": "rot", "u_skew_pf": "rot", "v_skew_pf": "rot",
     "w_skew_pf": "rot", "theta_v_skew": "rot", "h2o_skew": "rot", "co2_skew": "rot",
     "u_theta_v_cov_pf": "rot", "u_h2o_cov_pf": "rot", "u_co2_cov_pf": "rot",
+    **dict.fromkeys(("u_theta_v_cov_snsp", "v_theta_v_cov_snsp", "w_theta_v_cov_snsp", "w_theta_v_cov_vertical", "w_theta_s_cov_pf",
+                     "u_theta_s_cov_raw", "v_theta_s_cov_raw", "u_theta_s_cov_pf", "v_theta_s_cov_pf", "co2_wpl_sigma"), "rot tsf"),
+    "w_theta_s_cov_raw": "unrot tsf",
+    **dict.fromkeys(("u_var_tilt", "v_var_tilt", "w_var_tilt", "u_v_cov_tilt", "u_w_cov_tilt", "v_w_cov_tilt", "h2o_wpl_skew", "co2_wpl_skew",
+                     "u_h2o_wpl_cov_pf", "u_co2_wpl_cov_pf", "w_h2o_transport_pf", "w_h2o_wpl_transport_pf", "w_co2_transport_pf",
+                     "w_co2_wpl_transport_pf"), "rot"),
+    **dict.fromkeys(("w_h2o_wpl_cov_pf", "w_q_wpl_cov_pf"), "rot h2of"), "w_co2_wpl_cov_pf": "rot co2f",
+    # every correlation, efficiency and quadrant asymmetry needs the rotated wind and the temperature
+    **{f"{name}_corr_pf": "rot tsf" for name in (
+        "w_h2o__w_theta_v", "u_w__w_h2o", "w_h2o_wpl", "w_co2_wpl", "u_w__w_co2", "w_co2__w_theta_v", "u_w__w_h2o_wpl",
+        "w_h2o_wpl__w_theta_v", "u_w__w_co2_wpl", "w_co2_wpl__w_theta_v")},
+    **{f"{name}_{kind}_pf": "rot tsf" for kind in ("eta", "delta_flux", "delta_time") for name in ("w_h2o", "w_h2o_wpl", "w_co2", "w_co2_wpl")},
 }
 
 

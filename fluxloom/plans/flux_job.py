@@ -23,6 +23,11 @@ from ..operators.rotation import planar_fit
 from ..session import cut_lineage
 
 KEY = ["site", "height", "period_us"]
+TREND = ("u", "v", "w", "ts_c", "h2o", "co2", "fw")
+
+
+def _seconds() -> Column:
+    return (F.col("us") - F.col("period_us")) / 1e6
 
 
 @dataclass(frozen=True)
@@ -43,13 +48,20 @@ class FluxOptions:
     stability_source: str = "hoegstroem1988"
     default_q: float = 0.012
     krypton: bool = False
+    detrend: str = "linear"  # or "constant"
 
 
 def period_state(samples: DataFrame, opts: FluxOptions) -> DataFrame:
     """Means, missing shares and flags per period: one partial-aggregating pass."""
     ok = F.col("u").isNotNull() & F.col("v").isNotNull() & F.col("w").isNotNull()
     share = lambda c: (F.avg(F.col(c).isNull().cast("double")) >= opts.missing_share)
+    # trends in seconds before the period's end, each over its own valid samples (x: the complete wind vector)
+    linear = {"linear": True, "constant": False}[opts.detrend]
+    slope = lambda y: F.coalesce(F.regr_slope(y, _seconds()), F.lit(0.0)) if linear else F.lit(0.0)
     g = samples.groupBy(*KEY).agg(
+        *[slope(F.col(c)).alias(f"k_{c}") for c in TREND], *[slope(F.when(ok, F.col(c))).alias(f"kx_{c}") for c in ("u", "v", "w")],
+        *[F.avg(F.when(F.col(c).isNotNull(), _seconds())).alias(f"t_{c}") for c in TREND], F.avg(F.when(ok, _seconds())).alias("t_x"),
+        *[F.var_pop(F.when(F.col(c).isNotNull(), _seconds())).alias(f"vt_{c}") for c in TREND], F.var_pop(F.when(ok, _seconds())).alias("vt_x"),
         F.count(F.lit(1)).alias("n"), *[F.avg(F.when(ok, F.col(c))).alias(f"m_{c}") for c in ("u", "v", "w")],
         *[F.avg(c).alias(f"a_{c}") for c in ("u", "v", "w", "ts_c", "h2o", "co2", "fw", "p_kpa")],
         *[share(c).alias(f"f_{c}") for c in ("u", "v", "w", "ts_c", "h2o", "co2", "fw")],
@@ -57,6 +69,7 @@ def period_state(samples: DataFrame, opts: FluxOptions) -> DataFrame:
     frames = frame_flags(F.col("f_u"), F.col("f_v"), F.col("f_w"), F.col("f_diag"))
     return g.select(
         *KEY, "n", *[f"m_{c}" for c in ("u", "v", "w")], *[f"a_{c}" for c in ("u", "v", "w", "ts_c", "h2o", "co2", "fw", "p_kpa")],
+        *[f"{k}_{c}" for k in ("k", "t", "vt") for c in TREND], *[f"kx_{c}" for c in ("u", "v", "w")], "t_x", "vt_x",
         frames["unrot"].alias("unrot"), frames["rot"].alias("rot"), F.col("f_ts_c").alias("tsf"), F.col("f_fw").alias("fwf"),
         F.col("f_h2o").alias("h2of"), F.col("f_co2").alias("co2f"))
 
@@ -133,14 +146,15 @@ def full_state(samples: DataFrame, opts: FluxOptions, fits: DataFrame | None = N
 
 
 def primes(samples: DataFrame, state: DataFrame) -> DataFrame:
-    """Perturbations of every series about its period mean, in raw, tilt and mean-wind frames."""
+    """Perturbations of every series about its period mean or trend, in raw, tilt and mean-wind frames."""
     s = samples.drop("p_kpa").join(state, KEY)
     c = F.col
     zero = F.lit(0.0)
-    ut, vt, wt = planar_fit_rotate(c("u") - c("m_u"), c("v") - c("m_v"), c("w") - c("m_w"), zero, c("b1"), c("b2"))
-    s = s.withColumns({"up": c("u") - c("a_u"), "vp": c("v") - c("a_v"), "wp": c("w") - c("a_w"), "ut": ut, "vt": vt, "wr": wt,
-                       "tp": c("ts_c") - c("a_ts_c"), "fp": c("fw") - c("a_fw"), "hp": c("h2o") - c("a_h2o"),
-                       "cp": (c("co2") - c("a_co2")) / 1e6})
+    about = lambda x: c(x) - c(f"a_{x}") - c(f"k_{x}") * (_seconds() - c(f"t_{x}"))
+    wind = lambda x: c(x) - c(f"m_{x}") - c(f"kx_{x}") * (_seconds() - c("t_x"))
+    ut, vt, wt = planar_fit_rotate(wind("u"), wind("v"), wind("w"), zero, c("b1"), c("b2"))
+    s = s.withColumns({"up": about("u"), "vp": about("v"), "wp": about("w"), "ut": ut, "vt": vt, "wr": wt,
+                       "tp": about("ts_c"), "fp": about("fw"), "hp": about("h2o"), "cp": about("co2") / 1e6})
     ur, vr = yaw_rotate(c("ut"), c("vt"), c("y_u"), c("y_v"))
     sigma = thermo.M_DRY / thermo.M_VAPOUR
     ratio = c("rho_v") / c("rho_d")
@@ -149,7 +163,7 @@ def primes(samples: DataFrame, state: DataFrame) -> DataFrame:
     rho_c = c("a_co2") / 1e6
     ext_v = sigma * ratio * c("hp") / 1000.0 + c("rho_v") * (1.0 + sigma * ratio) * c("ta") / c("T_K")
     ext_c = sigma * rho_c / c("rho_d") * c("hp") / 1000.0 + rho_c * (1.0 + sigma * ratio) * c("ta") / c("T_K")
-    return s.withColumns({"hw": c("hp") + 1000.0 * ext_v, "xc": ext_c, "cw": c("cp") + ext_c,
+    return s.withColumns({"hw": c("hp") + 1000.0 * ext_v, "xc": ext_c, "cw": c("cp") + ext_c, "cs": (c("co2") - c("a_co2")) / 1e6 + ext_c,
                           "ppm": thermo.co2_mole_fraction_ppm(c("co2"), c("P_kPa"), thermo.air_from_sonic(
                               c("ts_c") + 273.15, _sample_humidity()) - 273.15)})
 
@@ -158,7 +172,7 @@ def primes(samples: DataFrame, state: DataFrame) -> DataFrame:
 PRODUCTS = ("up*up vp*vp wp*wp up*wp vp*wp ur*ur vr*vr wr*wr ur*vr ur*wr vr*wr ut*ut vt*vt ut*vt ut*wr vt*wr tp*tp fp*fp "
             "hp*hp cp*cp cw*cw ut*tp vt*tp wr*tp wp*tp wp*ta wr*ta up*tp vp*tp ur*tp vr*tp wp*fp wr*fp wp*hp wr*hp wr*hw "
             "wp*cp wr*cp wr*xc ur*hp ur*hw ur*cp ur*cw wr*ur*ur wr*vr*vr wr*wr*wr wr*ur*wr wr*tp*wr wr*tp*tp wr*hp*wr "
-            "wr*hw*wr wr*cp*wr wr*cw*wr cw ppm").split()
+            "wr*hw*wr wr*cp*wr wr*cw*wr cs cs*cs ppm").split()
 CORRELATED = {"u_w__w_theta_v": ("ur*wr", "tp*wr"), "u_w__w_h2o": ("ur*wr", "hp*wr"), "w_h2o__w_theta_v": ("hp*wr", "tp*wr"),
               "w_u": ("wr", "ur"), "w_theta_v": ("wr", "tp"), "w_h2o": ("wr", "hp"), "w_co2": ("wr", "cp"),
               "w_h2o_wpl": ("wr", "hw"), "w_co2_wpl": ("wr", "cw"), "u_w__w_co2": ("ur*wr", "cp*wr"),
@@ -173,7 +187,7 @@ STEADY = {"uw": ("ur", "wr"), "vw": ("vr", "wr"), "wt": ("wr", "tp"), "wh": ("wr
 
 # series each factor needs; x is the complete wind vector
 _NEEDS = {"up": "u", "vp": "v", "wp": "w", "ur": "x", "vr": "x", "wr": "x", "ut": "x", "vt": "x", "tp": "t", "fp": "f",
-          "hp": "h", "cp": "c", "ta": "th", "hw": "th", "xc": "th", "cw": "thc", "ppm": "tc"}
+          "hp": "h", "cp": "c", "ta": "th", "hw": "th", "xc": "th", "cw": "thc", "cs": "thc", "ppm": "tc"}
 _PROBE = {"u": "up", "v": "vp", "w": "wp", "x": "ur", "t": "tp", "f": "fp", "h": "hp", "c": "cp"}
 
 
@@ -302,12 +316,18 @@ def products(df: DataFrame, opts: FluxOptions) -> DataFrame:
                   "mu_c": f"{thermo.M_DRY / thermo.M_VAPOUR!r}D * (a_co2 / 1e6D) / rho_d"})
     a1, a2 = slope_angles(c("direction"), opts.slope, opts.aspect)
     df = df.withColumns({"_a1": F.sin(F.radians(a1)), "_a2": F.sin(F.radians(a2)), "Lv": thermo.vaporisation_heat_j_per_g(c("T_K"))})
-    root = lambda q: f"sqrt(greatest(M_{q}, 0D))"
+    # standard deviations are of the series itself: a least-squares trend adds its own variance to that of the residuals
+    root = lambda q, slope, var: f"sqrt(greatest(M_{q} + ({slope}) * ({slope}) * {var}, 0D))"
+    kt = planar_fit_rotate(c("kx_u"), c("kx_v"), c("kx_w"), F.lit(0.0), c("b1"), c("b2"))
+    ku, kv = yaw_rotate(kt[0], kt[1], c("y_u"), c("y_v"))
+    df = df.withColumns({"_ku": ku, "_kv": kv, "_kw": kt[2]})
     df = add(df, {
-        "u_sigma_raw": root("up_up"), "v_sigma_raw": root("vp_vp"), "w_sigma_raw": root("wp_wp"), "u_sigma_pf": root("ur_ur"),
-        "v_sigma_pf": root("vr_vr"), "w_sigma_pf": root("wr_wr"), "ts_sigma": root("tp_tp"), "theta_v_sigma": root("tp_tp"),
-        "t_fw_sigma": root("fp_fp"), "h2o_sigma": root("hp_hp"), "co2_sigma": root("cp_cp") + " * 1e6D",
-        "co2_wpl_sigma": "sqrt(greatest(M_cw_cw - M_cw * M_cw, 0D)) * 1e6D",
+        "u_sigma_raw": root("up_up", "k_u", "vt_u"), "v_sigma_raw": root("vp_vp", "k_v", "vt_v"), "w_sigma_raw": root("wp_wp", "k_w", "vt_w"),
+        "u_sigma_pf": root("ur_ur", "_ku", "vt_x"), "v_sigma_pf": root("vr_vr", "_kv", "vt_x"), "w_sigma_pf": root("wr_wr", "_kw", "vt_x"),
+        "ts_sigma": root("tp_tp", "k_ts_c", "vt_ts_c"), "theta_v_sigma": root("tp_tp", "k_ts_c", "vt_ts_c"),
+        "t_fw_sigma": root("fp_fp", "k_fw", "vt_fw"), "h2o_sigma": root("hp_hp", "k_h2o", "vt_h2o"),
+        "co2_sigma": root("cp_cp", "k_co2 / 1e6D", "vt_co2") + " * 1e6D",
+        "co2_wpl_sigma": "sqrt(greatest(M_cs_cs - M_cs * M_cs, 0D)) * 1e6D",
         "Tau_raw": "hypot(M_up_wp, M_vp_wp)", "Tau_pf": "hypot(M_ur_wr, M_vr_wr)",
         "u_var_pf": "M_ur_ur", "v_var_pf": "M_vr_vr", "w_var_pf": "M_wr_wr", "u_v_cov_pf": "M_ur_vr", "u_w_cov_pf": "M_ur_wr",
         "v_w_cov_pf": "M_vr_wr", "u_var_tilt": "M_ut_ut", "v_var_tilt": "M_vt_vt", "w_var_tilt": "M_wr_wr",
@@ -321,6 +341,7 @@ def products(df: DataFrame, opts: FluxOptions) -> DataFrame:
         "w_ts_cov_raw": "M_wp_tp", "w_theta_v_cov_pf": "M_wr_tp", "w_t_air_cov_raw": "M_wp_ta", "w_t_air_cov_pf": "M_wr_ta",
         "w_theta_s_cov_raw": "M_wp_tp", "w_theta_s_cov_pf": "M_wr_tp", "w_t_fw_cov_raw": "M_wp_fp", "w_t_fw_cov_pf": "M_wr_fp",
         "u_ts_cov_raw": "M_up_tp", "v_ts_cov_raw": "M_vp_tp", "u_ts_cov_pf": "M_ur_tp", "v_ts_cov_pf": "M_vr_tp",
+        "u_theta_s_cov_raw": "M_up_tp", "v_theta_s_cov_raw": "M_vp_tp", "u_theta_s_cov_pf": "M_ur_tp", "v_theta_s_cov_pf": "M_vr_tp",
         "w_h2o_cov_raw": "M_wp_hp", "w_h2o_cov_pf": "M_wr_hp", "w_h2o_wpl_cov_pf": "M_wr_hw",
         "w_q_wpl_cov_pf": "wpl * (M_wr_hp / 1e3D + rho_v / T_K * M_wr_ta)",
         "w_co2_cov_raw": "M_wp_cp", "w_co2_cov_pf": "M_wr_cp", "w_co2_wpl_cov_pf": "M_wr_cp + M_wr_xc",
@@ -365,6 +386,7 @@ PRODUCT_NAMES = set("""u_sigma_raw v_sigma_raw w_sigma_raw u_sigma_pf v_sigma_pf
  ts_var_transport_pf w_h2o_transport_pf w_h2o_wpl_transport_pf w_co2_transport_pf w_co2_wpl_transport_pf u_theta_v_cov_snsp
  v_theta_v_cov_snsp w_theta_v_cov_snsp w_theta_v_cov_vertical w_ts_cov_raw w_theta_v_cov_pf w_t_air_cov_raw w_t_air_cov_pf
  w_theta_s_cov_raw w_theta_s_cov_pf w_t_fw_cov_raw w_t_fw_cov_pf u_ts_cov_raw v_ts_cov_raw u_ts_cov_pf v_ts_cov_pf
+ u_theta_s_cov_raw v_theta_s_cov_raw u_theta_s_cov_pf v_theta_s_cov_pf
  w_h2o_cov_raw w_h2o_cov_pf w_h2o_wpl_cov_pf w_q_wpl_cov_pf w_co2_cov_raw w_co2_cov_pf w_co2_wpl_cov_pf u_theta_v_cov_pf
  u_h2o_cov_pf u_h2o_wpl_cov_pf u_co2_cov_pf u_co2_wpl_cov_pf co2_mole_fraction""".split())
 
