@@ -108,12 +108,12 @@ def _period_winds(t):
 
 @check("e08_fit_record_interval_join", "site height period_us", "rec b0 b1 b2",
        f"""{_PERIODS}, fits AS (
-         SELECT 1 AS rec, height, 19723 AS d0, 19733 AS d1, 0.0 AS lo, 0.0 AS hi, AVG(u) AS b0, AVG(v) AS b1, AVG(w) AS b2
-           FROM d GROUP BY height
-         UNION ALL SELECT 2, height, 19733, 19742, 300.0, 5.0, MIN(u), MIN(v), MIN(w) FROM d GROUP BY height
-         UNION ALL SELECT 3, height, 19742, 19748, 5.0, 60.0, MAX(u), MAX(v), MAX(w) FROM d GROUP BY height),
-         h AS (SELECT d.site, d.height, d.period_us, f.*, ROW_NUMBER() OVER (PARTITION BY d.site, d.height, d.period_us ORDER BY f.rec DESC) AS rn
-           FROM d JOIN fits f ON d.height = f.height AND d.day BETWEEN f.d0 AND f.d1 AND
+         SELECT 1 AS rec, site, height, 19723 AS d0, 19733 AS d1, 0.0 AS lo, 0.0 AS hi, AVG(u) AS b0, AVG(v) AS b1, AVG(w) AS b2
+           FROM d GROUP BY site, height
+         UNION ALL SELECT 2, site, height, 19733, 19742, 300.0, 5.0, MIN(u), MIN(v), MIN(w) FROM d GROUP BY site, height
+         UNION ALL SELECT 3, site, height, 19742, 19748, 5.0, 60.0, MAX(u), MAX(v), MAX(w) FROM d GROUP BY site, height),
+         h AS (SELECT d.site, d.height, d.period_us, f.rec, f.b0, f.b1, f.b2, ROW_NUMBER() OVER (PARTITION BY d.site, d.height, d.period_us ORDER BY f.rec DESC) AS rn
+           FROM d JOIN fits f ON d.site = f.site AND d.height = f.height AND d.day BETWEEN f.d0 AND f.d1 AND
              (f.lo = f.hi OR (f.hi > f.lo AND d.direction > f.lo AND d.direction <= f.hi)
               OR (f.hi < f.lo AND (d.direction > f.lo OR d.direction <= f.hi))))
          SELECT d.site, d.height, d.period_us, h.rec, h.b0, h.b1, h.b2 FROM d LEFT JOIN h
@@ -121,8 +121,8 @@ def _period_winds(t):
 def _(t):
     p = _period_winds(t)
     def rec(i, d0, d1, lo, hi, agg):
-        return p.groupBy("height").agg(agg("u").alias("b0"), agg("v").alias("b1"), agg("w").alias("b2")).select(
-            F.lit(i).alias("rec"), "height", F.lit(d0).alias("day_lo"), F.lit(d1).alias("day_hi"),
+        return p.groupBy("site", "height").agg(agg("u").alias("b0"), agg("v").alias("b1"), agg("w").alias("b2")).select(
+            F.lit(i).alias("rec"), "site", "height", F.lit(d0).alias("day_lo"), F.lit(d1).alias("day_hi"),
             F.lit(lo).alias("sector_lo"), F.lit(hi).alias("sector_hi"), "b0", "b1", "b2")
     fits = (rec(1, 19723, 19733, 0.0, 0.0, F.avg).unionByName(rec(2, 19733, 19742, 300.0, 5.0, F.min))
             .unionByName(rec(3, 19742, 19748, 5.0, 60.0, F.max)))

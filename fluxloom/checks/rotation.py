@@ -69,7 +69,7 @@ def _(t):
        f"""{_MEANS}, p AS (SELECT site, height, u, v, w, ROW_NUMBER() OVER (PARTITION BY site, height ORDER BY period_us) - 1 AS i FROM m
            WHERE u IS NOT NULL AND v IS NOT NULL AND w IS NOT NULL),
          sz AS (SELECT site, height, COUNT(*) AS n FROM p GROUP BY 1, 2),
-         dr AS (SELECT p.site, p.height, r, ((((p.i + 1) * 2654435761 % 2147483647) * ((r + 1) * 40503 % 65521) + r) % 2147483647) % sz.n AS i
+         dr AS (SELECT p.site, p.height, r, CAST('0x' || substr(md5('0|' || p.site || '|' || p.height || '|' || r || '|' || p.i), 1, 15) AS BIGINT) % sz.n AS i
            FROM p JOIN sz ON p.site = sz.site AND p.height = sz.height, range(50) t(r)),
          x AS (SELECT dr.site, dr.height, dr.r, p.u, p.v, p.w FROM dr JOIN p ON dr.site = p.site AND dr.height = p.height AND dr.i = p.i)
          SELECT site, height, COUNT(*) AS n_fits, STDDEV_POP(pitch_deg) AS sd_pitch, STDDEV_POP(roll_deg) AS sd_roll

@@ -69,7 +69,7 @@ def _(t):
        f"""WITH @prime, {_DFT}, {_BINS} SELECT bn.vec_id, bin, n, f, sx, sy, co, qu, (a.og + b.og) / 2 AS og FROM bn
          JOIN og a ON a.vec_id = bn.vec_id AND a.k = floor(f * 6.4 + 1e-9) JOIN og b ON b.vec_id = bn.vec_id AND b.k = ceil(f * 6.4 - 1e-9)""", digits=9)
 def _(t):
-    return spectral.spectra_job(_primes(t), V, "u", "w", FS, N)
+    return spectral.spectra_job(_primes(t), V, "u", "w", FS)
 
 
 # a window length that is no power of two: two signals one after the other and half of a third

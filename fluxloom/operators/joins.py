@@ -118,20 +118,25 @@ def nearest_height(levels: DataFrame, sensors: DataFrame, on, tolerance: float |
     return best.drop("n_sensors")
 
 
-def fit_for_period(periods: DataFrame, keys, fits: DataFrame, day: Column, direction: Column) -> DataFrame:
-    """Attach the planar-fit record valid for each period: height, inclusive dates, sector.
+def fit_for_period(periods: DataFrame, keys, fits: DataFrame, day: Column, direction: Column, by=("site",)) -> DataFrame:
+    """Attach the planar-fit record valid for each period: *by*, height, inclusive dates, sector.
 
     Of several valid records the one with the highest ``rec`` wins; a period
-    without one keeps missing coefficients. The equi part of the join is the
-    centimetre height, so no cross product is formed.
+    without one keeps missing coefficients. The equi part of the join is
+    *by* and the centimetre height, so no cross product is formed.
     """
     from ..functions.wind import in_sector
 
     keys = list(keys)
     left = periods.withColumn("_h", height_key(F.col("height"))).withColumn("_day", day).withColumn("_dir", direction)
-    right = fits.select(height_key(F.col("height")).alias("_h"), "rec", "day_lo", "day_hi", "sector_lo", "sector_hi",
+    right = fits.select(*by, height_key(F.col("height")).alias("_h"), "rec", "day_lo", "day_hi", "sector_lo", "sector_hi",
                         "b0", "b1", "b2")
-    cond = ((left["_h"] == right["_h"]) & left["_day"].between(right["day_lo"], right["day_hi"])
+    for c in by:
+        right = right.withColumnRenamed(c, f"_{c}")
+    same = left["_h"] == right["_h"]
+    for c in by:
+        same = same & (left[c] == right[f"_{c}"])
+    cond = (same & left["_day"].between(right["day_lo"], right["day_hi"])
             & in_sector(left["_dir"], right["sector_lo"], right["sector_hi"]))
     hits = left.join(right, cond).groupBy(*keys).agg(
         F.max_by(F.struct("rec", "b0", "b1", "b2"), F.col("rec")).alias("fit"))

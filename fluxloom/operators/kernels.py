@@ -14,33 +14,35 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def map_windows(df: DataFrame, keys, cols, fn: Callable[..., dict], schema: str, carry=(), gaps: bool = False) -> DataFrame:
+def map_windows(df: DataFrame, keys, cols, fn: Callable[..., dict], schema: str, carry=(), gaps: bool = False, keep: bool = True) -> DataFrame:
     """Apply *fn(arrays..., carried values...)* to each packed window; its columns become long rows.
 
-    The window is already one row, so the map runs where the row lives. A
-    window with a missing array gives no rows, nor does one with a missing
-    sample unless the kernel handles *gaps*.
+    The window is already one row, so the map runs where the row lives, and
+    the result of one window at a time is held. A window with a missing array,
+    or with a missing sample unless the kernel handles *gaps*, cannot be
+    analysed: it gives one row of its key and missing results, or none where
+    *keep* is off (for sums that are joined back to the windows later).
     """
+    names = [part.split()[0] for part in schema.split(", ")]
     keys, cols, carry = list(keys), list(cols), list(carry)
     key_types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = []
             for row in batch.itertuples(index=False, name=None):
                 at = dict(zip(batch.columns, row))
                 arrays = [at[c] for c in cols]
-                if any(a is None for a in arrays):
-                    continue
-                arrays = [np.asarray(a, dtype=float) for a in arrays]
-                if any(len(a) == 0 or (not gaps and np.isnan(a).any()) for a in arrays):
-                    continue
-                out = pd.DataFrame(fn(*arrays, *[at[c] for c in carry]))
+                arrays = [None if a is None else np.asarray(a, dtype=float) for a in arrays]
+                if any(a is None or len(a) == 0 or (not gaps and np.isnan(a).any()) for a in arrays):
+                    if not keep:
+                        continue
+                    out = pd.DataFrame({n: pd.Series([None], dtype=object) for n in names})
+                else:
+                    out = pd.DataFrame(fn(*arrays, *[at[c] for c in carry]))
                 for i, k in enumerate(keys):
                     out.insert(i, k, at[k])
-                parts.append(out)
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+                if len(out):
+                    yield out
 
     return df.select(*dict.fromkeys([*keys, *cols, *carry])).mapInPandas(run, f"{key_types}, {schema}")
 

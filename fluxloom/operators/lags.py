@@ -7,9 +7,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from .kernels import map_windows, masked_lag_sums
 from .windows import array_mean
 
-HUGE = 1e300
-
-
 def lag_pairs(x: Column, y: Column, lag: int) -> Column:
     """Array of structs (a, b) of x(i) and y(i+lag)."""
     if lag >= 0:
@@ -35,7 +32,7 @@ def lagged_covariances(df: DataFrame, keys, x: str, y: str, max_lag: int) -> Dat
 def lagged_covariances_wide(df: DataFrame, keys, x: str, y: str, max_lag: int) -> DataFrame:
     """The same for wide lag ranges: one Fourier pass per window instead of one row per pair."""
     sums = map_windows(df, keys, [x, y], lambda a, b: masked_lag_sums(a, b, max_lag),
-                       "lag int, n double, sx double, sy double, sxy double", gaps=True)
+                       "lag int, n double, sx double, sy double, sxy double", gaps=True, keep=False)
     n = F.col("n")
     return sums.filter(n > 0).select(*keys, "lag", (F.col("sxy") / n - F.col("sx") / n * F.col("sy") / n).alias("cov"), n.cast("long").alias("n"))
 
@@ -72,9 +69,10 @@ def dissipation_rate(sf: DataFrame, keys, mean_speed: Column, dt: float, lo: flo
 def covariance_random_error(df: DataFrame, keys, w: str, c: str, max_lag: int, min_samples: int = 1000) -> DataFrame:
     """Sampling error of a covariance from the biased auto- and cross-covariances out to *max_lag*.
 
-    *w* and *c* are anomalies with zeros in place of missing samples.
+    *w* and *c* are anomalies with zeros in place of missing samples. A window
+    that is too short keeps its row without an error.
     """
-    keys = list(keys)
+    keys, windows = list(keys), df.select(*keys)
     n = F.size(w)
     ok = df.filter((n >= min_samples) & (F.floor(n / 2) - 1 >= max_lag)).withColumn("_n", n)
     def biased(x, y, name):
@@ -83,15 +81,19 @@ def covariance_random_error(df: DataFrame, keys, w: str, c: str, max_lag: int, m
     g = (biased(w, w, "ww").join(biased(c, c, "cc"), [*keys, "_n", "lag"]).join(biased(w, c, "wc"), [*keys, "_n", "lag"])
          .join(biased(c, w, "cw"), [*keys, "_n", "lag"]))
     var = g.groupBy(*keys, "_n").agg(F.sum(F.col("ww") * F.col("cc") + F.col("wc") * F.col("cw")).alias("_v"))
-    return var.select(*keys, F.when(F.col("_v") > 0, F.sqrt(F.col("_v") / F.col("_n"))).alias("error"))
+    found = var.select(*keys, F.when(F.col("_v") > 0, F.sqrt(F.col("_v") / F.col("_n"))).alias("error"))
+    return windows.join(found, keys, "left")
 
 
 def lagged_covariances_sums(df: DataFrame, keys, x: str, y: str, max_lag: int) -> DataFrame:
-    return map_windows(df, keys, [x, y], lambda a, b: masked_lag_sums(a, b, max_lag), "lag int, n double, sx double, sy double, sxy double")
+    return map_windows(df, keys, [x, y], lambda a, b: masked_lag_sums(a, b, max_lag), "lag int, n double, sx double, sy double, sxy double", keep=False)
 
 
 def noise_variance(df: DataFrame, keys, x: str, fs: float, lo: int, hi: int, min_samples: int = 1000, exponent: float = 2.0 / 3.0) -> DataFrame:
-    """White-noise variance: lag-zero autocovariance minus the line in tau^(2/3) extrapolated to zero."""
+    """White-noise variance: lag-zero autocovariance minus the line in tau^(2/3) extrapolated to zero.
+
+    A window with too few samples keeps its row with missing values.
+    """
     valid = F.size(F.filter(x, lambda a: a.isNotNull()))
     z = df.filter((valid >= min_samples) & (F.floor(F.size(x) / 2) > hi)).withColumn("_m", array_mean(F.col(x))).select(
         *keys, valid.alias("_k"), F.transform(x, lambda a: F.coalesce(a - F.col("_m"), F.lit(0.0))).alias("_z"))
@@ -100,7 +102,8 @@ def noise_variance(df: DataFrame, keys, x: str, fs: float, lo: int, hi: int, min
     tau = F.when(fit, F.pow(F.col("lag") / fs, F.lit(exponent)))
     g = acov.groupBy(*keys).agg(F.max(F.when(F.col("lag") == 0, F.col("_c"))).alias("total_var"),
                                 F.regr_intercept(F.when(fit, F.col("_c")), tau).alias("_signal"))
-    return g.select(*keys, F.greatest(F.col("total_var") - F.col("_signal"), F.lit(0.0)).alias("noise_var"), "total_var")
+    found = g.select(*keys, F.when(F.col("_signal").isNotNull(), F.greatest(F.col("total_var") - F.col("_signal"), F.lit(0.0))).alias("noise_var"), "total_var")
+    return df.select(*keys).join(found, list(keys), "left")
 
 
 def bounded_correlation_peak(df: DataFrame, keys, x: str, y: str, max_lag: int) -> DataFrame:

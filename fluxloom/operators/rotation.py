@@ -65,8 +65,9 @@ def cumulative_fits(df: DataFrame, keys, day: str, min_points: int = 4) -> DataF
 def bootstrap_tilt(df: DataFrame, keys, order: str, n_boot: int, seed: int = 0, min_fits: int = 10) -> DataFrame:
     """Population sd of pitch and roll over resamples with replacement.
 
-    Draw *j* of replicate *r* takes the point ``h(r, j) mod n``; the draws are
-    rows, so replicates run in parallel and a retry repeats the same sample.
+    Draw *j* of replicate *r* takes the point ``md5(seed, keys, r, j) mod n``;
+    the draws are rows, so replicates run in parallel and a retry repeats the
+    same sample. Keys draw independently of each other.
     *df* holds period means (one row per point).
     """
     keys = list(keys)
@@ -74,7 +75,8 @@ def bootstrap_tilt(df: DataFrame, keys, order: str, n_boot: int, seed: int = 0,
     pts = pts.select(*keys, "u", "v", "w", (F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1).cast("long").alias("i"))
     size = pts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n >= 4")
     reps = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)).cast("array<bigint>"))
-    mixed = F.expr(f"pmod(pmod((j + 1 + {int(seed)}L) * 2654435761L, 2147483647L) * pmod((r + 1) * 40503L, 65521L) + r, 2147483647L)")
+    name = F.concat_ws("|", F.lit(str(int(seed))), *[F.col(k).cast("string") for k in keys], F.col("r").cast("string"), F.col("j").cast("string"))
+    mixed = F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
     draws = (pts.select(*keys, F.col("i").alias("j")).join(size, keys).withColumn("r", reps)
              .select(*keys, "r", F.pmod(mixed, F.col("n")).alias("i")))
     fits = planar_fit(draws.join(pts, [*keys, "i"]), [*keys, "r"])

@@ -27,12 +27,13 @@ def octant_job(df: DataFrame, keys, triplets: dict[str, tuple[str, str, str]]) -
 
 
 def ramps_job(df: DataFrame, keys, signals, winds: tuple[str, str, str], scales, fs: float, edge_scales: float = 3.0) -> DataFrame:
-    """Event counts and spacings of the wavelet detector per signal and of the energy trigger."""
+    """Event counts and spacings of the wavelet detector per signal and of the energy trigger; a window without events has 0."""
     keys = list(keys)
     ev = {s: coherent.ramp_events(df, keys, s, scales, fs, edge_scales=edge_scales).select(*keys, "time_s") for s in signals}
     ev["tke"] = coherent.tke_triggers(df, keys, *winds, fs, scales[len(scales) // 2], 3 / fs, edge_scales=edge_scales).select(*keys, "time_s")
     all_ev = _stack(ev, "detector")
-    g = all_ev.groupBy(*keys, "detector").agg(F.count(F.lit(1)).alias("n_events"), F.max("time_s").alias("_b"), F.min("time_s").alias("_a"))
+    every = df.select(*keys, F.explode(F.array(*[F.lit(d) for d in ev])).alias("detector"))
+    g = every.join(all_ev, [*keys, "detector"], "left").groupBy(*keys, "detector").agg(F.count("time_s").alias("n_events"), F.max("time_s").alias("_b"), F.min("time_s").alias("_a"))
     return g.select(*keys, "detector", "n_events", F.try_divide(F.col("_b") - F.col("_a"), F.col("n_events") - 1).alias("mean_spacing"))
 
 
@@ -42,7 +43,7 @@ def coherent_flux_job(df: DataFrame, keys, event_signals, pairs, scales, fs: flo
     for s in event_signals:
         ev = coherent.ramp_events(df, keys, s, scales, fs, edge_scales=edge_scales).groupBy(*keys).agg(
             F.sort_array(F.collect_list(F.bround(F.col("time_s") * fs).cast("int"))).alias("_ev"))
-        with_ev = df.join(ev, keys)
+        with_ev = df.join(ev, keys, "left")
         out[s] = _stack({n: coherent.coherent_flux(with_ev, keys, x, y, "_ev", half) for n, (x, y) in pairs.items()}, "pair")
     return _stack(out, "event_signal")
 
@@ -93,7 +94,7 @@ def run_modules(df: DataFrame, keys, modules, fs: float, n: int, levels: int, x:
         return spectral.band_fractions(lines, keys, "sx", lam2 / 10, lam2, F.lit(speed))
 
     table = {
-        "spectra": lambda: spectral.spectra_job(df, keys, x, y, fs, n),
+        "spectra": lambda: spectral.spectra_job(df, keys, x, y, fs),
         "multiresolution": lambda: spectral.multiresolution_job(df, keys, x, y, levels, fs),
         "quadrant": lambda: coherent.quadrants(df, keys, x, y, (0.0, 1.0, 2.0)),
         "scales": scales,

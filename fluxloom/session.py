@@ -67,14 +67,3 @@ def cut_lineage(df: DataFrame, label: str, compression: str = "snappy") -> DataF
     df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Hash *df* over the cores when its input has only a few splits.
-
-    A table of many files or row groups has enough splits and passes
-    unchanged; only a small single-file input pays this exchange.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 > min(cores, 64):
-        return df
-    return df.repartition(cores, *cols)
