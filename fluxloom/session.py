@@ -52,6 +52,14 @@ def release_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, so that Spark deletes the shuffle files of plans that are done.
+
+    Without it they stay until the driver's heap fills; worth a call between two large steps.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused folder below the shared scratch folder."""
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
