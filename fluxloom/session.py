@@ -28,6 +28,9 @@ def build_session(master: str | None = None, app: str = "fluxloom", **conf) -> S
     return builder.getOrCreate()
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named in `spark.checkpoint.dir`.
 
@@ -52,14 +55,6 @@ def release_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Have the driver collect its garbage, so that Spark deletes the shuffle files of plans that are done.
-
-    Without it they stay until the driver's heap fills; worth a call between two large steps.
-    """
-    spark.sparkContext._jvm.System.gc()
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused folder below the shared scratch folder."""
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
@@ -71,7 +66,12 @@ def cut_lineage(df: DataFrame, label: str, compression: str = "snappy") -> DataF
     The written table survives the loss of any executor, and every consumer
     reads the same rows.
     """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path, compression=compression)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")  # the table replaces the shuffle files, which go when it is written
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
