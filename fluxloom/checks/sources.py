@@ -378,10 +378,10 @@ def _(t):
 def _(t):
     even = F.pmod("k", F.lit(2)) == 0
     x = t.tower().select("event_id", "ts_c", "k", F.when(even, F.col("ts_c")).otherwise(F.col("ts_c") + 273.15).alias("t"), (F.col("p_kpa") * 10).alias("p"), (F.col("h2o") / 1000).alias("q"))
-    return x.select("event_id", catalogue.convert_unit(F.col("t"), F.when(even, "°C").otherwise(" K "), "temperature").alias("t_c"),
-                    catalogue.convert_unit(F.col("p"), F.lit("hPa"), "pressure").alias("p_kpa"),
-                    catalogue.convert_unit(F.col("q"), F.lit("kg/m^3"), "h2o_density").alias("h2o_g"),
-                    catalogue.convert_unit(F.col("ts_c"), F.lit("deg C"), "temperature", "k").alias("t_k"))
+    return x.select("event_id", catalogue.to_internal(F.col("t"), F.when(even, "°C").otherwise(" K "), "temperature").alias("t_c"),
+                    catalogue.to_internal(F.col("p"), F.lit("hPa"), "pressure").alias("p_kpa"),
+                    catalogue.to_internal(F.col("q"), F.lit("kg/m^3"), "h2o_density").alias("h2o_g"),
+                    catalogue.to_internal(F.col("ts_c"), F.lit("deg C"), "temperature", "k").alias("t_k"))
 
 
 @check("c11_unit_precedence", "name unit", "",

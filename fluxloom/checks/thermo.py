@@ -123,9 +123,9 @@ def _(t):
            CASE WHEN z < 0 THEN 1.25 * pow(1 - 3 * z, 1 / 3.0::DOUBLE) ELSE 1.25 END AS cubic FROM z""")
 def _(t):
     z, us = (c("k") - 50) / 60.0, 0.1 + c("value") / 500
-    return t.tower().select("event_id", stability.sigma_w_above_canopy(z, us).alias("above"),
-                            stability.sigma_w_above_canopy(z, us, 39.0).alias("above_lat"),
-                            stability.sigma_w_in_canopy(c("height"), 25.0).alias("canopy"), flags.itc_cubic_root_model(z).alias("cubic"))
+    return t.tower().select("event_id", stability.sigma_w_reference(z, us).alias("above"),
+                            stability.sigma_w_reference(z, us, 39.0).alias("above_lat"),
+                            stability.sigma_w_canopy(c("height"), 25.0).alias("canopy"), flags.itc_cubic_root_model(z).alias("cubic"))
 
 
 @check("p21_three_class_flag", "event_id cls", "",

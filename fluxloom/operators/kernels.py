@@ -144,21 +144,22 @@ def envelope(x: np.ndarray) -> np.ndarray:
 
 
 def haar_frame_split(x: np.ndarray, k: float) -> tuple[np.ndarray, np.ndarray]:
-    """(strong, whole) reconstruction of the redundant dyadic Haar frame, threshold k rms per scale."""
-    n = len(x)
-    strong, whole = np.zeros(n), np.zeros(n)
-    csum = np.r_[0.0, np.cumsum(x)]
-    t = np.arange(n)
-    for m in range(1, int(np.floor(np.log2(n))) + 1):
-        h = 2 ** (m - 1)
-        b = np.arange(n - 2 * h + 1)
-        coef = np.zeros(n)
-        coef[b] = (2 * csum[b + h] - csum[b] - csum[b + 2 * h]) * 2.0 ** (-m / 2)
-        rms = np.sqrt(np.sum(coef ** 2) / len(b))
-        for target, values in ((strong, np.where(np.abs(coef) > k * rms, coef, 0.0)), (whole, coef)):
-            run = np.r_[0.0, np.cumsum(values)]
-            at = lambda shift: run[np.clip(t + shift, 0, n)]
-            target += (at(1) - 2 * at(1 - h) + at(1 - 2 * h)) * 2.0 ** (-1.5 * m)
+    """(strong, whole) reconstruction of the redundant dyadic Haar frame, threshold k rms per scale.
+
+    The frame as an undecimated filter bank: the analysis filter of a level is
+    the step psi of its width, the synthesis filter the same step turned round,
+    and 4^-level makes the pair of unit gain. Levels add up as spectra.
+    """
+    n, levels = len(x), int(np.log2(len(x)))
+    size = 2 << int(np.ceil(np.log2(n)))
+    signal, parts = np.fft.rfft(x, size), np.zeros((2, size // 2 + 1), dtype=complex)
+    for level in range(1, levels + 1):
+        width = 1 << level
+        psi = np.fft.rfft(np.repeat([1.0, -1.0], width // 2), size)
+        detail = np.fft.irfft(signal * psi.conj(), size)[:n - width + 1]
+        kept = detail * (detail ** 2 > k * k * np.mean(detail ** 2))
+        parts += np.fft.rfft(np.stack([kept, detail]), size) * psi / 4.0 ** level
+    strong, whole = np.fft.irfft(parts, size)[:, :n]
     return strong, whole
 
 

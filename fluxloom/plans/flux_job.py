@@ -407,10 +407,10 @@ def quality_classes(df: DataFrame, opts: FluxOptions) -> dict[str, Column]:
     n = c("n_x")
     sigma_w = F.when(n > 1, F.sqrt(F.greatest(c("s_wr_wr"), F.lit(0.0)) / (n - 1.0)))
     zeta = F.greatest(c("height") - opts.displacement, F.lit(0.1)) / F.when(~(c("rot") | c("tsf")), c("L"))
-    above = stability.sigma_w_above_canopy(zeta, c("ustar_pf"), opts.latitude)
+    above = stability.sigma_w_reference(zeta, c("ustar_pf"), opts.latitude)
     model = above
     if opts.canopy is not None:
-        model = F.when(c("height") <= opts.canopy, stability.sigma_w_in_canopy(c("height"), opts.canopy)).otherwise(above)
+        model = F.when(c("height") <= opts.canopy, stability.sigma_w_canopy(c("height"), opts.canopy)).otherwise(above)
     itc = stability.itc_deviation(sigma_w, c("ustar_pf"), model)
     itc2 = stability.itc_deviation(sigma_w, c("ustar_pf"), qf.itc_cubic_root_model(zeta))
     simple = {}

@@ -66,25 +66,27 @@ def map_columns(df: DataFrame, keys, mapping: dict[str, str]) -> DataFrame:
     return df.select(*keys, *[(F.col(s).cast("double") if s in df.columns else F.lit(None).cast("double")).alias(o) for o, s in mapping.items()])
 
 
-def normal_unit(unit: Column) -> Column:
-    """Canonical spelling of a unit."""
-    u = F.lower(F.trim(unit))
-    for a, b in (("[°º]", "deg"), (r"[\^ _]", ""), ("/m3", "m-3"), ("/m2", "m-2")):
-        u = F.regexp_replace(u, a, b)
-    return u
-
-
-def convert_unit(value: Column, unit: Column, quantity: str, target: str | None = None) -> Column:
-    """Value in the internal (or target) unit; an unknown declared unit raises an error."""
-    table = UNITS[quantity]
-    scale_t, offset_t = table[target] if target else (1.0, 0.0)
-    u = normal_unit(unit)
-    out = None
-    for name, (s, o) in table.items():
-        v = (value * s + o - offset_t) / scale_t
-        out = F.when(u == name, v) if out is None else out.when(u == name, v)
-    missing = unit.isNull() | (u == "")
-    return F.when(missing, value).otherwise(out.otherwise(F.raise_error(F.concat(F.lit(f"{quantity}: unknown unit "), unit)).cast("double")))
+def unit_name(unit: Column) -> Column:
+    """A unit in the spelling of the table: small letters, no blanks or carets, degrees in words, negative powers."""
+    plain = F.regexp_replace(F.regexp_replace(F.translate(F.lower(unit), "º", "°"), "[ ^_]", ""), "°", "deg")
+    return F.regexp_replace(plain, "/m([23])", "m-$1")
+
+
+def to_internal(value: Column, unit: Column, quantity: str, target: str | None = None) -> Column:
+    """Value in the internal (or target) unit, by a lookup of the line (scale, offset) of its unit.
+
+    Without a declared unit the value stays; an unknown one raises an error.
+    """
+    lines = F.create_map(*[x for name, (scale, offset) in UNITS[quantity].items()
+                           for x in (F.lit(name), F.struct(F.lit(float(scale)).alias("scale"), F.lit(float(offset)).alias("offset")))])
+    name = unit_name(unit)
+    line = F.try_element_at(lines, F.nullif(name, F.lit("")))
+    internal = value * line["scale"] + line["offset"]
+    if target:
+        scale, offset = UNITS[quantity][target]
+        internal = (internal - offset) / scale
+    unknown = F.raise_error(F.concat(F.lit(f"{quantity}: unknown unit "), unit)).cast("double")
+    return F.when(F.coalesce(name, F.lit("")) == "", value).when(line.isNull(), unknown).otherwise(internal)
 
 
 def clean_unit(unit: Column) -> Column:

@@ -222,3 +222,49 @@ def test_level_platform_leaves_the_wind_alone(spark):
 def test_pack_averages_repeated_slots(spark):
     df = spark.createDataFrame([(1, 2, 4.0), (1, 0, 1.0), (1, 1, 2.0), (1, 1, 4.0)], "k int, i int, x double")
     assert windows.pack(df, ["k"], "i", ["x"]).first().x == [1.0, 3.0, 4.0]
+
+
+def test_all_flags_void_every_flux_output(spark):
+    from fluxloom.plans.flux_job import FluxOptions, flux_job
+
+    rng = np.random.default_rng(3)
+    n, period = 600, 60_000_000
+    rows = [("s", h, 1_000_000 * (i + 1), period * (1 + i // 60), *[float(v) for v in (
+        4 + rng.normal(), rng.normal(), rng.normal(), 22 + rng.normal(), 9 + rng.normal(), 720 + rng.normal(), 22 + rng.normal(), 101.0, 0.0)])
+        for h in (3.0, 10.0) for i in range(n)]
+    samples = spark.createDataFrame(rows, "site string, height double, us long, period_us long, u double, v double, w double, ts_c double, "
+                                          "h2o double, co2 double, fw double, p_kpa double, diag double")
+    free = {"site", "height", "period_us", "direction", "n_samples", "P_kPa", "T_K", "q_ref", "rho_d", "rho_v", "rho_air", "cp_air", "T_virt_K", "z_ref",
+            "unrot", "rot", "tsf", "fwf", "h2of", "co2f", "theta_v_sigma", "co2_mole_fraction", "Lv"}
+    flagged = flux_job(samples, FluxOptions(period_us=period, missing_share=0.0)).toPandas()
+    classes = [c for c in flagged if c.endswith(("_ssitc", "_ss", "_ssitc_simple"))]
+    left = [c for c in flagged if c not in free and c not in classes and flagged[c].notna().any()]
+    assert left == [] and (flagged[classes] == 2).all().all()
+    clean = flux_job(samples, FluxOptions(period_us=period)).toPandas()
+    assert clean["w_theta_v_cov_pf"].notna().all() and clean["w_co2_wpl_eta_pf"].notna().any()
+
+
+def test_a_window_that_cannot_be_analysed_keeps_its_row(spark):
+    from fluxloom.operators import kernels
+
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, None]), (3, None), (4, [])], "k long, x array<double>")
+    got = kernels.map_windows(df, ["k"], ["x"], lambda x: {"i": [0], "y": [x.sum()]}, "i int, y double").collect()
+    assert sorted((r.k, r.i, r.y) for r in got) == [(1, 0, 3.0), (2, None, None), (3, None, None), (4, None, None)]
+    assert kernels.map_windows(df, ["k"], ["x"], lambda x: {"y": [x.sum()]}, "y double", keep=False).count() == 1
+
+
+def test_linear_detrending_removes_a_trend_and_leaves_sigma(spark):
+    from fluxloom.plans.flux_job import FluxOptions, flux_job
+
+    rng, n, period = np.random.default_rng(5), 1200, 600_000_000
+    t = np.arange(1, n + 1) / 2
+    w, ts = rng.normal(size=n), 22 + rng.normal(size=n) * 0.3 + 0.01 * t
+    w = w + 0.004 * t
+    rows = [("s", 10.0, int(500_000 * (i + 1)), period, 4 + float(rng.normal()), float(rng.normal()), float(w[i]), float(ts[i]), 9.0, 720.0, 22.0, 101.0, 0.0) for i in range(n)]
+    samples = spark.createDataFrame(rows, "site string, height double, us long, period_us long, u double, v double, w double, ts_c double, "
+                                          "h2o double, co2 double, fw double, p_kpa double, diag double")
+    fit = spark.createDataFrame([("s", 10.0, 0.0, 0.0, 0.0)], "site string, height double, b0 double, b1 double, b2 double")
+    row = flux_job(samples, FluxOptions(period_us=period), fits=fit).first()
+    residual = lambda x: x - np.polyval(np.polyfit(t, x, 1), t)
+    assert row["w_ts_cov_raw"] == pytest.approx(np.mean(residual(w) * residual(ts)), rel=1e-9)
+    assert row["w_sigma_raw"] == pytest.approx(np.std(w), rel=1e-9) and row["ts_sigma"] == pytest.approx(np.std(ts), rel=1e-9)
