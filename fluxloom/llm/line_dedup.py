@@ -22,7 +22,7 @@ from .graph import components
 MAX_EDITS, LEAST_CHARS = 2, 20
 #: Rows of a broadcast id list: 8 bytes each, so 32 MB at most; beyond it the join shuffles.
 BROADCAST_IDS = 4_000_000
-_LETTERS = "etaoinshrdlucmwg"  # counted modulo 16, four bits each
+_LETTERS = "etaoinshrdlucmwg"  # counted modulo 4, two bits each
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -44,33 +44,34 @@ def _key(length: Column, i: int, part: Column) -> Column:
 
 def index_rows(lines: DataFrame, max_edits: int) -> DataFrame:
     """(key, id, sig): the segments of every line."""
-    k, n = max_edits + 1, F.length("line")
+    k, n = max_edits + 1, F.col("size")
     keys = [_key(n, i, F.substring(F.col("line"), *_segment(n, i, k))) for i in range(1, k + 1)]
     return lines.select(F.explode(F.array(*keys)).alias("key"), "id", "sig")
 
 
 def probe_rows(lines: DataFrame, max_edits: int) -> DataFrame:
-    """(key, id, sig, shorter): the substrings that can be a segment of a line *shorter* characters shorter."""
-    k, n, out = max_edits + 1, F.length("line"), []
+    """(key, same, id, sig): the substrings that can be a segment of a line as long (`same`) or up to *max_edits* shorter.
+
+    A substring beyond the line's ends is cut short and equals no segment of that place.
+    """
+    k, n, keys, own = max_edits + 1, F.col("size"), [], 0
     for less in range(max_edits + 1):
         for i in range(1, k + 1):
             start, size = _segment(n - less, i, k)
             low = max(-(i - 1), less - (k - i))
             high = min(i - 1, less + (k - i))
-            for shift in range(low, high + 1):
-                at = start + shift
-                fits = (at >= 1) & (at + size - 1 <= n)
-                out.append(F.when(fits, F.struct(_key(n - less, i, F.substring(F.col("line"), at, size)).alias("key"), F.lit(less).cast("byte").alias("shorter"))))
-    rows = lines.select(F.explode(F.array_compact(F.array(*out))).alias("p"), "id", "sig")
-    return rows.select("p.key", "id", "sig", "p.shorter")
+            keys += [_key(n - less, i, F.substring(F.col("line"), start + shift, size)) for shift in range(low, high + 1)]
+        own = own or len(keys)
+    rows = lines.select(F.posexplode(F.array(*keys)).alias("pos", "key"), "id", "sig")
+    return rows.select("key", (F.col("pos") < own).alias("same"), "id", "sig")
 
 
 def letter_counts(line: Column) -> Column:
-    """Counts of sixteen letters modulo 16 in one number."""
-    sig = F.lit(0).cast("long")
+    """Counts of sixteen letters modulo 4 in one number."""
+    sig = F.lit(0)
     for j, c in enumerate(_LETTERS):
         count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))
-        sig = sig.bitwiseOR(F.shiftleft((count % 16).cast("long"), 4 * j))
+        sig = sig.bitwiseOR(F.shiftleft(count % 4, 2 * j))
     return sig
 
 
@@ -78,8 +79,8 @@ def _letters_apart(a: str, b: str) -> str:
     """Lower bound of the sum of count differences; an edit moves it by two at most."""
     terms = []
     for j in range(len(_LETTERS)):
-        x, y = (f"(shiftrightunsigned({c}, {4 * j}) & 15)" for c in (a, b))
-        terms.append(f"least(({x} - {y}) & 15, ({y} - {x}) & 15)")
+        x, y = (f"(shiftrightunsigned({c}, {2 * j}) & 3)" for c in (a, b))
+        terms.append(f"least(({x} - {y}) & 3, ({y} - {x}) & 3)")
     return " + ".join(terms)
 
 
@@ -110,14 +111,18 @@ def banded_distance(a: str, b: str, max_edits: int) -> str:
     return f"transform(array({head}), h -> transform(array({tail}), e -> transform(array({words}), p -> {walk})[0])[0])[0]"
 
 
+def with_signature(lines: DataFrame) -> DataFrame:
+    """Add length and letter counts, which both sides of the join read from the written table."""
+    return lines.withColumns({"size": F.length("line"), "sig": letter_counts(F.col("line"))})
+
+
 def near_lines(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
-    """(a, b) with a < b: all near pairs of the distinct lines given as (id, line)."""
-    signed = lines.withColumn("sig", letter_counts(F.col("line")))
-    probes, index = probe_rows(signed, max_edits).alias("p"), index_rows(signed, max_edits).alias("i")
-    met = probes.join(index, F.expr(f"p.key = i.key AND (p.shorter > 0 OR p.id > i.id) AND {_letters_apart('p.sig', 'i.sig')} <= {2 * max_edits}"))
+    """(a, b) with a < b: all near pairs of the distinct lines given as `with_signature` gives them (id, line, size, sig)."""
+    probes, index = probe_rows(lines, max_edits).alias("p"), index_rows(lines, max_edits).alias("i")
+    met = probes.join(index, F.expr(f"p.key = i.key AND (p.id > i.id OR NOT p.same) AND {_letters_apart('p.sig', 'i.sig')} <= {2 * max_edits}"))
     pairs = cut_lineage(met.select(F.least("p.id", "i.id").alias("a"), F.greatest("p.id", "i.id").alias("b")).distinct(), "line-pairs")
     ids = cut_lineage(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "line-ids")
-    some = cut_lineage(lines.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi"), "line-texts")
+    some = cut_lineage(lines.select("id", "line").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi"), "line-texts")
     texts = pairs.join(some.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(some.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
     return texts.filter(F.expr(banded_distance("x", "y", max_edits)) <= max_edits).select("a", "b")
 
@@ -125,8 +130,8 @@ def near_lines(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(h1, h2, class, first_doc): lines of classes with two occurrences or more; h1 and h2 hash the line."""
     each = lines_of(docs, id_col, text_col, least_chars).groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
-    distinct = cut_lineage(each.withColumn("id", F.monotonically_increasing_id()), "lines", compression="zstd")
-    labels = components(cut_lineage(near_lines(distinct.select("id", "line"), max_edits), "near-lines"))
+    distinct = cut_lineage(with_signature(each.withColumn("id", F.monotonically_increasing_id())), "lines", compression="zstd")
+    labels = components(cut_lineage(near_lines(distinct, max_edits), "near-lines"))
     hashes = [F.xxhash64(F.lit(k), "line").alias(f"h{k}") for k in (1, 2)]
     small = labels.count() <= BROADCAST_IDS
     single = distinct.filter("n > 1").join(F.broadcast(labels) if small else labels, F.col("id") == F.col("node"), "left_anti").select(
