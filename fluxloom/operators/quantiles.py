@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def exact_quantiles(df: DataFrame, keys, x: str, probs: dict[str, float], buckets: int = 1024) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys, x: str, probs: dict[str, float], buckets: int = 64) -> DataFrame:
     """Linearly interpolated quantiles of *x* per key.
 
     Equal values are counted before the shuffle; the counts are spread over
-    value buckets, cumulated inside a bucket and carried across buckets, so
-    neither a large group nor a frequent value meets one task whole.
+    buckets between approximate quantiles of the values, cumulated inside a
+    bucket and carried across buckets. Neither a large group nor a frequent
+    value meets one task whole, and outliers do not widen the other buckets.
     """
     keys = list(keys)
     if not keys:
         return exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], x, probs, buckets).drop("_all")
     counts = (df.filter(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("_x"))
               .agg(F.count(F.lit(1)).alias("_k")))
-    span = counts.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.sum("_k").alias("_n"))
-    pos = F.coalesce(F.try_divide(F.col("_x") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    placed = counts.join(span, keys).withColumn(
-        "_b", F.least(F.floor(pos * buckets), F.lit(buckets - 1)))
+    at = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    span = counts.groupBy(*keys).agg(F.percentile_approx("_x", at, 20 * buckets).alias("_edges"), F.sum("_k").alias("_n"))
+    bucket = " + ".join(f"cast(_x > _edges[{i}] as int)" for i in range(buckets - 1))
+    placed = counts.join(span, keys).withColumn("_b", F.expr(bucket)).drop("_edges")
     sums = placed.groupBy(*keys, "_b").agg(F.sum("_k").alias("_s"))
     before = F.sum("_s").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
     sums = sums.select(*keys, "_b", F.coalesce(before, F.lit(0)).alias("_base"))

@@ -101,10 +101,16 @@ def toa5_header(spark: SparkSession, path) -> DataFrame:
     return row(r'^"?TIMESTAMP', "name").join(row(r'^"?TS"?,', "unit"), ["file", "pos"], "left")
 
 
-def load_logger_files(spark: SparkSession, paths, columns: list[str]) -> DataFrame:
-    """Several files as one table; of equal stamps the first by (file, record) stays."""
-    df = scan_toa5(spark, paths, columns)
-    return df.groupBy("us").agg(F.min_by(F.struct("file", "record", *columns), F.struct("file", "record")).alias("_r")).select("us", "_r.*")
+def load_logger_files(spark: SparkSession, paths, columns: list[str], source: str | None = None) -> DataFrame:
+    """Several files as one table; of equal stamps of a source the first by (file, record) stays.
+
+    *source* is a pattern whose group names the logger in a file's path; the
+    name becomes the column ``source``. Without it all files are one logger's.
+    """
+    df, keys = scan_toa5(spark, paths, columns), ["us"]
+    if source:
+        df, keys = df.withColumn("source", F.regexp_extract("file", source, 1)), ["source", "us"]
+    return df.groupBy(*keys).agg(F.min_by(F.struct("file", "record", *columns), F.struct("file", "record")).alias("_r")).select(*keys, "_r.*")
 
 
 def scan_stats_log(spark: SparkSession, path, columns: list[str]) -> DataFrame:
@@ -183,9 +189,10 @@ def scan_tagged_log(spark: SparkSession, path, chunk: int = 1 << 22) -> tuple[Da
     return records, stats
 
 
-def scan_attitude_csv(spark: SparkSession, path, schema: str, columns: dict[str, str], time: str, lag_s: float = 0.0) -> DataFrame:
-    """Delimited attitude records: mapped columns, constant clock lag, first of equal stamps."""
+def scan_attitude_csv(spark: SparkSession, path, schema: str, columns: dict[str, str], time: str, lag_s: float = 0.0,
+                      keys: tuple[str, ...] = ()) -> DataFrame:
+    """Delimited attitude records: mapped columns, constant clock lag, first of equal stamps per *keys* (site, unit)."""
     raw = spark.read.schema(schema).option("header", True).csv(path)
     us = F.unix_micros(F.to_timestamp(time)) + int(round(lag_s * 1e6))
-    rows = raw.select(us.alias("us"), *[F.col(src).cast("double").alias(out) for out, src in columns.items()], F.col("_metadata.file_path").alias("_f"))
-    return rows.groupBy("us").agg(F.min_by(F.struct(*columns), F.struct("_f", *columns)).alias("_r")).select("us", "_r.*")
+    rows = raw.select(*keys, us.alias("us"), *[F.col(src).cast("double").alias(out) for out, src in columns.items()], F.col("_metadata.file_path").alias("_f"))
+    return rows.groupBy(*keys, "us").agg(F.min_by(F.struct(*columns), F.struct("_f", *columns)).alias("_r")).select(*keys, "us", "_r.*")

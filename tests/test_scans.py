@@ -90,3 +90,23 @@ def test_median_exceeds(spark):
     for values, want in (([1.0, 2.0, 9.0], False), ([1.0, 6.0, 9.0], True), ([4.0, 6.0], False), ([4.0, 7.0], True)):
         df = spark.createDataFrame([(v,) for v in values], "x double")
         assert df.agg(quantiles.median_exceeds(F.col("x"), 5.0)).first()[0] is want
+
+
+def test_exact_quantiles_with_an_outlier(spark):
+    from fluxloom.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(2)
+    x = np.append(rng.normal(size=3000), 1e12)
+    df = spark.createDataFrame([(1, float(v)) for v in x] + [(2, 5.0)] * 4, "k int, x double")
+    got = {r.k: (r.lo, r.mid, r.hi) for r in exact_quantiles(df, ["k"], "x", {"lo": 0.1, "mid": 0.5, "hi": 0.99}).collect()}
+    assert np.allclose(got[1], np.quantile(x, [0.1, 0.5, 0.99])) and got[2] == (5.0, 5.0, 5.0)
+
+
+def test_equal_stamps_of_two_loggers_both_stay(spark, tmp_path):
+    from fluxloom.sources.text_scans import load_logger_files
+
+    for name in ("A", "B"):
+        (tmp_path / f"{name}_1.dat").write_text('"TOA5","x"\n"TIMESTAMP","RECORD","u"\n"TS","RN","m/s"\n"","","Avg"\n"2024-06-01 00:00:00",1,1.5\n')
+    paths = [f"{tmp_path}/A_1.dat", f"{tmp_path}/B_1.dat"]
+    assert load_logger_files(spark, paths, ["u"]).count() == 1
+    assert {r.source for r in load_logger_files(spark, paths, ["u"], source=r"/([AB])_1").collect()} == {"A", "B"}
