@@ -1,15 +1,15 @@
 """N-gram Jaccard join by prefix filters under several global token orders.
 
 A document's set holds the hashes of its distinct 5-word shingles. Two sets with a Jaccard similarity of t or more share
-a token among the first n - ceil(t n) + 1 of each under any order of all tokens. The first order makes the candidates,
+l tokens among the first n - ceil(t n) + l of each under any order of all tokens. The first order makes the candidates,
 the others are intersected with it before two sets are compared. All orders put tokens that many documents share last
 (a table of the commonest ones, bounded, read by every task) and are otherwise the orders of different hash functions;
 any table gives the same links, a good one fewer candidates.
 
 Groups of alike documents are not expanded into pairs. Equal sets are one node. Of a token's documents each is first
-compared with one pivot and one neighbour, those that shared most tokens; the links found merge nodes into components.
-Then only pairs of different components that share a token are left, and of those only pairs whose parity bitmaps do not
-already tell more differences than the threshold allows are compared. No pair that could merge components is left out.
+paired with one pivot and one neighbour, those that shared most tokens; the links found merge nodes into components.
+Then only pairs of different components that share a token are left. Of either pairs only those are compared whose parity
+bitmaps do not already tell more differences than the threshold allows. No pair that could merge components is left out.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ NGRAM, PERCENT, ORDERS = 5, 75, 3
 #: Entries of the table of common tokens (12 bytes each), of ids in a broadcast (8 bytes each).
 COMMON_TOKENS, BROADCAST_IDS = 200_000, 4_000_000
 BITMAP_WORDS = 16  # 1,024 bits
+MORE_SHARED = 32  # prefixes under the first order are longer by one token in so many, and so many more must be shared
 HOT_CLASS, SALTS = 12, 16  # tokens of 2 ** 12 documents or more are dealt over so many groups
 _UPPER = bytes(range(65, 91))
 _LOWER_TABLE = bytes(b + 32 if b in _UPPER else b for b in range(256))
@@ -60,9 +61,12 @@ def shingle_sets(texts: list[str | None], ngram: int = NGRAM) -> list[np.ndarray
 
 
 def prefix(tokens: np.ndarray, order: int, common: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """The first n - ceil(t n) + 1 tokens under one order, and their classes (0: not in the table of common tokens)."""
+    """The first n - ceil(t n) + l tokens under one order, and their classes (0: not in the table of common tokens).
+
+    Similar sets share l tokens there, l being that of the smaller set: 1 + n // MORE_SHARED under the first order, else 1.
+    """
     n = len(tokens)
-    keep = n - (percent * n + 99) // 100 + 1 if n else 0
+    keep = n - (percent * n + 99) // 100 + 1 + (n // MORE_SHARED if order == 0 else 0) if n else 0
     rank = np.zeros(n, np.uint64)
     if len(common[0]) and n:
         at = np.minimum(np.searchsorted(common[0], tokens), len(common[0]) - 1)
@@ -174,17 +178,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = cut_lineage(tokens.filter("before IS NOT NULL OR after IS NOT NULL OR salt > 0").drop("after"), "shared-tokens")
 
     def best(pairs: DataFrame) -> DataFrame:
-        """Of each document's partners the one with most tokens shared."""
+        """Of each document's partners the one with most tokens shared, and their number."""
         n = pairs.filter("doc <> other").groupBy("doc", "other").count()
-        return n.groupBy("doc").agg(F.max_by("other", F.struct("count", -F.col("other"))).alias("other"))
+        return n.groupBy("doc").agg(F.max_by("other", F.struct("count", -F.col("other"))).alias("other"), F.max("count").alias("met"))
 
     heads = shared.filter("salt > 0").groupBy("token", "salt").agg(F.min("doc").alias("doc"))
     tops = heads.groupBy("token").agg(F.min("doc").alias("other"))
     pairs = best(shared.select("doc", F.col("first").alias("other"))).union(best(shared.select("doc", F.col("before").alias("other")))).union(
-        best(heads.join(tops, "token").select("doc", "other")))
+        best(heads.join(tops, "token").select("doc", "other")))  # these three choose what is compared first, and leave out nothing
     to = lambda side, name: member.select(F.col("doc").alias(side), F.col("node").alias(name))
-    pairs = pairs.join(to("doc", "x"), "doc").join(to("other", "y"), "other").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    near = cut_lineage(pairs.distinct(), "near-pairs")
+    pairs = pairs.join(to("doc", "x"), "doc").join(to("other", "y"), "other").filter("x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("met").alias("met"))
+    # |x| + |y| - 2 common <= (1 - t) / (1 + t) (|x| + |y|), and the smaller set has t of the larger
+    apart = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in _BITS)
+    possible = (f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+                f" AND {100 + percent} * ({apart}) <= {100 - percent} * (x.n + y.n)")
+    marks = by_node.select(F.col("doc_id").alias("node"), "n", *_BITS)
+    near = pairs.join(marks.alias("x"), F.expr("a = x.node")).join(marks.alias("y"), F.expr("b = y.node")).filter(
+        F.expr(f"{possible} AND met > least(x.n, y.n) div {2 * MORE_SHARED}"))
+    near = cut_lineage(near.select("a", "b"), "near-pairs")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs whose prefixes meet under every further order and whose sets are similar enough."""
@@ -206,14 +217,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "doc", "node", F.coalesce("label", "node").alias("label"))
     spots = shared.select("token", "doc").join(placed, "doc").select("token", "node", "label").distinct()
     mixed = spots.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    wide = spots.join(mixed.select("token"), "token", "left_semi").join(
-        by_node.select(F.col("doc_id").alias("node"), "n", *_BITS), "node").dropDuplicates(["token", "node"])
-    apart = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in _BITS)
-    # |x| + |y| - 2 common <= (1 - t) / (1 + t) (|x| + |y|), and the smaller set has t of the larger
-    left = wide.alias("x").join(wide.alias("y"), F.expr(
-        f"x.token = y.token AND x.label < y.label AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-        f" AND {100 + percent} * ({apart}) <= {100 - percent} * (x.n + y.n)"))
-    left = left.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
+    wide = spots.join(mixed.select("token"), "token", "left_semi").join(marks, "node").dropDuplicates(["token", "node"])
+    left = wide.alias("x").join(wide.alias("y"), F.expr(f"x.token = y.token AND x.label < y.label AND {possible}"))
+    left = left.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(
+        F.count("*").alias("met"), F.min(F.least("x.n", "y.n")).alias("n")).filter(f"met > n div {MORE_SHARED}")
+    left = left.select("a", "b").join(near, ["a", "b"], "left_anti")
     more = cut_lineage(linked(cut_lineage(left, "left-pairs")), "links")
     labels = components(links.union(more))
     final = member.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left").groupBy("doc").agg(
