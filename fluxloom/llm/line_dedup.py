@@ -8,7 +8,7 @@ already differ too much are never made; the rest is verified by a banded bit-par
 after the common head and tail.
 
 Classes are the connected components of near lines. Of a class the first occurrence stays (smallest doc_id, then the
-first line); all others are dropped.
+first line); all others are dropped. Lines too short for the edit join form classes by equality alone.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ _LETTERS = "etaoinshrdlucmwg"  # counted modulo 4, two bits each
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(doc_id, pos, line) of all lines that take part: of *least_chars* characters or more, not blank."""
+    """(doc_id, pos, line) of all lines of *least_chars* characters or more that are not blank."""
     rows = id_text(docs, id_col, text_col).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     return rows.filter((F.length("line") >= least_chars) & F.col("line").rlike("[^ \\x09-\\x0D]"))
 
@@ -129,9 +129,10 @@ def near_lines(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(h1, h2, class, first_doc): lines of classes with two occurrences or more; h1 and h2 hash the line."""
-    each = lines_of(docs, id_col, text_col, least_chars).groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    each = lines_of(docs, id_col, text_col, 1).groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    each = each.filter((F.length("line") >= least_chars) | (F.col("n") > 1))
     distinct = cut_lineage(with_signature(each.withColumn("id", F.monotonically_increasing_id())), "lines", compression="zstd")
-    labels = components(cut_lineage(near_lines(distinct, max_edits), "near-lines"))
+    labels = components(cut_lineage(near_lines(distinct.filter(F.col("size") >= least_chars), max_edits), "near-lines"))
     hashes = [F.xxhash64(F.lit(k), "line").alias(f"h{k}") for k in (1, 2)]
     small = labels.count() <= BROADCAST_IDS
     single = distinct.filter("n > 1").join(F.broadcast(labels) if small else labels, F.col("id") == F.col("node"), "left_anti").select(
@@ -144,7 +145,7 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """(doc_id, dropped): sorted numbers (from 0) of the lines to drop, for documents that have any."""
     classes = line_classes(docs, id_col, text_col, max_edits, least_chars)
-    places = lines_of(docs, id_col, text_col, least_chars).select("doc_id", "pos", F.xxhash64(F.lit(1), "line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"))
+    places = lines_of(docs, id_col, text_col, 1).select("doc_id", "pos", F.xxhash64(F.lit(1), "line").alias("h1"), F.xxhash64(F.lit(2), "line").alias("h2"))
     met = places.join(classes, ["h1", "h2"]).repartition("doc_id")
     here = met.groupBy("doc_id", "class", "first_doc").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     gone = F.when(F.col("doc_id").eqNullSafe(F.col("first_doc")), F.expr("slice(at, 2, size(at))")).otherwise(F.col("at"))
@@ -156,7 +157,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of *docs*: doc_id, n_lines, n_dropped, dropped, cleaned.
 
     n_lines counts all lines; `dropped` holds the numbers of the dropped ones; `cleaned` is the text without them. Lines
-    of fewer than *least_chars* characters and blank lines always stay. A NULL text has no line and stays NULL, an empty
+    of fewer than *least_chars* characters go only as exact repeats; blank lines always stay. A NULL text has no line and stays NULL, an empty
     one has one. Rows that share a doc_id are one document: what its first occurrence keeps, each of them keeps. NULL ids
     are one document that comes last. Columns named in *carry* come back in a struct `carried`.
     """

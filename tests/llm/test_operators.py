@@ -142,6 +142,13 @@ def test_line_dedup_equals_brute_force(spark):
     assert got == brute_line_dedup(docs)
 
 
+def test_short_lines_go_as_exact_repeats(spark):
+    long = "A line that is long enough for the edit join."
+    docs = [(1, f"Eauouon.\n\n{long}\nEauouon."), (2, f"Eauouon.\n{long}"), (3, "Eauouon!\n\n "), (4, None)]
+    got = {r.doc_id: (r.dropped, r.cleaned) for r in line_dedup.dedup_lines(frame(spark, docs)).collect()}
+    assert got == {1: ([3], f"Eauouon.\n\n{long}"), 2: ([0, 1], ""), 3: ([], "Eauouon!\n\n "), 4: ([], None)}
+
+
 @pytest.mark.parametrize("edits", [1, 3])
 def test_banded_distance(spark, edits):
     rng, rows = random.Random(edits), []
