@@ -29,9 +29,14 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "sec
              "access": 0.5, "api": 0.5, "client": 0.3, "key": 0.5, "salt": 0.5, "cookie": 0.5, "session": 0.4, "dsn": 0.6, "jwt": 0.9}
 PLACEHOLDERS = ("changeme", "example", "placeholder", "xxxx", "your", "none", "null", "true", "false", "todo", "redacted")
 LEAST_SCORE, LEAST_LENGTH = 1.5, 6
-
-_PAIR = re.compile(r"""(?a)(["']?)([A-Za-z_][A-Za-z0-9_.-]{0,127})\1\ *(?::=|=>|=(?!=)|:(?![:/]))\ *
-                       (?:"((?:[^"\\\n]|\\.){0,4096})"|'((?:[^'\\\n]|\\.){0,4096})'|([A-Za-z0-9_+/.=$@!%^&*~-]+))""", re.X)
+#: Least weight of a name whose bare value of letters only counts as a literal.
+SURE_NAME = 0.9
+
+# Possessive, and a name starts with its run of characters only, so that names and literals of any length take linear time.
+_PAIR = re.compile(r"""(?a)(?:(["'])|(?<![A-Za-z0-9_.-])[0-9.-]*+)([A-Za-z_][A-Za-z0-9_.-]*+)(?(1)\1)\ *+(?::=|=>|=(?!=)|:(?![:/]))\ *+
+                       (?:"([^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'([^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'|([A-Za-z0-9_+/.=$@!%^&*~-]+))""", re.X)
+#: A line that is nothing but name=letters, as in env and ini files.
+_BARE_LINE = re.compile(r"(?am)^[\x20\t]*+(?:export\x20++)?[A-Za-z_][A-Za-z0-9_.-]*+\x20*+=\x20*+([A-Za-z]++)[\x20\t]*+\r?$")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _NAME = re.compile(r"(?a)[A-Za-z_][A-Za-z0-9_.]*\Z")
 
@@ -65,18 +70,21 @@ def lex(text: str) -> list[tuple[str, str, int, int, bool]]:
 def literal_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive name, directly or through constants, with a score of LEAST_SCORE or more.
 
-    A bare word that names an earlier constant stands for that constant's literal; the last assignment before counts.
+    A bare word that names an earlier constant stands for that constant's literal; the last assignment before counts. Any
+    other bare word of letters is a literal only after a name of weight SURE_NAME or more on a line of nothing else.
     """
     if "=" not in text and ":" not in text:
         return []
     constants: dict[str, tuple[str, int, int]] = {}
     best: dict[tuple[int, int], float] = {}
+    bare = {m.start(1) for m in _BARE_LINE.finditer(text)} if "=" in text else set()
     for name, literal, start, end, quoted in lex(text):
         source = (literal, start, end)
         if not quoted and literal in constants:
             source = constants[literal]
         elif not quoted and _NAME.match(literal) and not any(c.isdigit() for c in literal):
-            continue  # a bare word of letters is a name or prose, no literal
+            if start not in bare or name_weight(name) < SURE_NAME:
+                continue  # a bare word of letters is a name or prose, no literal
         constants[name] = source
         score = literal_score(name_weight(name), source[0])
         if score >= LEAST_SCORE:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -296,6 +297,26 @@ def test_secret_spans_follow_constants(spark):
     assert row.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
 
 
+def test_secret_literals_and_names_of_any_length():
+    blob = "Zm9vYmFyMTIz" * 1000
+    for text in (f'private_key = "{blob}"', f'x = "old-value-11"\nx = "{blob}"\ncredentials = x', f"{'n' * 300}_password_{'n' * 300}: '{blob}'", f'"{"n" * 300}_password": "{blob}"'):
+        a = text.index(blob)
+        assert secrets.literal_spans(text) == [(a, a + len(blob))], text[:40]
+    began = time.perf_counter()
+    for text in ("a" * 1_000_000 + "=1", "a1" * 500_000 + ":", 'pwd="' + "\\x" * 500_000, "pwd=" + " " * 1_000_000, "'a" * 500_000 + "=", '"a":"' * 200_000):
+        secrets.literal_spans(text)
+    assert time.perf_counter() - began < 20
+
+
+def test_bare_letters_after_a_sensitive_name():
+    word = "correcthorsebattery"
+    for text in (f"DB_PWD={word}", f"a=1\nexport DB_PWD={word}\r\nb=2", f"[db]\npassphrase = {word}\n"):
+        a = text.index(word)
+        assert secrets.literal_spans(text) == [(a, a + len(word))], text
+    for text in (f"the pwd={word} is", f"DB_HOST={word}", f"pwd: {word}", f"f(pwd={word})"):
+        assert secrets.literal_spans(text) == [], text
+
+
 def test_personal_data_base_and_model(spark):
     docs = [(1, "call +1 (314) 555-6532 4663622617512349 now"), (2, "a.b@c.de 10.0.0.256 10.0.0.255"), (3, "card 4663 6226 1751 2349"), (4, "version 12.3.4 of 2019")]
     got = {r.doc_id: r for r in pii.personal_spans(frame(spark, docs)).collect()}
