@@ -173,7 +173,7 @@ def _(t):
 
 @check("x12_two_lag_ramps", "vec_id lag", "d s a2")
 def _(t):
-    return _renewal(t).filter("d is not null")
+    return _renewal(t)
 
 
 @check("x13_renewal_alpha_fit", "vec_id lag", "alpha renewal_flux",

@@ -98,7 +98,7 @@ def _(t):
     from ..session import cut_lineage
 
     x = t.tower().select("event_id", *KEYS, "us", "period_us", "u", "w")
-    return qc.despike_passes(x, KEYS, "us", {"u": 1.9}, DAY_US, 1, 2, CHUNK_US,
+    return qc.despike_passes(x, KEYS, "us", {"u": 1.9}, DAY_US, 1, qc.MOST_PASSES, CHUNK_US,
                              lambda df: cut_lineage(df, "despike"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -32,16 +35,23 @@ def infer_unit(df: DataFrame, keys, temperature: str, pressure: str) -> DataFram
         .when(median_exceeds(F.col(pressure), 200.0), "hPa").otherwise("kPa").alias("pressure_unit"))
 
 
-def sigma_spikes(df: DataFrame, keys, us: str, cols: dict[str, float], window_us: int) -> DataFrame:
+#: Passes after which despiking ends even if a pass still flags something, as in the reference.
+MOST_PASSES = 20
+
+
+def sigma_spikes(df: DataFrame, keys, us: str, cols: dict[str, float], window_us: int, active: DataFrame | None = None) -> DataFrame:
     """Add ``<c>_spike``: beyond k standard deviations in one of its two half-overlapping windows.
 
     One pass. Every row belongs to two windows of length *window_us*; the
-    window statistics are aggregates joined back, not sorted windows.
+    window statistics are aggregates joined back, not sorted windows. With *active* (keys, _win) only those windows
+    are tested, and ``<c>_spike_a`` and ``<c>_spike_b`` tell which of the two flagged the row.
     """
     keys = list(keys)
     half = window_us // 2
     slot = F.expr(f"{us} - pmod({us}, {half}L)")
     both = df.withColumn("_win", F.explode(F.array(slot, slot - half)))
+    if active is not None:
+        both = both.join(active, [*keys, "_win"], "left_semi")
     stats = both.groupBy(*keys, "_win").agg(
         *[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
     out = df
@@ -50,7 +60,8 @@ def sigma_spikes(df: DataFrame, keys, us: str, cols: dict[str, float], window_us
                             *[F.col(f"_s_{c}").alias(f"_s{name}_{c}") for c in cols])
         out = out.withColumn("_win", start).join(side, [*keys, "_win"], "left").drop("_win")
     hit = lambda c, k, n: F.coalesce(F.abs(F.col(c) - F.col(f"_m{n}_{c}")) >= k * F.nullif(F.col(f"_s{n}_{c}"), F.lit(0.0)), F.lit(False))
-    return out.select(*df.columns, *[(hit(c, k, "a") | hit(c, k, "b")).alias(f"{c}_spike") for c, k in cols.items()])
+    sides = [hit(c, k, n).alias(f"{c}_spike_{n}") for c, k in cols.items() for n in "ab"] if active is not None else []
+    return out.select(*df.columns, *[(hit(c, k, "a") | hit(c, k, "b")).alias(f"{c}_spike") for c, k in cols.items()], *sides)
 
 
 def unflag_long_runs(df: DataFrame, keys, us: str, flag: str, longest: int, chunk: int) -> DataFrame:
@@ -79,19 +90,28 @@ def interpolate_spikes(df: DataFrame, keys, us: str, col: str, flag: str, chunk:
 
 
 def despike_passes(df: DataFrame, keys, us: str, cols: dict[str, float], window_us: int, longest: int,
-                   passes: int, chunk: int, cut) -> DataFrame:
+                   passes: int, chunk: int, cut, repair_keys=None) -> DataFrame:
     """Scalable repeated despiking: flag, keep long runs, repair; *cut* writes each pass to a table.
 
-    All windows of a pass see the same input, so the result does not depend
+    It ends when a pass flags nothing, or after *passes*. A window in which a pass flags nothing is clean and not tested
+    again. Repairs use the good neighbours of the same *repair_keys* (default *keys*). All windows of a pass see the same input, so the result does not depend
     on the order of windows; the order-dependent form is :func:`despike_to_convergence`.
     """
     keys, names, out = list(keys), df.columns, df
+    half = window_us // 2
+    slots = {"a": F.expr(f"{us} - pmod({us}, {half}L)"), "b": F.expr(f"{us} - pmod({us}, {half}L) - {half}L")}
+    active = df.select(*keys, F.explode(F.array(*slots.values())).alias("_win")).distinct()
     for _ in range(passes):
-        out = sigma_spikes(out, keys, us, cols, window_us)
+        out = sigma_spikes(out, keys, us, cols, window_us, active)
         for c in cols:
             out = unflag_long_runs(out, keys, us, f"{c}_spike", longest, chunk)
-            out = interpolate_spikes(out, keys, us, c, f"{c}_spike", chunk)
-        out = cut(out.select(*[F.col(f"{c}_clean").alias(c) if c in cols else F.col(c) for c in names]))
+            out = interpolate_spikes(out, keys if repair_keys is None else repair_keys, us, c, f"{c}_spike", chunk)
+        hit = [F.when(reduce(or_, [F.col(f"{c}_spike") & F.col(f"{c}_spike_{n}") for c in cols]), at) for n, at in slots.items()]
+        out = cut(out.select(*[F.col(f"{c}_clean").alias(c) if c in cols else F.col(c) for c in names], F.array(*hit).alias("_hit")))
+        active = out.select(*keys, F.explode("_hit").alias("_win")).filter("_win IS NOT NULL").distinct()
+        out = out.select(*names)
+        if active.isEmpty():
+            break
     return out
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..operators import joins, qc, sequence
+from ..session import cut_lineage
 from .flux_job import FluxOptions, flux_job
 
 DAY_US = 86_400_000_000
@@ -12,13 +13,12 @@ DAY_US = 86_400_000_000
 
 def condition(samples: DataFrame, limits: dict[str, tuple[float, float]], spikes: dict[str, float], window_us: int,
               longest: int, chunk: int) -> DataFrame:
-    """Absolute limits, spike test, long-run release and repair inside each averaging period."""
+    """Absolute limits, then spike test, long-run release and repair inside each averaging period until a pass is clean."""
     keys = ["site", "height"]
-    out = qc.sigma_spikes(qc.absolute_limits(samples, limits), keys, "us", spikes, window_us)
-    for c in spikes:
-        out = qc.unflag_long_runs(out, keys, "us", f"{c}_spike", longest, chunk)
-        out = qc.interpolate_spikes(out, [*keys, "period_us"], "us", c, f"{c}_spike", chunk)
-    return out.select(*[F.col(f"{c}_clean").alias(c) if c in spikes else F.col(c) for c in samples.columns])
+    if not spikes:
+        return qc.absolute_limits(samples, limits)
+    return qc.despike_passes(qc.absolute_limits(samples, limits).select(*samples.columns), keys, "us", spikes, window_us, longest, qc.MOST_PASSES,
+                             chunk, lambda df: cut_lineage(df, "despike"), [*keys, "period_us"])
 
 
 def run_pipeline(samples: DataFrame, opts: FluxOptions, limits, spikes, window_us: int, chunk: int, longest: int = 10,

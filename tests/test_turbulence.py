@@ -176,6 +176,33 @@ def test_despike_repairs_a_lone_spike_and_keeps_long_runs(spark):
     assert np.allclose(got.x, out[:, 0]) and (got.x_spike == spikes[:, 0]).all()
 
 
+def test_despiking_goes_on_until_a_pass_is_clean(spark):
+    from fluxloom.plans.pipeline import condition
+    from fluxloom.session import cut_lineage
+
+    x = np.sin(np.arange(400.0))
+    x[[50, 120, 190]] = 1e6, 1e3, 30.0  # each hides the next
+    rows = [("s", 2.0, i * 1000, 10_000_000, float(v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "site string, height double, us long, period_us long, u double")
+    passes = []
+    got = qc.despike_passes(df, ["site", "height"], "us", {"u": 3.5}, 400_000, 10, qc.MOST_PASSES, 100_000,
+                            lambda d: passes.append(1) or cut_lineage(d, "despike"))
+    same = condition(df, {"u": (-1e9, 1e9)}, {"u": 3.5}, 400_000, 10, 100_000)
+    for out in (got, same):
+        y = out.orderBy("us").toPandas()
+        assert list(y.columns) == df.columns and y["u"].abs().max() <= 1.0 and len(y) == 400
+    assert len(passes) == 4
+
+
+def test_two_lag_ramps_query_keeps_rows_without_result(spark, monkeypatch):
+    from fluxloom.checks import coherent as checks, load_checks
+
+    rows = spark.createDataFrame([(1, 1, None, None, None), (2, 1, 0.5, 0.5, 0.5)], "vec_id long, lag int, d double, s double, a2 double")
+    monkeypatch.setattr(checks, "_renewal", lambda t: rows)
+    run = load_checks()["x12_two_lag_ramps"].run
+    assert run(spark, "/root/testdata/sf0.001").count() == 2
+
+
 def test_butterworth_passes_and_stops():
     t = np.arange(4000) / 10
     slow, fast = np.sin(2 * np.pi * 0.02 * t), np.sin(2 * np.pi * 2.0 * t)
