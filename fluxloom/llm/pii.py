@@ -1,6 +1,7 @@
 """Personal data by weak supervision.
 
-1. Candidates: the base patterns (email, ip, card, phone) and looser shapes (digit groups, handles, capitalised pairs).
+1. Candidates: the base patterns (email, ip, card, phone) and looser shapes (digit groups, handles, words after a
+   title, runs of capitalised words with a given name).
 2. Labelers vote 1 (personal), 0 (not) or -1 (no opinion) on each candidate: pattern labelers, gazetteer labelers and
    context labelers.
 3. Candidates with the same shape, votes and features are counted over the whole corpus: a table whose size depends on
@@ -40,6 +41,9 @@ _NUMBER = re.compile(r"""(?<![\w.@-])(?:
 _HANDLE = re.compile(r"(?<![\w@.])@[A-Za-z0-9_]{3,30}(?![\w@])")
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora", "Don", "Doña")
 _NAMED = re.compile(rf"\b({'|'.join(TITLES)})\.? ([^\W\d_]+)(?: ([^\W\d_]+))?")
+_WORD = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]*(?:['’-][^\W\d_]+)*"
+_CAPITALS = re.compile(rf"\b{_WORD}(?:(?: [A-Z]\.)* {_WORD})+")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _DIGIT = re.compile(r"[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
 
@@ -88,6 +92,27 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return out
 
 
+def _has_given_name(words: str) -> bool:
+    return any(p in GIVEN_NAMES for p in _LETTERS.findall(words.lower()))
+
+
+def name_runs(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of two capitalised words or more, from their first given name on; whole if that is the last word."""
+    for m in _CAPITALS.finditer(text):
+        if not _has_given_name(m.group()):
+            continue
+        runs: list[list[tuple[int, int]]] = [[]]
+        for w in re.finditer(r"[^ ]+", m.group()):
+            if w.group()[0].isupper():
+                runs[-1].append(w.span())
+            else:  # letters without a lower-case form in the pattern
+                runs.append([])
+        for run in runs:
+            known = next((k for k, (a, b) in enumerate(run) if _has_given_name(m.group()[a:b])), None)
+            if known is not None and len(run) > 1:
+                yield m.start() + run[known if known < len(run) - 1 else 0][0], m.start() + run[-1][1]
+
+
 def loose_spans(text: str) -> list[tuple[int, str, int]]:
     """Candidates of looser shapes, leftmost per kind."""
     out = [(m.start(), "number", m.end()) for m in _NUMBER.finditer(text)] if _DIGIT.search(text) else []
@@ -95,6 +120,13 @@ def loose_spans(text: str) -> list[tuple[int, str, int]]:
         out += [(m.start(), "handle", m.end()) for m in _HANDLE.finditer(text)]
     if any(t in text for t in TITLES):
         out += [(m.start(2), "name", m.end()) for m in _NAMED.finditer(text)]
+    titled = [(a, b) for a, k, b in out if k == "name"]
+    at = 0
+    for a, b in name_runs(text):
+        while at < len(titled) and titled[at][1] <= a:
+            at += 1
+        if at == len(titled) or titled[at][0] >= b:
+            out.append((a, "name", b))
     return out
 
 
@@ -106,7 +138,7 @@ def votes_and_features(text: str, start: int, kind: str, end: int, base: list[tu
     has = lambda ws: any(w in x for x in near for w in ws)
     sums = kind in ("card", "number") and 12 <= len(digits) <= 19
     low = span.lower()
-    known = kind == "name" and any(p in GIVEN_NAMES for p in low.split())
+    known = kind == "name" and _has_given_name(span)
     pattern = 1 if kind in BASE else 0 if kind == "number" and len(digits) < 7 else -1
     gazetteer = -1
     if kind == "email":

@@ -326,6 +326,14 @@ def test_personal_data_base_and_model(spark):
     assert got[4].spans == ""
 
 
+def test_names_without_a_title(spark):
+    texts = ["we met Maria Garcia and John F. Smith there", "by Jean-Pierre Dupont, García Maria", "Mr John Smith came", "a john smith, New York City", "привет мир Anna Bell"]
+    names = [["Maria Garcia", "John F. Smith"], ["Jean-Pierre Dupont", "García Maria"], ["John Smith"], [], ["Anna Bell"]]
+    assert [[t[a:b] for a, k, b in sorted(pii.loose_spans(t)) if k == "name"] for t in texts] == names
+    got = {r.doc_id: r.spans for r in pii.personal_spans(frame(spark, list(enumerate(texts)))).collect()}
+    assert got[0] == "name:7:19,name:24:37" and got[3] == ""
+
+
 def test_expectation_maximisation_finds_the_reliable_labeler():
     rng, counts = random.Random(1), Counter()
     for _ in range(4000):
