@@ -62,4 +62,51 @@ quality AS (SELECT *, NOT base_failed AND 100 * lost_chars <= 40 * chars AND 2 *
 OP5 = QUALITY + """SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines, n_bad_lines, lost_chars
 FROM quality"""
 
-ORACLES = {"op1_warc": OP1, "op5_quality_rules": OP5, "op9_decontamination": OP9}
+_CRC_TABLE = """list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"""
+OP11 = f"""
+WITH tab AS (SELECT {_CRC_TABLE} AS t),
+h AS (SELECT doc_id, source, text, coalesce('=' || source, '') AS s, hex(encode(coalesce(text, ''))) AS x, md5(text) AS digest FROM documents),
+d AS (SELECT doc_id, source, s, digest, CAST(length(x) // 2 + 1 AS BIGINT) AS size,
+        xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+            lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) AS text_crc32 FROM h, tab),
+c AS (SELECT *, (row_number() OVER (PARTITION BY s, doc_id, digest) - 1) AS k, count(*) OVER (PARTITION BY s) AS n FROM d),
+b AS (SELECT *, k // 1000 AS block FROM c),
+w AS (SELECT *, CAST('0x' || substr(md5('20:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(digest, '') || ':' || CAST(block AS VARCHAR)), 1, 15) AS BIGINT) AS draw,
+        (CAST('0x' || substr(md5('20:' || s), 1, 12) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(281474976710656 AS DOUBLE) AS phase FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY draw, doc_id NULLS FIRST, size, text_crc32, digest NULLS FIRST, block, k) AS r FROM w),
+g AS (SELECT *, row_number() OVER (ORDER BY (r - phase) / n, s, r) - 1 AS g, count(*) OVER () AS total FROM r)
+SELECT doc_id, source, size, text_crc32, 'rows' AS law, CAST(g * 16 // total AS INT) AS shard,
+       CAST(g - (g * 16 // total * total + 15) // 16 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
+FROM g
+"""
+
+
+def _kmeans(rounds: int = 3) -> str:
+    """One pair of common table expressions per round: assignment (a) and centroids (c)."""
+    near = """a{r} AS (SELECT vec_id, x, k AS cluster, distance FROM (
+      SELECT vec_id, x, k, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance FROM kept, c{r})
+      QUALIFY row_number() OVER (PARTITION BY vec_id, x ORDER BY distance, k) = 1)"""
+    move = """m{r} AS (SELECT cluster AS k, list(CAST(floor_div AS BIGINT) ORDER BY d) AS c FROM (
+      SELECT cluster, d, (sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*) AS floor_div FROM (
+        SELECT cluster, unnest(x) AS v, unnest(range(64)) AS d FROM a{p}) GROUP BY ALL) GROUP BY ALL),
+    c{r} AS (SELECT k, coalesce(m{r}.c, c{p}.c) AS c FROM c{p} LEFT JOIN m{r} USING (k))"""
+    parts = []
+    for r in range(rounds + 1):
+        parts += ([move.format(r=r, p=r - 1)] if r else []) + [near.format(r=r)]
+    return ",\n".join(parts)
+
+
+OP12 = f"""
+WITH kept AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(floor(64 * CAST(v AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), x) - 1 AS k, x AS c FROM kept
+  QUALIFY row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), x) <= 16),
+{_kmeans()}
+SELECT vec_id, CAST(cluster AS INT) AS cluster, CAST(distance AS BIGINT) AS distance,
+  CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a3 JOIN c3 ON cluster = k
+"""
+
+ORACLES = {"op1_warc": OP1, "op5_quality_rules": OP5, "op9_decontamination": OP9, "op11_sharding": OP11, "op12_centroid_clusters": OP12}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import context_tree, decontaminate, jaccard_join, line_dedup, pieces, pii, quality, secrets, tokens, warc
+from . import context_tree, decontaminate, jaccard_join, line_dedup, pieces, pii, quality, secrets, sharding, subvectors, tokens, warc
 from .oracles import ORACLES
 
 
@@ -59,4 +59,14 @@ def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.corpus_scores(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_line_dedup, op3_sentencepiece, op4_token_counts, op5_quality_rules, op6_secret_scans, op7_jaccard_join, op8_personal_data, op9_decontamination, op10_lm_scores)}
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = sharding.interleave(table(spark, sf_dir, "documents"))
+    return places.select("doc_id", "source", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subvectors.with_inertia(*subvectors.cluster_vectors(table(spark, sf_dir, "embeddings")))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_line_dedup, op3_sentencepiece, op4_token_counts, op5_quality_rules, op6_secret_scans, op7_jaccard_join, op8_personal_data, op9_decontamination, op10_lm_scores,
+                                      op11_sharding, op12_centroid_clusters)}
