@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import context_tree, decontaminate, jaccard_join, line_dedup, pieces, pii, quality, secrets, sharding, subvectors, tokens, warc
+from . import context_tree, decontaminate, jaccard_join, line_dedup, pieces, pii, quality, secrets, sharding, subvectors, tokens, warc, whitening
 from .oracles import ORACLES
 
 
@@ -68,5 +68,9 @@ def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subvectors.with_inertia(*subvectors.cluster_vectors(table(spark, sf_dir, "embeddings")))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {f.__name__: f for f in (op1_warc, op2_line_dedup, op3_sentencepiece, op4_token_counts, op5_quality_rules, op6_secret_scans, op7_jaccard_join, op8_personal_data, op9_decontamination, op10_lm_scores,
-                                      op11_sharding, op12_centroid_clusters)}
+                                      op11_sharding, op12_centroid_clusters, op13_embedding_whitening)}
