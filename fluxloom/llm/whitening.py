@@ -295,7 +295,7 @@ def principal_components(spark: SparkSession, matrix: np.ndarray, count: int = C
         for batch in batches:
             rows = batch.to_pylist()
             whole = [[int(v) for v in row] for row in shared.value]
-            yield pa.RecordBatch.from_pydict({"nth": [r["nth"] for r in rows], "vectors": [
+            yield pa.RecordBatch.from_pydict({"nth": batch.column(0), "vectors": [
                 null_space(whole, int(r["root"]), ROOT_BITS, r["times"]) for r in rows]})
 
     if not found:
@@ -352,7 +352,7 @@ def whiten(vectors: DataFrame, count: int = COMPONENTS, id_col: str = "vec_id",
             if batch.num_rows:
                 w, _ = project(_rows(batch.column(0), dims))
                 total += np.hstack([w.T @ w, w.sum(axis=0)[:, None]])
-        yield pa.RecordBatch.from_pydict({"i": list(range(len(pairs))), "m": total.tolist()})
+        yield pa.RecordBatch.from_pydict({"i": np.arange(len(pairs), dtype=np.int32), "m": total.tolist()})
 
     seen = distinct.select("x").mapInArrow(moments, "i int, m array<double>").select("i", F.posexplode("m").alias("j", "v"))
     table = np.zeros((len(pairs), len(pairs) + 1))
