@@ -9,7 +9,7 @@ from ..operators import motion
 from .registry import check
 from .standin import DAY_US
 
-_R = """r AS (SELECT event_id, radians(roll) AS ro, radians(pitch) AS pi_, radians(yaw) AS ya, ax * 9.81 AS ax, -ay * 9.81 AS ay, az * 9.81 AS az,
+_R = """r AS (SELECT event_id, radians(roll) AS ro, radians(pitch) AS pi_, radians(yaw) AS ya, ax * 9.80665 AS ax, -ay * 9.80665 AS ay, az * 9.80665 AS az,
   radians(gx) AS p, -radians(gy) AS q, radians(gz) AS r_ FROM imu)"""
 
 
@@ -67,40 +67,82 @@ def _(t):
     return s.select("event_id", "dr", "dp", "dy", *[x.alias(n) for n, x in zip("pqr", back)])
 
 
-def _packed(t):
-    """One packed series per site and day on an hourly-free slot axis: records in stamp order, gaps closed."""
-    from ..operators.windows import pack
+STEP = 1_000_000
+DAY = ["site", "day"]
 
-    day = F.expr(f"us div {DAY_US}").alias("day")
-    imu = _si(t).select("event_id", "site", day, "us", "ax", "ay", "az", "p", "q", "r", "roll", "pitch", "yaw")
-    wind = t.tower().select("event_id", F.coalesce("u", F.lit(4.0)).alias("u"), F.coalesce("v", F.lit(0.0)).alias("v"), "w")
-    return pack(imu.join(wind, "event_id"), ["site", "day"], "us", ["u", "v", "w", "ax", "ay", "az", "p", "q", "r", "roll", "pitch", "yaw"])
 
+def _series(t):
+    """Records of a site and day with ten minutes told as a second, so that gaps and several records a slot both occur."""
+    imu = _si(t).select("event_id", "site", F.expr(f"us div {DAY_US}").alias("day"), F.expr("us div 600").alias("us"),
+                        "ax", "ay", "az", "p", "q", "r", "roll", "pitch", (F.col("yaw") * 0.97).alias("yaw"))
+    return imu.join(t.tower().select("event_id", "u", "v", "w"), "event_id").drop("event_id")
 
-@check("m05_complementary_attitude", "site day i", "roll pitch yaw")
+
+@check("m05_complementary_attitude", "site day us", "roll pitch yaw")
+def _(t):
+    samples, _ = motion.regular(_series(t), DAY, "us", STEP, motion.ACCEL + motion.GYRO)
+    return motion.complementary_attitude(samples, DAY, "us", STEP, 20.0, chunk=50)
+
+
+@check("m06_platform_velocity", "site day us", "vx vy vz")
 def _(t):
-    return motion.complementary_attitude(_packed(t), ["site", "day"], 1.0, 20.0)
+    samples, _ = motion.regular(_series(t), DAY, "us", STEP, motion.ACCEL + motion.ANGLES)
+    return motion.platform_velocity(samples, DAY, "us", STEP, 20.0, chunk=50)
 
 
-@check("m06_platform_velocity", "site day i", "vx vy vz")
+@check("m07_motion_corrected_wind", "site day us", "u_true v_true w_true vx vy vz")
 def _(t):
-    from ..operators.windows import unpack
+    return motion.correct_wind(_series(t), DAY, "us", STEP, (0.3, -0.2, 2.5), attitude="complementary", chunk=50)[0]
+
+
+_SLOTS = f"""slots AS (SELECT site, us // {DAY_US} AS day, (us // 600) // {STEP} AS s, @means FROM imu JOIN tower USING (event_id, site, us) GROUP BY ALL),
+  ends AS (SELECT site, day, MIN(s) AS s0, MAX(s) AS s1 FROM slots GROUP BY 1, 2),
+  grid AS (SELECT g.site, g.day, g.s, slots.* EXCLUDE (site, day, s) FROM (SELECT site, day, UNNEST(range(s0, s1 + 1)) AS s FROM ends) g
+    LEFT JOIN slots ON slots.site = g.site AND slots.day = g.day AND slots.s = g.s)"""
 
-    rows = unpack(_packed(t), ["site", "day"], ["ax", "ay", "az", "roll", "pitch", "yaw"])
-    return motion.platform_velocity(rows, ["site", "day"], "i", 1.0, 20.0)
+
+def _fill(c: str) -> str:
+    """Linear filling with held ends; windows b (back) and a (ahead) run over the slots of a day."""
+    at_b, at_a = (f"{f}(CASE WHEN {c} IS NOT NULL THEN s END IGNORE NULLS) OVER {w}" for f, w in (("last_value", "b"), ("first_value", "a")))
+    x_b, x_a = (f"{f}({c} IGNORE NULLS) OVER {w}" for f, w in (("last_value", "b"), ("first_value", "a")))
+    return f"coalesce({c}, {x_b} + ({x_a} - {x_b}) * (s - {at_b})::DOUBLE / nullif({at_a} - {at_b}, 0), {x_b}, {x_a}) AS {c}"
+
+
+_WINDOWS = "WINDOW b AS (PARTITION BY site, day ORDER BY s), a AS (PARTITION BY site, day ORDER BY s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+_MEANS = "AVG(u) AS u, AVG(v) AS v, AVG(w) AS w, AVG(radians(roll)) AS roll, AVG(radians(pitch)) AS pitch, AVG(radians(yaw) * 0.97::DOUBLE) AS yaw"
+_TILT = f"""WITH @imu, @tower, {_SLOTS.replace("@means", _MEANS)},
+  f AS (SELECT site, day, s, u, v, w, {_fill("roll")}, {_fill("pitch")}, {_fill("yaw")} FROM grid {_WINDOWS}),
+  j AS (SELECT *, yaw - LAG(yaw) OVER (PARTITION BY site, day ORDER BY s) AS jump FROM f),
+  y AS (SELECT * EXCLUDE (yaw), yaw + SUM(CASE WHEN jump > pi() THEN -2 * pi() WHEN jump < -pi() THEN 2 * pi() ELSE 0 END) OVER (PARTITION BY site, day ORDER BY s) AS yaw FROM j),
+  c AS (SELECT * EXCLUDE (yaw), yaw - AVG(yaw) OVER (PARTITION BY site, day) AS yaw FROM y),
+  d AS (SELECT *, @d FROM c WINDOW o AS (PARTITION BY site, day ORDER BY s)),
+  q AS (SELECT *, droll - dyaw * sin(pitch) AS p_, dpitch * cos(roll) + dyaw * cos(pitch) * sin(roll) AS q_, -dpitch * sin(roll) + dyaw * cos(pitch) * cos(roll) AS r_ FROM d),
+  z AS (SELECT *, u + q_ * 2.5 - r_ * -0.2 AS a, v + r_ * 0.3 - p_ * 2.5 AS b, w + p_ * -0.2 - q_ * 0.3 AS e FROM q)
+  SELECT site, day, s * {STEP} AS us, cos(yaw) * cos(pitch) * a + (cos(yaw) * sin(pitch) * sin(roll) - sin(yaw) * cos(roll)) * b + (cos(yaw) * sin(pitch) * cos(roll) + sin(yaw) * sin(roll)) * e AS u_true,
+    sin(yaw) * cos(pitch) * a + (sin(yaw) * sin(pitch) * sin(roll) + cos(yaw) * cos(roll)) * b + (sin(yaw) * sin(pitch) * cos(roll) - cos(yaw) * sin(roll)) * e AS v_true,
+    -sin(pitch) * a + cos(pitch) * sin(roll) * b + cos(pitch) * cos(roll) * e AS w_true FROM z""".replace("@d", ", ".join(
+        f"(coalesce(LEAD({c}) OVER o, {c}) - coalesce(LAG({c}) OVER o, {c})) / nullif((LEAD({c}) OVER o IS NOT NULL)::INT + (LAG({c}) OVER o IS NOT NULL)::INT, 0) AS d{c}"
+        for c in motion.ANGLES))
+
+
+@check("m07_tilt_and_lever_arm", "site day us", "u_true v_true w_true", _TILT)
+def _(t):
+    return motion.correct_wind(_series(t), DAY, "us", STEP, (0.3, -0.2, 2.5), accel=False, gyro=False, chunk=50)[0]
 
 
-@check("m07_motion_corrected_wind", "site day i", "u_true v_true w_true")
+@check("m07_gap_fractions", "site day slots", "ax_gap p_gap yaw_gap",
+       f"""WITH @imu, @tower, {_SLOTS.replace("@means", "COUNT(*) AS n")} SELECT site, day, COUNT(*) AS slots, AVG((n IS NULL)::INT) AS ax_gap, AVG((n IS NULL)::INT) AS p_gap,
+         AVG((n IS NULL)::INT) AS yaw_gap FROM grid GROUP BY 1, 2""")
 def _(t):
-    return motion.correct_wind(_packed(t), ["site", "day"], 1.0, (0.3, -0.2, 2.5), fused=False)
+    return motion.correct_wind(_series(t), DAY, "us", STEP, (0.3, -0.2, 2.5))[1]
 
 
-@check("m08_band_variance_and_heave", "site day n", "band_var heave_sd")
+@check("m08_band_variance_and_heave", "site day valid", "band_var heave_sd")
 def _(t):
-    p = _packed(t)
-    h = motion.heave_velocity(p.select("site", "day", F.transform("az", lambda a: a / at.GRAVITY).alias("az")), ["site", "day"], "az", 1.0, 0.05, 0.3)
-    h = h.groupBy("site", "day").agg(F.count(F.lit(1)).alias("n"), F.stddev_pop("heave").alias("heave_sd"))
-    return h.join(motion.band_variance(p, ["site", "day"], "az", 1.0, 0.05, 0.3), ["site", "day"])
+    rows = _series(t).withColumn("az", F.col("az") / at.GRAVITY)
+    samples, _ = motion.regular(rows, DAY, "us", STEP, ["az"])
+    h = motion.heave_velocity(samples, DAY, "us", STEP, "az", 0.05, 0.3, chunk=50).groupBy(*DAY).agg(F.stddev_pop("heave").alias("heave_sd"))
+    return motion.band_variance(rows, DAY, "us", STEP, "az", 0.05, 0.3, min_valid=20, chunk=50).join(h, DAY)
 
 
 @check("f36_mount_tilt", "site", "mount_roll mount_pitch",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-GRAVITY = 9.81
+GRAVITY = 9.80665
 
 
 def rotation_matrix(roll: Column, pitch: Column, yaw: Column) -> list[list[Column]]:

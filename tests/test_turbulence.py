@@ -7,9 +7,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fluxloom.functions import attitude, stability, wind
+from fluxloom.functions import stability, wind
 from fluxloom.functions.roots import real_roots
-from fluxloom.operators import coherent, kernels, lags, moments, motion, qc, rotation, spectral, windows
+from fluxloom.operators import coherent, kernels, lags, moments, qc, rotation, spectral, windows
 
 
 def _windows(spark, **signals):
@@ -235,17 +235,6 @@ def test_haar_frame_strong_set_is_everything_at_zero_threshold(noise):
     assert np.allclose(strong, whole)
 
 
-def test_level_platform_leaves_the_wind_alone(spark):
-    n = 200
-    rng = np.random.default_rng(7)
-    z = [[0.0] * n]
-    df = _windows(spark, u=rng.normal(5, 1, (1, n)), v=rng.normal(0, 1, (1, n)), w=rng.normal(0, 1, (1, n)), ax=z, ay=z,
-                  az=[[attitude.GRAVITY] * n], p=z, q=z, r=z, roll=z, pitch=z, yaw=[[0.7] * n])
-    got = motion.correct_wind(df, ["vec_id"], 10.0, (0.5, 0.0, 3.0)).orderBy("i").toPandas()
-    u = df.first().u
-    assert np.allclose(got.u_true, u, atol=1e-9)
-
-
 def test_pack_averages_repeated_slots(spark):
     df = spark.createDataFrame([(1, 2, 4.0), (1, 0, 1.0), (1, 1, 2.0), (1, 1, 4.0)], "k int, i int, x double")
     assert windows.pack(df, ["k"], "i", ["x"]).first().x == [1.0, 3.0, 4.0]
