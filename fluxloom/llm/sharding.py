@@ -19,6 +19,8 @@ from ..session import cut_lineage
 from .common import id_text
 
 SHARDS, SEED, BUCKET_ROWS, COPIES = 16, 20, 500, 1_000
+#: Row counts of so many sources are broadcast, some 10 MB; of more they are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def _random(seed: int, *parts: Column, digits: int = 15) -> Column:
@@ -69,7 +71,8 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col:
     """
     strata = cut_lineage(_strata(docs, seed, id_col, text_col, source_col), "strata")
     sizes = strata.groupBy("source").agg(F.sum("copies").alias("n"))
-    total = int(sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n)
+    facts = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("sources")).first()
+    total, sizes = int(facts.n), F.broadcast(sizes) if facts.sources <= BROADCAST_SOURCES else sizes
     width = F.lit(float(1 << 60))
     placed = strata.join(sizes, "source").withColumn(
         "bucket", F.floor(F.col("draw") / width * (F.floor(F.col("n") / BUCKET_ROWS) + 1)))
@@ -77,7 +80,8 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col:
     offsets = _before(counts, "bucket", ["source"])
     draws = Window.partitionBy("source", "bucket").orderBy("draw", "doc_id", "size", "text_crc32", "digest", "block")
     first = F.sum("copies").over(draws.rowsBetween(Window.unboundedPreceding, 0)) - F.col("copies")
-    ranked = placed.withColumn("first", first).join(offsets, ["source", "bucket"])
+    # dealt by both columns: the exchange of a join on the source alone would bring a whole source into one task
+    ranked = placed.repartition("source", "bucket").withColumn("first", first).join(offsets, ["source", "bucket"])
     rows = ranked.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     rank = F.col("before") + F.col("first") + F.col("copy")
     rows = rows.select("source", "doc_id", "size", "text_crc32", "digest", "draw", rank.alias("rank"),
