@@ -23,6 +23,16 @@ def _(t):
     return lags.lagged_covariances_wide(t.windows(), V, "w", "c", 60)
 
 
+_BLOCKS = _COV.replace("lg AS (SELECT a.vec_id, b.i", "@name AS (SELECT a.vec_id, @block AS block, b.i").replace("1, 2)", "1, 2, 3)")
+
+
+@check("f23_block_covariances", "vec_id block lag n", "cov",
+       f"""WITH @win, {_BLOCKS.replace("@name", "whole").replace("@block", "0")}, {_BLOCKS.replace("@name", "parts").replace("@block", "a.i // 16 + 1")}
+         SELECT vec_id, CAST(block AS INTEGER) AS block, CAST(lag AS INTEGER) AS lag, n, cov FROM (FROM whole UNION ALL FROM parts)""", digits=8)
+def _(t):
+    return lags.block_covariances(t.windows(), V, "w", "c", 8, 4).filter("n > 0")
+
+
 @check("f24_peak_lag", "vec_id lag", "ratio",
        f"""WITH @win, {_COV} SELECT vec_id, CAST(arg_max(lag, abs(cov)) AS INTEGER) AS lag, MAX(abs(cov)) / sqrt(AVG(cov * cov) FILTER (abs(lag) > 16 / 3.0)) AS ratio FROM lg GROUP BY 1""")
 def _(t):

@@ -7,42 +7,60 @@ of one window and returns equal-length output columns.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def map_windows(df: DataFrame, keys, cols, fn: Callable[..., dict], schema: str, carry=(), gaps: bool = False, keep: bool = True) -> DataFrame:
+def _joined(parts: list):
+    """The values of many windows after one another; a window gives an array or a list."""
+    if all(isinstance(p, np.ndarray) and p.ndim == 1 for p in parts):
+        return np.concatenate(parts)
+    return [x for p in parts for x in p]
+
+
+def map_windows(df: DataFrame, keys, cols, fn: Callable[..., dict], schema: str, carry=(), gaps: bool = False, keep: bool = True,
+                batch_rows: int = 20_000) -> DataFrame:
     """Apply *fn(arrays..., carried values...)* to each packed window; its columns become long rows.
 
-    The window is already one row, so the map runs where the row lives, and
-    the result of one window at a time is held. A window with a missing array,
-    or with a missing sample unless the kernel handles *gaps*, cannot be
-    analysed: it gives one row of its key and missing results, or none where
-    *keep* is off (for sums that are joined back to the windows later).
+    The window is already one row, so the map runs where the row lives; results are handed on every *batch_rows* rows. A
+    window with a missing array, or with a missing sample unless the kernel handles *gaps*, cannot be analysed: it gives
+    one row of its key and missing results, or none where *keep* is off (for sums that are joined back to the windows
+    later).
     """
     names = [part.split()[0] for part in schema.split(", ")]
     keys, cols, carry = list(keys), list(cols), list(carry)
     key_types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
+    def frame(found: list[tuple[list, dict]]) -> pd.DataFrame:
+        sizes = [len(out[names[0]]) for _, out in found]
+        held = {k: pd.Series([x for (key, _), n in zip(found, sizes) for x in [key[i]] * n]) for i, k in enumerate(keys)}
+        return pd.DataFrame({**held, **{n: _joined([out[n] for _, out in found]) for n in names}})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            found, rows = [], 0
             for row in batch.itertuples(index=False, name=None):
                 at = dict(zip(batch.columns, row))
-                arrays = [at[c] for c in cols]
-                arrays = [None if a is None else np.asarray(a, dtype=float) for a in arrays]
+                arrays = [None if at[c] is None else np.asarray(at[c], dtype=float) for c in cols]
+                key = [at[k] for k in keys]
                 if any(a is None or len(a) == 0 or (not gaps and np.isnan(a).any()) for a in arrays):
-                    if not keep:
-                        continue
-                    out = pd.DataFrame({n: pd.Series([None], dtype=object) for n in names})
-                else:
-                    out = pd.DataFrame(fn(*arrays, *[at[c] for c in carry]))
-                for i, k in enumerate(keys):
-                    out.insert(i, k, at[k])
-                if len(out):
-                    yield out
+                    if keep:
+                        yield pd.DataFrame({**{k: [x] for k, x in zip(keys, key)}, **{n: pd.Series([None], dtype=object) for n in names}})
+                    continue
+                out = fn(*arrays, *[at[c] for c in carry])
+                if len(out[names[0]]):
+                    found.append((key, out))
+                    rows += len(out[names[0]])
+                if rows >= batch_rows:
+                    yield frame(found)
+                    found, rows = [], 0
+            if found:
+                yield frame(found)
 
     return df.select(*dict.fromkeys([*keys, *cols, *carry])).mapInPandas(run, f"{key_types}, {schema}")
 
@@ -117,12 +135,18 @@ def butterworth_zero_phase(x: np.ndarray, fs: float, order: int, low: float | No
 
 
 def recursive_lowpass(x: np.ndarray, fs: float, tau: float) -> np.ndarray:
-    """RC low-pass y_k = a y_(k-1) + (1 - a) x_k started at the mean."""
-    a, y, out = float(np.exp(-1 / (fs * tau))), float(np.mean(x)), np.empty(len(x))
-    for k, v in enumerate(x):
-        y = a * y + (1 - a) * v
-        out[k] = y
-    return out
+    """RC low-pass y_k = a y_(k-1) + (1 - a) x_k started at the mean.
+
+    The step is the linear map y -> a y + b. Maps of neighbouring stretches are combined, each doubling of the stretch in
+    one operation on the whole series, until every sample holds the map from the start to itself.
+    """
+    a, start = float(np.exp(-1 / (fs * tau))), float(np.mean(x))
+    shift, factor, stretch = (1 - a) * np.asarray(x, float), a, 1
+    while stretch < len(x):
+        moved = shift.copy()
+        moved[stretch:] += factor * shift[:-stretch]
+        shift, factor, stretch = moved, factor * factor, 2 * stretch
+    return shift + start * a ** np.arange(1, len(x) + 1)
 
 
 def sharp_lowpass(x: np.ndarray, fs: float, fc: float) -> np.ndarray:
@@ -163,13 +187,98 @@ def haar_frame_split(x: np.ndarray, k: float) -> tuple[np.ndarray, np.ndarray]:
     return strong, whole
 
 
+def _correlations(size: int, lags: np.ndarray):
+    """The cyclic cross-correlation at *lags* as a function of two spectra of *size* points."""
+    return lambda fa, fb: np.fft.irfft(np.conj(fa) * fb, size)[lags % size]
+
+
 def masked_lag_sums(x: np.ndarray, y: np.ndarray, max_lag: int) -> dict:
     """Pair counts and sums of x(i), y(i+k), x(i) y(i+k) for |k| <= max_lag."""
-    n = len(x)
-    size = 1 << int(np.ceil(np.log2(2 * n)))
+    size = 1 << int(np.ceil(np.log2(len(x) + max_lag + 1)))
     lags = np.arange(-max_lag, max_lag + 1)
     ox, oy = np.isfinite(x), np.isfinite(y)
-    zx, zy = np.where(ox, x, 0.0), np.where(oy, y, 0.0)
-    corr = lambda a, b: np.fft.irfft(np.conj(np.fft.rfft(a, size)) * np.fft.rfft(b, size), size)[lags % size]
-    return {"lag": lags, "n": np.rint(corr(ox.astype(float), oy.astype(float))), "sx": corr(zx, oy.astype(float)),
-            "sy": corr(ox.astype(float), zy), "sxy": corr(zx, zy)}
+    at, spec = _correlations(size, lags), lambda a: np.fft.rfft(a, size)
+    fx, fy, fox, foy = spec(np.where(ox, x, 0.0)), spec(np.where(oy, y, 0.0)), spec(ox.astype(float)), spec(oy.astype(float))
+    return {"lag": lags, "n": np.rint(at(fox, foy)), "sx": at(fx, foy), "sy": at(fox, fy), "sxy": at(fx, fy)}
+
+
+def lag_covariances_by_block(x: np.ndarray, y: np.ndarray, max_lag: int, blocks: int) -> dict:
+    """Covariance of x(i) and y(i+k) over the whole window (block 0) and over each of *blocks* equal parts, about their own means.
+
+    A pair belongs to the part of its x sample. One transform of a part's x and of y in its reach serves all lags; both
+    are centred first, as the covariance is a difference of large sums otherwise.
+    """
+    n, out = len(x), {"block": [], "lag": [], "n": [], "cov": []}
+    x, y = x - np.nanmean(x) if np.isfinite(x).any() else x, y - np.nanmean(y) if np.isfinite(y).any() else y
+    bounds = np.linspace(0, n, blocks + 1).astype(int)
+    for block, (lo, hi) in enumerate([(0, n), *zip(bounds[:-1], bounds[1:])]):
+        left, right = max(0, lo - max_lag), min(n, hi + max_lag)
+        part = np.full(right - left, np.nan)
+        part[lo - left:hi - left] = x[lo:hi]
+        s = masked_lag_sums(part, y[left:right], max_lag)
+        count = np.where(s["n"] > 0, s["n"], np.nan)
+        out["block"].append(np.full(len(count), block))
+        out["lag"].append(s["lag"])
+        out["n"].append(s["n"])
+        out["cov"].append(s["sxy"] / count - s["sx"] / count * (s["sy"] / count))
+    return {k: np.concatenate(v) for k, v in out.items()}
+
+
+def structure_function(x: np.ndarray, lags: np.ndarray, orders) -> dict:
+    """Mean of (x(i+j) - x(i))^n over the pairs of valid samples, by binomial expansion into correlations of powers.
+
+    The series is centred and scaled first: the terms of the expansion cancel to the small differences.
+    """
+    ok = np.isfinite(x)
+    found = {"lag": lags, **{f"s{n}": np.full(len(lags), np.nan) for n in orders}}
+    if not ok.any():
+        return found
+    scale = float(np.std(x[ok])) or 1.0
+    z = np.where(ok, (x - np.mean(x[ok])) / scale, 0.0)
+    size = 1 << int(np.ceil(np.log2(len(x) + int(lags.max()) + 1)))
+    spectra = [np.fft.rfft(ok * z ** k, size) for k in range(max(orders) + 1)]
+    at = _correlations(size, lags)
+    pairs = np.rint(at(spectra[0], spectra[0]))
+    for n in orders:
+        total = sum(comb(n, k) * (-1) ** (n - k) * at(spectra[n - k], spectra[k]) for k in range(n + 1))
+        found[f"s{n}"] = np.where((pairs > 0) & (lags < len(x)), total * scale ** n / np.maximum(pairs, 1), np.nan)
+    return found
+
+
+def covariance_error(w: np.ndarray, c: np.ndarray, max_lag: int) -> float:
+    """Sampling error of mean(w c) from the biased auto- and cross-covariances out to *max_lag*; NaN unless the sum is positive."""
+    n = len(w)
+    size = 1 << int(np.ceil(np.log2(n + max_lag + 1)))
+    fw, fc = np.fft.rfft(w, size), np.fft.rfft(c, size)
+    at = _correlations(size, np.arange(-max_lag, max_lag + 1))
+    cross = at(fw, fc) / n
+    total = np.sum(at(fw, fw) * at(fc, fc)) / n ** 2 + np.sum(cross * cross[::-1])
+    return float(np.sqrt(total / n)) if total > 0 else float("nan")
+
+
+def sliding_median(x: np.ndarray, window: int, least: int) -> np.ndarray:
+    """Median of the valid values in a centred window, which is kept sorted as it moves; NaN with fewer than *least*.
+
+    An even window has its centre at the upper of the two middle rows.
+    """
+    n, before, after = len(x), window // 2, (window - 1) // 2
+    held, out, values = [], np.full(n, np.nan), x.tolist()
+    for i in range(-after, n):
+        if i + after < n and values[i + after] == values[i + after]:
+            insort(held, values[i + after])
+        gone = i - before - 1
+        if gone >= 0 and values[gone] == values[gone]:
+            del held[bisect_left(held, values[gone])]
+        m = len(held)
+        if i >= 0 and m and m >= least:
+            out[i] = (held[(m - 1) // 2] + held[m // 2]) / 2
+    return out
+
+
+def rolling_deviation_mask(x: np.ndarray, window: int, n_mad: float) -> np.ndarray:
+    """Whether a value lies further than *n_mad* scaled median deviations from the rolling median."""
+    middle = sliding_median(x, window, window // 5)
+    off = np.abs(x - middle)
+    scale = 1.4826 * sliding_median(off, window, window // 5)
+    with np.errstate(invalid="ignore"):
+        return (scale > 0) & (off > n_mad * scale)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .kernels import map_windows, masked_lag_sums
+from .kernels import covariance_error, lag_covariances_by_block, map_windows, masked_lag_sums, structure_function
 from .windows import array_mean
 
+
 def lag_pairs(x: Column, y: Column, lag: int) -> Column:
     """Array of structs (a, b) of x(i) and y(i+lag)."""
     if lag >= 0:
@@ -48,13 +50,26 @@ def peak_lag(cov: DataFrame, keys) -> DataFrame:
     return g.select(*keys, F.col("_p.lag").alias("lag"), F.try_divide(F.abs("_p.cov"), F.col("_bg")).alias("ratio"))
 
 
+def block_covariances(df: DataFrame, keys, x: str, y: str, max_lag: int, blocks: int) -> DataFrame:
+    """Covariance by lag of the whole window (block 0) and of its *blocks* equal parts (from 1), each about its own means.
+
+    The parts serve steady-state tests at the lag of the peak. A pair belongs to the part of its x sample; lags without a
+    valid pair have no covariance. One transform per part, whatever the number of lags.
+    """
+    rows = map_windows(df, keys, [x, y], lambda a, b: lag_covariances_by_block(a, b, max_lag, blocks), "block int, lag int, n double, cov double",
+                       gaps=True, keep=False)
+    return rows.select(*keys, "block", "lag", F.col("n").cast("long").alias("n"), "cov")
+
+
 def structure_functions(df: DataFrame, keys, x: str, lags, orders=(2, 3, 5)) -> DataFrame:
-    """Mean of (x(i) - x(i-j))^n per lag; pairs with a missing sample are skipped."""
-    per = F.array(*[F.struct(F.lit(int(j)).alias("lag"), lag_pairs(F.col(x), F.col(x), int(j)).alias("p")) for j in lags])
-    rows = df.select(*keys, F.explode(per).alias("_l")).select(*keys, F.col("_l.lag").alias("lag"), F.explode("_l.p").alias("_p"))
-    d = F.col("_p.b") - F.col("_p.a")
-    power = lambda n: d if n == 1 else power(n - 1) * d
-    return rows.groupBy(*keys, "lag").agg(*[F.avg(power(n)).alias(f"s{n}") for n in orders])
+    """Mean of (x(i) - x(i-j))^n per lag; pairs with a missing sample are skipped.
+
+    Sums over lags come from transforms of the powers of the window, not from rows per pair. Lags beyond the window have
+    no value.
+    """
+    at, orders = np.array(list(lags), dtype=int), tuple(orders)
+    schema = "lag int, " + ", ".join(f"s{n} double" for n in orders)
+    return map_windows(df, keys, [x], lambda a: structure_function(a, at, orders), schema, gaps=True, keep=False)
 
 
 def dissipation_rate(sf: DataFrame, keys, mean_speed: Column, dt: float, lo: float = 0.1, hi: float = 2.0, c2: float = 2.0) -> DataFrame:
@@ -72,17 +87,11 @@ def covariance_random_error(df: DataFrame, keys, w: str, c: str, max_lag: int, m
     *w* and *c* are anomalies with zeros in place of missing samples. A window
     that is too short keeps its row without an error.
     """
-    keys, windows = list(keys), df.select(*keys)
-    n = F.size(w)
-    ok = df.filter((n >= min_samples) & (F.floor(n / 2) - 1 >= max_lag)).withColumn("_n", n)
-    def biased(x, y, name):
-        out = lagged_covariances_sums(ok, [*keys, "_n"], x, y, max_lag)
-        return out.select(*keys, "_n", "lag", (F.col("sxy") / F.col("_n")).alias(name))
-    g = (biased(w, w, "ww").join(biased(c, c, "cc"), [*keys, "_n", "lag"]).join(biased(w, c, "wc"), [*keys, "_n", "lag"])
-         .join(biased(c, w, "cw"), [*keys, "_n", "lag"]))
-    var = g.groupBy(*keys, "_n").agg(F.sum(F.col("ww") * F.col("cc") + F.col("wc") * F.col("cw")).alias("_v"))
-    found = var.select(*keys, F.when(F.col("_v") > 0, F.sqrt(F.col("_v") / F.col("_n"))).alias("error"))
-    return windows.join(found, keys, "left")
+    def kernel(a, b):
+        long_enough = len(a) >= min_samples and len(a) // 2 - 1 >= max_lag
+        return {"error": np.array([covariance_error(a, b, max_lag) if long_enough else np.nan])}
+
+    return map_windows(df, keys, [w, c], kernel, "error double")
 
 
 def lagged_covariances_sums(df: DataFrame, keys, x: str, y: str, max_lag: int) -> DataFrame:

@@ -5,40 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
-def exact_quantiles(df: DataFrame, keys, x: str, probs: dict[str, float], buckets: int = 64) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys, x: str, probs: dict[str, float], accuracy: int = 10_000) -> DataFrame:
     """Linearly interpolated quantiles of *x* per key.
 
-    Equal values are counted before the shuffle; the counts are spread over
-    buckets between approximate quantiles of the values, cumulated inside a
-    bucket and carried across buckets. Neither a large group nor a frequent
-    value meets one task whole, and outliers do not widen the other buckets.
+    A mergeable sketch brackets each wanted rank to within some n / *accuracy* rows. In a second pass all values below a
+    bracket and all above it are counted only, equal values inside it as one, before anything is shuffled. What is ranked
+    per key is a bracket, a few rows in *accuracy*, so neither a large group nor a frequent value meets one task whole.
     """
     keys = list(keys)
     if not keys:
-        return exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], x, probs, buckets).drop("_all")
-    counts = (df.filter(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("_x"))
-              .agg(F.count(F.lit(1)).alias("_k")))
-    at = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    span = counts.groupBy(*keys).agg(F.percentile_approx("_x", at, 20 * buckets).alias("_edges"), F.sum("_k").alias("_n"))
-    bucket = " + ".join(f"cast(_x > _edges[{i}] as int)" for i in range(buckets - 1))
-    placed = counts.join(span, keys).withColumn("_b", F.expr(bucket)).drop("_edges")
-    sums = placed.groupBy(*keys, "_b").agg(F.sum("_k").alias("_s"))
-    before = F.sum("_s").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
-    sums = sums.select(*keys, "_b", F.coalesce(before, F.lit(0)).alias("_base"))
-    inner = W.partitionBy(*keys, "_b").orderBy("_x").rowsBetween(W.unboundedPreceding, 0)
-    ranked = placed.join(sums, [*keys, "_b"]).withColumn("_c", F.col("_base") + F.sum("_k").over(inner))
-    aggs = []
-    for name, p in probs.items():
-        rank = (F.col("_n") - 1) * p
-        for side, r in (("f", F.floor(rank)), ("c", F.ceil(rank))):
-            aggs.append(F.max(F.when((F.col("_c") > r) & (F.col("_c") - F.col("_k") <= r), F.col("_x"))).alias(f"_{side}_{name}"))
-    g = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *aggs)
-    out = []
-    for name, p in probs.items():
+        return exact_quantiles(df.withColumn("_all", F.lit(1)), ["_all"], x, probs, accuracy).drop("_all")
+    values = df.filter(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("_x"))
+    ends = [min(max(p + side / accuracy, 0.0), 1.0) for p in probs.values() for side in (-3, 3)]
+    edges = values.groupBy(*keys).agg(F.percentile_approx("_x", F.array(*[F.lit(e) for e in ends]), accuracy).alias("_edges"),
+                                      F.count(F.lit(1)).alias("_n"))
+    wanted = F.array(*[F.struct(F.lit(i).alias("p"), F.col("_edges")[2 * i].alias("lo"), F.col("_edges")[2 * i + 1].alias("hi")) for i in range(len(probs))])
+    rows = values.join(edges, keys).select(*keys, "_n", "_x", F.explode(wanted).alias("_w"))
+    side = F.when(F.col("_x") < F.col("_w.lo"), -1).when(F.col("_x") > F.col("_w.hi"), 1).otherwise(0)
+    rows = rows.select(*keys, "_n", "_x", F.col("_w.p").alias("_p"), side.alias("_side"), F.when(side == 0, F.col("_x")).alias("_v"))
+    # the sketch counts ranks from 1 of n, the interpolation from 0 of n - 1: a rank may lie one row outside its bracket
+    counts = rows.groupBy(*keys, "_n", "_p", "_side", "_v").agg(F.count(F.lit(1)).alias("_k"), F.max("_x").alias("_most"), F.min("_x").alias("_least"))
+    counts = counts.withColumn("_v", F.when(F.col("_side") < 0, F.col("_most")).otherwise(F.col("_least")))
+    upto = W.partitionBy(*keys, "_p").orderBy("_side", "_v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = counts.withColumn("_c", F.sum("_k").over(upto))
+    aggs, out = [], []
+    for i, (name, p) in enumerate(probs.items()):
         rank = (F.col("_n") - 1) * p
+        for end, r in (("f", F.floor(rank)), ("c", F.ceil(rank))):
+            at = (F.col("_p") == i) & (F.col("_c") > r) & (F.col("_c") - F.col("_k") <= r)
+            aggs.append(F.max(F.when(at, F.col("_v"))).alias(f"_{end}_{name}"))
         f, c = F.col(f"_f_{name}"), F.col(f"_c_{name}")
         out.append((f + (c - f) * (rank - F.floor(rank))).alias(name))
-    return g.select(*keys, *out)
+    return ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *aggs).select(*keys, *out)
 
 
 def median_exceeds(x: Column, limit: Column | float, over=None) -> Column:

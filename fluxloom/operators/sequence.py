@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import StructType
 
 from . import scan
 from .joins import linear_value
+from .kernels import rolling_deviation_mask
 
 
 def fill_linear(df: DataFrame, keys, us: str, cols, chunk: int, limit_us: int | None = None,
@@ -147,15 +150,14 @@ def wave_amplitudes(df: DataFrame, keys, us: str, col: str, chunk: int) -> DataF
 def rolling_mad_mask(df: DataFrame, keys, order: str, col: str, window: int, n_mad: float) -> DataFrame:
     """Add ``spike``: further than *n_mad* scaled deviations from the rolling median.
 
-    *keys* delimit a bounded series (one averaging period); the rolling frame
-    holds *window* rows and needs ``window // 5`` valid ones.
+    *keys* delimit a bounded series (one averaging period), which one task holds; the rolling frame holds *window* rows
+    and needs ``window // 5`` valid ones. The frame is kept sorted while it moves, so long frames cost no more sorts.
     """
-    # an even window has its centre at the upper of the two middle rows
-    w = W.partitionBy(*keys).orderBy(order).rowsBetween(-(window // 2), (window - 1) // 2)
-    need = window // 5
-    med = F.when(F.count(col).over(w) >= need, F.percentile(col, F.lit(0.5)).over(w))
-    step = df.withColumn("_med", med).withColumn("_dev", F.abs(F.col(col) - F.col("_med")))
-    mad = F.when(F.count("_dev").over(w) >= need, F.percentile("_dev", F.lit(0.5)).over(w))
-    step = step.withColumn("_scale", 1.4826 * mad)
-    return step.withColumn("spike", F.coalesce(
-        (F.col("_scale") > 0) & (F.col("_dev") > n_mad * F.col("_scale")), F.lit(False))).drop("_med", "_dev", "_scale")
+    schema = StructType(list(df.schema.fields)).add("spike", "boolean")
+
+    def run(piece: pa.Table) -> pa.Table:
+        piece = piece.sort_by(order)
+        mask = rolling_deviation_mask(piece[col].to_numpy().astype(float), window, n_mad)
+        return piece.append_column("spike", pa.array(mask))
+
+    return df.groupBy(*keys).applyInArrow(run, schema)

@@ -80,7 +80,7 @@ def test_exact_quantiles_of_a_hot_group(spark):
     x = np.round(rng.exponential(size=4000), 2)
     key = np.where(rng.random(4000) < 0.9, "hot", "cold")
     df = spark.createDataFrame(pd.DataFrame({"key": key, "x": x}))
-    got = quantiles.exact_quantiles(df, ["key"], "x", {"a": 0.5, "b": 0.95, "c": 0.0, "d": 1.0}, buckets=7).toPandas().set_index("key")
+    got = quantiles.exact_quantiles(df, ["key"], "x", {"a": 0.5, "b": 0.95, "c": 0.0, "d": 1.0}, accuracy=20).toPandas().set_index("key")
     for k in ("hot", "cold"):
         assert np.allclose(got.loc[k], np.quantile(x[key == k], [0.5, 0.95, 0, 1]))
     assert quantiles.exact_quantiles(df, [], "x", {"a": 0.5}).first()["a"] == pytest.approx(np.median(x))
