@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -50,3 +53,34 @@ def once(rows: DataFrame, *cols) -> DataFrame:
 def words(text: Column) -> Column:
     """Array of the words of a text; NULL and blank texts give an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), WORD_GAP, -1), lambda w: w != "")
+
+
+class SpanIndex:
+    """Spans (start, end) of one text, asked by bisection: a text with many spans takes no comparison of all with all."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        spans = sorted(spans)
+        self.starts = [a for a, _ in spans]
+        self.ends = sorted(b for _, b in spans)
+        self.furthest = list(accumulate((b for _, b in spans), max))
+        self.same = Counter(spans)
+
+    def _reach(self, before: int) -> int:
+        """The furthest end of the first *before* spans."""
+        return self.furthest[before - 1] if before else -1
+
+    def covers(self, start: int, end: int) -> bool:
+        """Whether one span holds all of start:end."""
+        return self._reach(bisect_right(self.starts, start)) >= end
+
+    def overlaps(self, start: int, end: int) -> bool:
+        """Whether a span shares a place with start:end."""
+        return self._reach(bisect_left(self.starts, end)) > start
+
+    def near(self, start: int, end: int, distance: int) -> bool:
+        """Whether another span starts within *distance* of *end* or ends within it of *start*; spans equal to this one do not count."""
+        own = self.same[start, end]
+        begun = bisect_right(self.starts, end + distance) - bisect_left(self.starts, end - distance)
+        ended = bisect_right(self.ends, start + distance) - bisect_left(self.ends, start - distance)
+        itself = own if end - start <= distance else 0
+        return begun > itself or ended > itself

@@ -22,12 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import id_text
+from .common import SpanIndex, id_text
 
 # Fixed values of the contract.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# What may stand before and after the @ of an address; `emails` puts them together.
+MAILBOX = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+# Runs of digits are read from their heads and never given back, so a long run takes linear time; the matches are the same.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "number", "handle", "name")
@@ -41,8 +44,9 @@ _NUMBER = re.compile(r"""(?<![\w.@-])(?:
 _HANDLE = re.compile(r"(?<![\w@.])@[A-Za-z0-9_]{3,30}(?![\w@])")
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora", "Don", "Doña")
 _NAMED = re.compile(rf"\b({'|'.join(TITLES)})\.? ([^\W\d_]+)(?: ([^\W\d_]+))?")
-_WORD = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]*(?:['’-][^\W\d_]+)*"
-_CAPITALS = re.compile(rf"\b{_WORD}(?:(?: [A-Z]\.)* {_WORD})+")
+_WORD = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]*+(?:['’-][^\W\d_]++)*+"
+# A run of hyphened parts is tried once, from its first capital on: what follows the run is the same for all its parts.
+_CAPITALS = re.compile(rf"(?<!\w)(?<![^\W\d_]['’-])(?:[a-zß-öø-ÿ][^\W\d_]*+['’-])*+({_WORD}(?:(?: [A-Z]\.)* {_WORD})+)")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGIT = re.compile(r"[0-9]")
 _DIGITS = re.compile(r"[^0-9]+")
@@ -73,11 +77,24 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost addresses without overlap, from one @ to the next; the mailbox is the whole run before it."""
+    done = 0
+    at = text.find("@")
+    while at >= 0:
+        head = done + len(text[done:at].rstrip(MAILBOX))
+        host = HOST.match(text, at + 1) if head < at else None
+        if host:
+            yield head, host.end()
+        done = host.end() if host else at + 1
+        at = text.find("@", done)
+
+
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of the four patterns; a match that fails its test is dropped and not tried again."""
     out = []
     if "@" in text:
-        out += [(m.start(), "email", m.end()) for m in EMAIL.finditer(text)]
+        out += [(a, "email", b) for a, b in emails(text)]
     if "." in text:
         for m in IP.finditer(text):
             if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")):
@@ -99,18 +116,18 @@ def _has_given_name(words: str) -> bool:
 def name_runs(text: str) -> Iterator[tuple[int, int]]:
     """Runs of two capitalised words or more, from their first given name on; whole if that is the last word."""
     for m in _CAPITALS.finditer(text):
-        if not _has_given_name(m.group()):
+        if not _has_given_name(m.group(1)):
             continue
         runs: list[list[tuple[int, int]]] = [[]]
-        for w in re.finditer(r"[^ ]+", m.group()):
+        for w in re.finditer(r"[^ ]+", m.group(1)):
             if w.group()[0].isupper():
                 runs[-1].append(w.span())
             else:  # letters without a lower-case form in the pattern
                 runs.append([])
         for run in runs:
-            known = next((k for k, (a, b) in enumerate(run) if _has_given_name(m.group()[a:b])), None)
+            known = next((k for k, (a, b) in enumerate(run) if _has_given_name(m.group(1)[a:b])), None)
             if known is not None and len(run) > 1:
-                yield m.start() + run[known if known < len(run) - 1 else 0][0], m.start() + run[-1][1]
+                yield m.start(1) + run[known if known < len(run) - 1 else 0][0], m.start(1) + run[-1][1]
 
 
 def loose_spans(text: str) -> list[tuple[int, str, int]]:
@@ -130,7 +147,7 @@ def loose_spans(text: str) -> list[tuple[int, str, int]]:
     return out
 
 
-def votes_and_features(text: str, start: int, kind: str, end: int, base: list[tuple[int, str, int]]) -> tuple[list[int], list[int]]:
+def votes_and_features(text: str, start: int, kind: str, end: int, base: SpanIndex) -> tuple[list[int], list[int]]:
     """Votes of LABELERS and binned FEATURES of one candidate."""
     span, before = text[start:end], text[max(0, start - WINDOW):start].lower()
     digits = _DIGITS.sub("", span)
@@ -150,7 +167,7 @@ def votes_and_features(text: str, start: int, kind: str, end: int, base: list[tu
         gazetteer = 0 if re.fullmatch(r"(19|20)[0-9]{2}[ .-](19|20)?[0-9]{2}.*", span) else -1
     for_words = {"phone": PHONE_WORDS, "card": CARD_WORDS, "email": MAIL_WORDS, "number": PHONE_WORDS + CARD_WORDS + ID_WORDS}.get(kind, ())
     votes = [pattern, int(luhn(digits)) if sums else -1, gazetteer,
-             1 if any(abs(s - end) <= WINDOW or abs(start - e) <= WINDOW for s, _, e in base if (s, e) != (start, end)) else -1,
+             1 if base.near(start, end, WINDOW) else -1,
              1 if has(for_words) else -1, 0 if has(NOT_PERSONAL) else -1]
     groups = len(re.findall(r"[0-9]+", span))
     features = [1, min(len(digits), 20) // 3, min(groups, 5), int(max(map(len, re.findall(r"[0-9]+", span)), default=0) >= 7), int(votes[1] == 1),
@@ -172,9 +189,10 @@ def candidate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 spans = []
                 if text:
                     base = base_spans(text)
-                    more = [s for s in loose_spans(text) if not any(s[0] < e and a < s[2] for a, _, e in base)]
+                    index = SpanIndex([(a, b) for a, _, b in base])
+                    more = [s for s in loose_spans(text) if not index.overlaps(s[0], s[2])]
                     for a, k, b in base + more:
-                        votes, features = votes_and_features(text, a, k, b, base)
+                        votes, features = votes_and_features(text, a, k, b, index)
                         spans.append({"start": a, "end": b, "kind": k, "in_base": k in BASE,
                                       "key": f"{k}|{','.join(map(str, votes))}|{','.join(map(str, features))}"})
                 out.append(spans)

@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns and an assignment-aware lexer.
 
 The lexer reads source and configuration syntax (`name = literal`, `name: literal`, `"name": literal`, `name := literal`,
-`name => literal`, `export NAME=literal`) into name-literal pairs, propagates constants (`x = "…"` and later
+`name => literal`, `export NAME=literal`, `env["NAME"] = literal`, `setName("literal")`, `<name>literal</name>`) into name-literal pairs, propagates constants (`x = "…"` and later
 `password = x`, also through further names) and scores each literal by how sensitive the names are that it reaches.
 """
 
@@ -15,7 +15,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text, map_texts
+from .common import SpanIndex, id_text, map_texts
 
 # Fixed values of the contract.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -33,10 +33,14 @@ LEAST_SCORE, LEAST_LENGTH = 1.5, 6
 SURE_NAME = 0.9
 
 # Possessive, and a name starts with its run of characters only, so that names and literals of any length take linear time.
-_PAIR = re.compile(r"""(?a)(?:(["'])|(?<![A-Za-z0-9_.-])[0-9.-]*+)([A-Za-z_][A-Za-z0-9_.-]*+)(?(1)\1)\ *+(?::=|=>|=(?!=)|:(?![:/]))\ *+
+_PAIR = re.compile(r"""(?a)(?:(["'])|(?<![A-Za-z0-9_.-])[0-9.-]*+)([A-Za-z_][A-Za-z0-9_.-]*+)(?(1)\1)\]?+\ *+(?::=|=>|=(?!=)|:(?![:/]))\ *+
                        (?:"([^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"|'([^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'|([A-Za-z0-9_+/.=$@!%^&*~-]+))""", re.X)
-#: A line that is nothing but name=letters, as in env and ini files.
-_BARE_LINE = re.compile(r"(?am)^[\x20\t]*+(?:export\x20++)?[A-Za-z_][A-Za-z0-9_.-]*+\x20*+=\x20*+([A-Za-z]++)[\x20\t]*+\r?$")
+#: A call whose first argument is a quoted literal (`setPassword("…")`), and an element that holds text only.
+_CALL = re.compile(r"""(?a)(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]*+)\(\x20*+(?:"([^"\\\n]*+)"|'([^'\\\n]*+)')""")
+_TAG = re.compile(r"(?a)<([A-Za-z_][A-Za-z0-9_.-]*+)>([^<>\n]++)</\1>")
+#: A line that is nothing but name=letters, as in env and ini files, or name: letters with a name that no prose has.
+_BARE_LINE = re.compile(r"""(?am)^[\x20\t]*+(?:export\x20++)?(?:[A-Za-z_][A-Za-z0-9_.-]*+\x20*+=|(?=[A-Za-z]*+[0-9_.-])[A-Za-z_][A-Za-z0-9_.-]*+:)
+                            \x20*+([A-Za-z]++)[\x20\t]*+\r?$""", re.X)
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _NAME = re.compile(r"(?a)[A-Za-z_][A-Za-z0-9_.]*\Z")
 
@@ -64,7 +68,11 @@ def lex(text: str) -> list[tuple[str, str, int, int, bool]]:
     for m in _PAIR.finditer(text):
         group = next(g for g in (3, 4, 5) if m.group(g) is not None)
         out.append((m.group(2), m.group(group), m.start(group), m.end(group), group < 5))
-    return out
+    if "(" in text:
+        out += [(m.group(1), m.group(m.lastindex), m.start(m.lastindex), m.end(m.lastindex), True) for m in _CALL.finditer(text)]
+    if "</" in text:
+        out += [(m.group(1), m.group(2), m.start(2), m.end(2), True) for m in _TAG.finditer(text)]
+    return sorted(out, key=lambda pair: pair[2:4])
 
 
 def literal_spans(text: str) -> list[tuple[int, int]]:
@@ -73,11 +81,11 @@ def literal_spans(text: str) -> list[tuple[int, int]]:
     A bare word that names an earlier constant stands for that constant's literal; the last assignment before counts. Any
     other bare word of letters is a literal only after a name of weight SURE_NAME or more on a line of nothing else.
     """
-    if "=" not in text and ":" not in text:
+    if not any(c in text for c in "=:(<"):
         return []
     constants: dict[str, tuple[str, int, int]] = {}
     best: dict[tuple[int, int], float] = {}
-    bare = {m.start(1) for m in _BARE_LINE.finditer(text)} if "=" in text else set()
+    bare = {m.start(1) for m in _BARE_LINE.finditer(text)} if "=" in text or ":" in text else set()
     for name, literal, start, end, quoted in lex(text):
         source = (literal, start, end)
         if not quoted and literal in constants:
@@ -117,8 +125,8 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         n, digest, spans = {k: [] for k in KINDS[:3]}, [], []
         for text in texts:
             base = base_spans(text) if text else []
-            more = [(a, "literal", b) for a, b in (literal_spans(text) if text else [])
-                    if not any(s <= a and b <= e for s, _, e in base)]
+            index = SpanIndex([(a, b) for a, _, b in base])
+            more = [(a, "literal", b) for a, b in (literal_spans(text) if text else []) if not index.covers(a, b)]
             for k in n:
                 n[k].append(sum(s[1] == k for s in base))
             digest.append(hashlib.sha256(join_spans(base, KINDS).encode()).hexdigest())
