@@ -18,7 +18,8 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).drop("cleaned")
+    rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return rows.withColumn("cleaned_md5", F.md5(F.col("cleaned").cast("binary"))).drop("cleaned")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
