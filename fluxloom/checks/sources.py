@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.timecodes import to_date_vector
 from ..operators import joins
-from ..plans import pipeline
+from ..plans import pipeline, stages
 from ..session import scratch_path
 from ..sources import catalogue, products, text_scans
 from .flux import OPTS, _FLUX, _sel
@@ -384,6 +384,21 @@ def _(t):
                     catalogue.to_internal(F.col("ts_c"), F.lit("deg C"), "temperature", "k").alias("t_k"))
 
 
+@check("c09_undeclared_units", "event_id", "t_c t_k p_kpa h2o_g",
+       """WITH @tower, x AS (SELECT event_id, site, height, k, CASE WHEN height > 5 THEN ts_c + 273.15::DOUBLE ELSE ts_c END AS t, p_kpa * CASE WHEN height > 3 THEN 10 ELSE 1 END AS p, h2o FROM tower),
+         m AS (SELECT site, height, MEDIAN(t) AS mt, MEDIAN(p) FILTER (k % 3 > 0) AS mp FROM x GROUP BY 1, 2)
+         SELECT event_id, CASE WHEN mt > 250 THEN t - 273.15::DOUBLE ELSE t END AS t_c, CASE WHEN mt < 200 THEN t + 273.15::DOUBLE ELSE t END AS t_k,
+           CASE WHEN k % 3 = 0 THEN CASE WHEN k % 2 = 0 THEN p / 10 END WHEN mp > 200 THEN p / 10 ELSE p END AS p_kpa, h2o AS h2o_g FROM x JOIN m USING (site, height)""")
+def _(t):
+    x = t.tower().select("event_id", "site", "height", F.when(F.col("height") > 5, F.col("ts_c") + 273.15).otherwise(F.col("ts_c")).alias("t_c"),
+                         (F.col("p_kpa") * F.when(F.col("height") > 3, 10).otherwise(1)).alias("p_kpa"), F.col("h2o").alias("h2o_g"), F.lit("").alias("none"),
+                         F.when(F.col("k") % 6 == 0, "mbar").when(F.col("k") % 3 == 0, "furlong").alias("p_unit")).withColumn("t_k", F.col("t_c"))
+    for col, unit, quantity, target in (("t_c", "none", "temperature", "degc"), ("t_k", "none", "temperature", "k"),
+                                        ("p_kpa", "p_unit", "pressure", "kpa"), ("h2o_g", "none", "h2o_density", "gm-3")):
+        x = catalogue.convert_series(x, ["site", "height"], col, unit, quantity, target)
+    return x
+
+
 @check("c11_unit_precedence", "name unit", "",
        f"{_COLS} SELECT name, CASE WHEN height > 15 THEN 'K' WHEN height > 4 THEN NULL ELSE 'degC' END AS unit FROM nm")
 def _(t):
@@ -396,6 +411,18 @@ def _(t):
     return catalogue.rename(t.tower().select("event_id", "u", "h2o"), {"u": "u_pf", "h2o": "rho_h2o", "Ts": "ts"})
 
 
+@check("p28_stages_per_date", "site day stage status message n_rows", "",
+       f"""WITH @tower, u AS (SELECT site, us // {DAY_US} AS day, us, CASE WHEN us // {DAY_US} % 7 = 3 AND site = 'north' THEN 'furlong' END AS unit FROM tower),
+         p AS (SELECT site, day, MAX(unit) AS unit, COUNT(*) AS n FROM u GROUP BY 1, 2)
+         SELECT site, day, CASE WHEN unit IS NULL THEN 'save' ELSE 'load' END AS stage, CASE WHEN unit IS NULL THEN 'ok' ELSE 'error' END AS status,
+           CASE WHEN unit IS NOT NULL THEN 'pressure: unknown unit furlong' END AS message, CASE WHEN unit IS NULL THEN n ELSE 0 END AS n_rows FROM p""")
+def _(t):
+    day = F.expr(f"us div {DAY_US}")
+    rows = t.tower().withColumn("day", day).withColumn("p_unit", F.when((F.col("day") % 7 == 3) & (F.col("site") == "north"), "furlong"))
+    chosen = [s for s in stages.site_stages(OPTS, {"u": (0.0, 30.0)}, {}, DAY_US, CHUNK_US, {"p_kpa": ("p_unit", "pressure", "kpa")}) if s.name != "flux"]
+    return stages.run_stages(rows, ["site", "day"], chosen, scratch_path(t.spark, "stages"))
+
+
 @check("p28_pipeline_with_status", "site day status n_periods n_usable", "")
 def _(t):
     tower = t.tower()

@@ -115,43 +115,45 @@ def despike_passes(df: DataFrame, keys, us: str, cols: dict[str, float], window_
     return out
 
 
+def _short_outliers(block: np.ndarray, limits: np.ndarray, longest: int) -> np.ndarray:
+    """Where a column lies *limits* standard deviations or more from its mean, runs of more than *longest* rows excepted."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        score = np.abs(block - np.nanmean(block, axis=0)) / np.nanstd(block, axis=0)
+        out = np.isfinite(score) & (score >= limits)
+    for c in np.flatnonzero(out.any(axis=0)):
+        run = np.cumsum(np.diff(out[:, c], prepend=out[0, c]))
+        out[:, c] &= np.bincount(run)[run] <= longest
+    return out
+
+
+def _bridged(x: np.ndarray, spikes: np.ndarray, missing: np.ndarray) -> np.ndarray:
+    """A line over the spikes between good rows; nothing is left of a window with under two good rows or two fifths of them."""
+    good = np.flatnonzero(~(spikes | missing))
+    if len(good) < 2 or 5 * len(good) < 2 * len(x):
+        return np.full(len(x), np.nan)
+    at, out = np.flatnonzero(spikes), x.copy()
+    out[at] = np.interp(at, good, x[good], left=np.nan, right=np.nan)
+    return out
+
+
 def _despike_table(values: np.ndarray, limits: np.ndarray, n_windows: int, longest: int, max_runs: int):
-    """Repair one file-day; windows overlap by half and each sees the earlier repairs."""
-    values = values.copy()
-    missing = np.isnan(values)
-    spikes = np.zeros(values.shape, dtype=bool)
+    """Repair one file-day: (values, spikes). Windows overlap by half and are visited in order, again until each is clean."""
+    out, missing, spikes = values.copy(), np.isnan(values), np.zeros(values.shape, dtype=bool)
     edges = np.rint(np.linspace(0, len(values), n_windows + 2)).astype(int)
-    active = [k for k in range(n_windows) if edges[k + 2] > edges[k]]
+    todo = [slice(a, b) for a, b in zip(edges, edges[2:]) if b > a]
+
+    def repaired(window: slice) -> bool:
+        hit = _short_outliers(out[window], limits, longest)
+        if hit.any():
+            spikes[window] |= hit
+            out[window] = np.stack([_bridged(*cols) for cols in zip(out[window].T, hit.T, missing[window].T)], axis=1)
+        return bool(hit.any())
+
     for _ in range(max_runs):
-        still = []
-        for k in active:
-            part = slice(edges[k], edges[k + 2])
-            block = values[part]
-            centre, spread = np.nanmean(block, axis=0), np.nanstd(block, axis=0)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                hit = np.abs(block - centre) >= limits * np.where(spread > 0, spread, np.nan)
-            for c in range(hit.shape[1]):
-                turn = np.flatnonzero(np.diff(np.r_[0, hit[:, c], 0]))
-                for a, b in zip(turn[::2], turn[1::2]):
-                    if b - a > longest:
-                        hit[a:b, c] = False
-            if not hit.any():
-                continue
-            still.append(k)
-            spikes[part] |= hit
-            bad = hit | missing[part]
-            position = np.arange(len(block))
-            for c in range(block.shape[1]):
-                ok = ~bad[:, c]
-                if ok.sum() < 2 or bad[:, c].mean() > 0.6:
-                    block[:, c] = np.nan
-                elif hit[:, c].any():
-                    block[hit[:, c], c] = np.interp(position[hit[:, c]], position[ok], block[ok, c],
-                                                    left=np.nan, right=np.nan)
-        active = still
-        if not active:
+        todo = [window for window in todo if repaired(window)]
+        if not todo:
             break
-    return values, spikes
+    return out, spikes
 
 
 def despike_to_convergence(df: DataFrame, keys, day: str, us: str, cols: dict[str, float], windows_per_day: int,

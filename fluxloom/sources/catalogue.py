@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..operators import scan
+from ..operators.quantiles import median_exceeds
 
 # fixed values: linear scale and offset of each unit onto the internal unit of its quantity
 UNITS = {
@@ -91,6 +92,44 @@ def to_internal(value: Column, unit: Column, quantity: str, target: str | None =
     return F.when(F.coalesce(name, F.lit("")) == "", value).when(line.isNull(), unknown).otherwise(internal)
 
 
+# fixed values: how a series without a declared unit is read, by (quantity, target): the unit that a median beyond the limit means
+UNDECLARED = {("temperature", "degc"): ("above", 250.0, "k"), ("temperature", "k"): ("below", 200.0, "degc"), ("humidity", "%"): None,
+              ("pressure", "kpa"): ("above", 200.0, "hpa"), ("h2o_density", "gm-3"): None, ("co2_density", "mgm-3"): None}
+
+
+def _declared(unit: Column) -> Column:
+    return F.nullif(unit_name(F.coalesce(unit, F.lit(""))), F.lit(""))
+
+
+def unit_problem(unit: Column, quantity: str, target: str) -> Column:
+    """Why a series of this unit cannot be converted to *target*; NULL if it can. Undeclared units need a fallback."""
+    name = _declared(unit)
+    none = F.lit(None).cast("string") if (quantity, target) in UNDECLARED else F.lit(f"{quantity}: no unit declared")
+    return F.when(name.isNull(), none).when(~name.isin(*UNITS[quantity]), F.concat(F.lit(f"{quantity}: unknown unit "), unit))
+
+
+def convert_series(df: DataFrame, keys, col: str, unit: str, quantity: str, target: str) -> DataFrame:
+    """*col* in the *target* unit: by its declared unit, else as the size of its median per series tells (`UNDECLARED`).
+
+    Values whose unit has a problem (`unit_problem`) become missing. Only the undeclared series need the median.
+    """
+    name, rule = _declared(F.col(unit)), UNDECLARED.get((quantity, target))
+    scale, offset = UNITS[quantity][target]
+    read_as = lambda u: ((F.col(col) * UNITS[quantity][u][0] + UNITS[quantity][u][1]) - offset) / scale if u != target else F.col(col)
+    plain = F.col(col) if (quantity, target) in UNDECLARED else F.lit(None).cast("double")
+    if rule:
+        side, limit, other = rule
+        bare = F.when(name.isNull(), F.col(col))
+        above = median_exceeds(bare, limit)
+        beyond = above if side == "above" else median_exceeds(-bare, -limit)
+        df = df.join(df.groupBy(*keys).agg(beyond.alias("_beyond")), list(keys))
+        plain = F.when(F.col("_beyond"), read_as(other)).otherwise(F.col(col))
+    value = F.when(name.isNull(), plain)
+    for u in UNITS[quantity]:
+        value = value.when(name == u, read_as(u))
+    return df.withColumn(col, value).drop("_beyond")
+
+
 def clean_unit(unit: Column) -> Column:
     """Placeholder cells of a table export mean no unit."""
     u = F.trim(F.regexp_replace(unit, "[\"']", ""))
