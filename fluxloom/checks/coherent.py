@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import coherent, lags, windows
@@ -220,6 +222,63 @@ def _(t):
     return coherent_job.coherent_flux_job(_primes(t), V, ["u", "c"], {"uw": ("u", "w"), "wc": ("w", "c")}, SCALES, FS, 6, 1.0)
 
 
+def _other(sql: str) -> str:
+    """The event tables for the events of c instead of u, with names of their own."""
+    one = sql.replace("SUM(p.u * (1 - pow", "SUM(p.c * (1 - pow")
+    return re.sub(r"\b(sc|tr|wv|pk|ds|tz|ev|evt|es|ca)\b(?! *\()", r"\1_c", one).replace("sc(j, a)", "sc_c(j, a)")
+
+
+_RECORD = """SELECT v.vec_id, '{s}' AS signal, d.a0, d.a0 * pi() / sqrt(2) AS duration, CAST(coalesce(n, 0) AS INTEGER) AS n_events, spacing AS mean_spacing
+  FROM (SELECT DISTINCT vec_id FROM prime) v JOIN ds{x} d USING (vec_id) LEFT JOIN (SELECT vec_id, COUNT(*) AS n, CASE WHEN COUNT(*) > 1 THEN (MAX(time_s) - MIN(time_s)) / (COUNT(*) - 1) END AS spacing
+    FROM evt{x} GROUP BY 1) e USING (vec_id)"""
+
+
+@check("x15_event_records", "vec_id signal n_events", "a0 duration mean_spacing",
+       f"WITH @prime, {_EV}, {_other(_EV)} {_RECORD.format(s='u', x='')} UNION ALL {_RECORD.format(s='c', x='_c')}")
+def _(t):
+    return coherent_job.ramp_records(_primes(t), V, ["u", "c"], SCALES, FS, edge_scales=1.0)[0]
+
+
+@check("x15_renewal_records", "vec_id lag", "a period alpha renewal_flux",
+       f"""WITH @prime, {_SRF.replace("IN (1, 2, 3, 4, 6)", "IN (1, 2, 3)")}, m AS (SELECT vec_id, covar_pop(w, u) AS y FROM prime GROUP BY 1), f AS (SELECT rr.*, rr.a * 3.5 / rr.period AS f0, y FROM rr JOIN m USING (vec_id)),
+         al AS (SELECT lag, CASE WHEN COUNT(*) > 2 THEN SUM(f0 * y) / SUM(f0 * f0) END AS alpha FROM f WHERE f0 IS NOT NULL GROUP BY 1)
+         SELECT vec_id, CAST(f.lag AS INTEGER) AS lag, f.a, f.period, alpha, alpha * f0 AS renewal_flux FROM f LEFT JOIN al ON al.lag = f.lag""", digits=7)
+def _(t):
+    p = _primes(t)
+    flux = windows.array_mean(F.zip_with("w", "u", lambda a, b: a * b))
+    return coherent_job.ramp_records(p, V, ["u"], SCALES, FS, "u", (1, 2, 3), F.lit(3.5), flux, min_period_lags=2.0)[1]
+
+
+_TRIPLE = """SELECT v.vec_id, '{s}' AS event_signal, 'uw' AS pair, CAST(coalesce(k.n, 0) AS INTEGER) AS n_events, f_tot, f_cs, f_tot / cov AS ratio, f_cs / f_tot AS share, a0 * pi() / sqrt(2) AS duration
+  FROM (SELECT vec_id, AVG(u * w) AS cov FROM prime GROUP BY 1) v JOIN ds{x} USING (vec_id) LEFT JOIN (SELECT vec_id, COUNT(*) AS n FROM es{x} GROUP BY 1) k USING (vec_id)
+  LEFT JOIN (SELECT vec_id, AVG(cxy) AS f_tot, AVG(cx * cy) AS f_cs FROM ca{x} GROUP BY 1 HAVING COUNT(*) = 13) g USING (vec_id)"""
+_TRIPLES = f"WITH @prime, {_CA}, {_other(_CA)} {_TRIPLE.format(s='u', x='')} UNION ALL {_TRIPLE.format(s='c', x='_c')}"
+
+
+@check("x19_coherent_estimates", "vec_id event_signal pair n_events", "f_tot f_cs ratio share duration", _TRIPLES, digits=7)
+def _(t):
+    return coherent_job.coherent_estimates(_primes(t), V, ["u", "c"], {"uw": ("u", "w")}, SCALES, FS, 6, strong=None, edge_scales=1.0)["wavelet"]
+
+
+_PART = "SELECT vec_id, '{m}' AS module, CAST({n} AS BIGINT) AS n_rows, {v} AS value FROM {t} GROUP BY vec_id"
+
+
+@check("x24_module_values", "vec_id module n_rows", "value",
+       f"""WITH @prime, {_CA}, {_other(_CA)}, {_MRD}, {_QUAD}
+         {_PART.format(m="multiresolution", n="COUNT(*)", v="SUM(d)", t="h")} UNION ALL {_PART.format(m="quadrant", n="COUNT(*)", v="SUM(flux_fraction)", t="(SELECT * FROM qd WHERE hole <> 0.5)")}
+         UNION ALL {_PART.format(m="octant", n="COUNT(DISTINCT (u > 0)::INT * 4 + (w > 0)::INT * 2 + (c > 0)::INT)", v="COUNT(*)::DOUBLE", t="prime")}
+         UNION ALL {_PART.format(m="ramps", n="COUNT(*)", v="SUM(n_events)::DOUBLE", t=f"({_RECORD.format(s='u', x='')} UNION ALL {_RECORD.format(s='c', x='_c')})")}
+         UNION ALL {_PART.format(m="coherent_flux", n="COUNT(*)", v="SUM(f_cs)", t=f"({_TRIPLE.format(s='u', x='')} UNION ALL {_TRIPLE.format(s='c', x='_c')})")}""", digits=7)
+def _(t):
+    measure = {"multiresolution": "d", "quadrant": "flux_fraction", "octant": "count", "ramps": "n_events", "coherent_flux": "f_cs"}
+    jobs = coherent_job.run_modules(_primes(t), V, list(measure), FS, N, 6, steps=SCALES, half=6, edge_scales=1.0)
+    out = None
+    for name, df in jobs.items():
+        part = df.groupBy(*V).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col(measure[name]).cast("double")).alias("value")).withColumn("module", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @check("x24_module_dispatch", "vec_id module", "n_rows")
 def _(t):
     jobs = coherent_job.run_modules(_primes(t), V, ["spectra", "multiresolution", "quadrant", "scales"], FS, N, 6)

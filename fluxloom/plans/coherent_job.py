@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..operators import coherent, spectral
+from ..operators import coherent, lags as lag_ops, spectral
 from ..operators.quantiles import exact_quantiles
 from ..operators.windows import array_mean
 
@@ -37,6 +37,43 @@ def ramps_job(df: DataFrame, keys, signals, winds: tuple[str, str, str], scales,
     return g.select(*keys, "detector", "n_events", F.try_divide(F.col("_b") - F.col("_a"), F.col("n_events") - 1).alias("mean_spacing"))
 
 
+def ramp_records(df: DataFrame, keys, signals, scales, fs: float, renewal: str | None = None, lags=(), z: Column | None = None,
+                 measured: Column | None = None, mode: str = "fit", alpha: float = 1.0, min_period_lags: float = 10.0, **events) -> tuple[DataFrame, DataFrame | None]:
+    """(records, renewal ramps): scales, durations, counts and spacings of every signal, and the renewal flux of one.
+
+    *renewal* names the scalar whose structure functions at *lags* (samples, with their doubles) give ramps; its flux uses
+    *z* and, with mode ``fit``, the *measured* flux. Both are columns of the window.
+    """
+    records = coherent.event_records(df, keys, signals, scales, fs, **events)
+    if renewal is None:
+        return records, None
+    keys, every = list(keys), sorted({k for lag in lags for k in (lag, 2 * lag)})
+    windows = df.select(*keys, z.alias("_z"), (F.lit(None).cast("double") if measured is None else measured).alias("_measured"), F.size(renewal).alias("_n"))
+    sf = lag_ops.structure_functions(df, keys, renewal, every)
+    n = df.agg(F.max(F.size(renewal))).first()[0] or 0
+    ramps = coherent.renewal_ramps(sf, keys, fs, n, min_period_lags).filter(F.col("lag").isin(list(lags))).join(windows, keys)
+    return records, coherent.renewal_flux(ramps, F.col("_z"), mode, alpha, F.col("_measured")).drop("_z", "_measured", "_n")
+
+
+def coherent_estimates(df: DataFrame, keys, event_signals, pairs, scales, fs: float, half: int, holes=(0.0, 1.0, 2.0), strong: float | None = 4.0,
+                       edge_scales: float = 3.0) -> dict[str, DataFrame]:
+    """The three estimators of the coherent flux: ``wavelet`` (triple decomposition about events), ``quadrant``, ``strong_set``.
+
+    Events of all signals come from one pass; a pair (x, y) has w as its second signal unless x is called w.
+    """
+    keys = list(keys)
+    slots = F.sort_array(F.transform("times", lambda t: F.bround(t * fs).cast("int")))
+    found = coherent.event_records(df, keys, event_signals, scales, fs, edge_scales=edge_scales).select(*keys, F.col("signal").alias("event_signal"), slots.alias("_ev"), "duration")
+    rows = df.join(found, keys)
+    wavelet = _stack({n: coherent.coherent_flux(rows, [*keys, "event_signal", "duration"], x, y, "_ev", half) for n, (x, y) in pairs.items()}, "pair")
+    out = {"wavelet": wavelet.withColumn("share", F.try_divide("f_cs", "f_tot")),
+           "quadrant": _stack({n: coherent.quadrant_coherent_fraction(coherent.quadrants(df, keys, x, y, holes), keys, "x" if x == "w" else "y")
+                               for n, (x, y) in pairs.items()}, "pair")}
+    if strong is not None:
+        out["strong_set"] = _stack({n: coherent.strong_set(df, keys, x, y, strong) for n, (x, y) in pairs.items()}, "pair")
+    return out
+
+
 def coherent_flux_job(df: DataFrame, keys, event_signals, pairs, scales, fs: float, half: int, edge_scales: float = 3.0) -> DataFrame:
     """Triple-decomposition flux of every pair about the events of every event signal."""
     keys, out = list(keys), {}
@@ -86,8 +123,12 @@ def cutoff_sweep(df: DataFrame, keys, modulator: str, signal: str, fs: float, sp
 
 
 def run_modules(df: DataFrame, keys, modules, fs: float, n: int, levels: int, x: str = "u", y: str = "w", speed: float = 4.2,
-                delta: float = 20.0) -> dict[str, DataFrame]:
-    """The chosen analyses on one prepared table; each is a lazy frame of its own."""
+                delta: float = 20.0, scalar: str = "c", steps=(), half: int = 6, edge_scales: float = 3.0) -> dict[str, DataFrame]:
+    """The chosen analyses on one prepared table; each is a lazy frame of its own.
+
+    *scalar* is the third signal of octants and events, *steps* the wavelet scales in s, *half* the samples on each side of
+    an event.
+    """
     def scales():
         lines = spectral.spectra(df, keys, x, x, fs)
         lam2 = F.lit(3.141592653589793 * delta)
@@ -99,6 +140,10 @@ def run_modules(df: DataFrame, keys, modules, fs: float, n: int, levels: int, x:
         "quadrant": lambda: coherent.quadrants(df, keys, x, y, (0.0, 1.0, 2.0)),
         "scales": scales,
         "strong_set": lambda: coherent.strong_set(df, keys, x, y, 4.0),
+        "octant": lambda: octant_job(df, keys, {f"{x}{y}{scalar}": (x, y, scalar)}),
+        "ramps": lambda: coherent.event_records(df, keys, [x, scalar], steps, fs, edge_scales=edge_scales),
+        "modulation": lambda: modulation_job(df, keys, [x], [y, scalar], [(x, y)], fs, n, F.lit(speed), delta),
+        "coherent_flux": lambda: coherent_estimates(df, keys, [x, scalar], {f"{x}{y}": (x, y)}, steps, fs, half, strong=None, edge_scales=edge_scales)["wavelet"],
     }
     unknown = set(modules) - set(table)
     if unknown:
