@@ -8,7 +8,7 @@ from ..functions.timecodes import to_date_vector
 from ..operators import joins
 from ..plans import pipeline, stages
 from ..session import scratch_path
-from ..sources import catalogue, products, text_scans
+from ..sources import catalogue, hf_store, products, text_scans
 from .flux import OPTS, _FLUX, _sel
 from .registry import check
 from .standin import CHUNK_US, DAY_US, HOUR_US, KEYS, PERIOD
@@ -241,6 +241,37 @@ def _(t):
     return products.hf_windows(_hf(t), KEYS, "period_us", ["u"], 30)
 
 
+_STORE = """st AS (SELECT site, height, period_us, us, u, w, fw FROM tower QUALIFY row_number() OVER (PARTITION BY site, height, us ORDER BY event_id) = 1),
+ mf AS (SELECT site, height, period_us, COUNT(*) AS n, COUNT(*) >= 30 AS whole, AVG((u IS NULL)::INT) AS u_missing, AVG(w) AS w_mean,
+   MAX((u > 9)::INT) AS spike_flag FROM st GROUP BY 1, 2, 3)"""
+
+
+def _hf_store(t) -> str:
+    """Samples with a fine wire 0.3 m above the lower three levels and 0.8 m above the upper ones, stored with their manifest."""
+    from pyspark.sql import Window
+
+    root = scratch_path(t.spark, "hf-store")
+    one = t.tower().withColumn("_k", F.row_number().over(Window.partitionBy("site", "height", "us").orderBy("event_id"))).filter("_k = 1")
+    samples = one.select(*PERIOD, "us", "u", "w", (F.col("u") > 9).cast("int").alias("hit"), "fw")
+    periods = samples.groupBy(*PERIOD).agg(F.avg("w").alias("w_mean")).join(hf_store.window_flags(samples, {"spike_flag": ["hit"]}), PERIOD)
+    wire = samples.withColumn("height", F.col("height") + F.when(F.col("height") > 15, 0.8).otherwise(0.3))
+    hf_store.write_hf(samples, root, ["u", "w"], 30, periods, scalars={"fw": wire}, double=True)
+    return root
+
+
+@check("b02_window_manifest", "site height period_us n whole spike_flag", "u_missing w_mean",
+       f"WITH @tower, {_STORE} SELECT site, height, period_us, n, CAST(whole AS INTEGER) AS whole, spike_flag, u_missing, w_mean FROM mf")
+def _(t):
+    return hf_store.read_manifest(t.spark, _hf_store(t)).withColumn("whole", F.col("whole").cast("int"))
+
+
+@check("a13_stored_windows", "site height period_us us", "u fw fw_height w_mean",
+       f"""WITH @tower, {_STORE} SELECT site, height, period_us, us, u, CASE WHEN height < 15 THEN fw END AS fw, CASE WHEN height < 15 THEN height + 0.3::DOUBLE END AS fw_height, w_mean
+         FROM st JOIN mf USING (site, height, period_us) WHERE whole AND site = 'north'""")
+def _(t):
+    return hf_store.read_windows(t.spark, _hf_store(t), ["u"], ["fw"], ["w_mean"], sites=["north"])
+
+
 @check("a14_site_ingest_job", "site height us", "fast_u met_ts_c gas_h2o")
 def _(t):
     s = t.slots()
