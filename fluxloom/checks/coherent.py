@@ -207,7 +207,13 @@ def _(t):
     return coherent.strong_set(_primes(t), V, "u", "w", 1.5)
 
 
-@check("x25_strong_set_sweep", "vec_id k_threshold", "frac")
+def _share_at(k: float) -> str:
+    """The strong set's tables at another threshold, under names of their own."""
+    frame = re.sub(r"\b(ss|cf|th|rc)\b", rf"\1_{int(k * 10)}", _FRAME.replace("> 1.5 * sqrt", f"> {k} * sqrt"))
+    return f"SELECT vec_id, {k}::DOUBLE AS k_threshold, frac FROM (WITH {frame} SELECT vec_id, AVG(xs * ys) / AVG(xr * yr) AS frac FROM rc_{int(k * 10)} GROUP BY 1)"
+
+
+@check("x25_strong_set_sweep", "vec_id k_threshold", "frac", "WITH @prime " + " UNION ALL ".join(map(_share_at, (1.0, 1.5, 2.0, 3.0, 4.0))), digits=7)
 def _(t):
     return coherent_job.strong_set_sweep(_primes(t), V, "u", "w", [1.0, 1.5, 2.0, 3.0, 4.0])
 

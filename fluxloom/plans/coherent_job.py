@@ -18,8 +18,8 @@ def _stack(parts: dict[str, DataFrame], label: str) -> DataFrame:
 
 
 def quadrant_job(df: DataFrame, keys, pairs: dict[str, tuple[str, str]], holes) -> DataFrame:
-    """Quadrant statistics of every pair."""
-    return _stack({n: coherent.quadrants(df, keys, x, y, holes) for n, (x, y) in pairs.items()}, "pair")
+    """Quadrant statistics of every pair, from one pass over the windows."""
+    return coherent.pair_quadrants(df, keys, pairs, holes)
 
 
 def octant_job(df: DataFrame, keys, triplets: dict[str, tuple[str, str, str]]) -> DataFrame:
@@ -86,12 +86,8 @@ def coherent_flux_job(df: DataFrame, keys, event_signals, pairs, scales, fs: flo
 
 
 def strong_set_sweep(df: DataFrame, keys, x: str, y: str, thresholds) -> DataFrame:
-    """Strong-set share against the threshold."""
-    parts = [coherent.strong_set(df, keys, x, y, k).withColumn("k_threshold", F.lit(float(k))) for k in thresholds]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Strong-set share against the threshold, all thresholds in one pass."""
+    return coherent.strong_sets(df, keys, x, y, [float(k) for k in thresholds])
 
 
 def _cut(df: DataFrame, keys, modulator: str, fs: float, n: int, speed: Column, delta: float) -> DataFrame:
