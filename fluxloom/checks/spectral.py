@@ -168,7 +168,20 @@ def _(t):
     return spectral.band_fractions(lines, V, "sx", F.col("lambda_cut") / 10, F.col("lambda_cut"), F.lit(4.2))
 
 
-@check("x20_amplitude_modulation", "vec_id", "am")
+def _modulation(cuts: str) -> str:
+    """Direct Fourier sums for modulator u and signal w at the cutoffs of the table *cuts* (tag, fc)."""
+    turn, half = "2 * pi() * k * i / 64", "CASE WHEN k IN (0, 32) THEN 1 ELSE 2 END"
+    return f"""{_DFT}, cuts(tag, fc) AS ({cuts}),
+ an AS (SELECT vec_id, tag, fc, i, SUM({half} * (wr * cos({turn}) - wi * sin({turn}))) / 64 AS re, SUM({half} * (wr * sin({turn}) + wi * cos({turn}))) / 64 AS im
+   FROM ft, cuts, range(64) r(i) WHERE k * 10 / 64.0::DOUBLE > fc GROUP BY 1, 2, 3, 4),
+ le AS (SELECT vec_id, tag, fc, k, SUM(sqrt(re * re + im * im) * cos({turn})) AS er, -SUM(sqrt(re * re + im * im) * sin({turn})) AS ei
+   FROM an, range(33) t(k) WHERE k * 10 / 64.0::DOUBLE <= fc GROUP BY 1, 2, 3, 4),
+ both_low AS (SELECT vec_id, tag, i, SUM({half} * (er * cos({turn}) - ei * sin({turn}))) AS e, SUM({half} * (ur * cos({turn}) - ui * sin({turn}))) AS b
+   FROM le JOIN ft USING (vec_id, k), range(64) r(i) GROUP BY 1, 2, 3),
+ am AS (SELECT vec_id, tag, corr(b, e) AS am FROM both_low GROUP BY 1, 2)"""
+
+
+@check("x20_amplitude_modulation", "vec_id", "am", f"WITH @prime, {_modulation('SELECT 1, 1.2::DOUBLE')} SELECT vec_id, am FROM am")
 def _(t):
     return spectral.amplitude_modulation(_primes(t).withColumn("fc", F.lit(1.2)), V, "u", "w", FS, "fc")
 
@@ -180,7 +193,8 @@ def _(t):
     return modulation_job(_primes(t), V, ["u", "w"], ["w", "c"], [("u", "w"), ("w", "c")], FS, N, F.lit(4.2), 20.0)
 
 
-@check("x25_cutoff_sweep", "vec_id wavelength", "am")
+@check("x25_cutoff_sweep", "vec_id wavelength", "am",
+       f"WITH @prime, {_modulation('SELECT l, 4.2::DOUBLE / l FROM (VALUES (1.0::DOUBLE), (2.0), (4.0), (8.0)) v(l)')} SELECT vec_id, tag AS wavelength, am FROM am")
 def _(t):
     from ..plans.coherent_job import cutoff_sweep
 
@@ -200,7 +214,18 @@ def _(t):
     return map_windows(t.windows(), V, ["u"], kernel, "i int, y double")
 
 
-@check("g08_zero_phase_butterworth", "vec_id i", "low high band")
+# the odd extension has 190 samples; |H|^2 of the bilinear design multiplies each of its lines
+_FILTER = """x AS (SELECT vec_id, i, u, MAX(u) FILTER (i = 0) OVER g AS a, MAX(u) FILTER (i = 63) OVER g AS z FROM win WINDOW g AS (PARTITION BY vec_id)),
+ ext AS (SELECT vec_id, i + 63 AS j, u AS e FROM x UNION ALL SELECT vec_id, 63 - i, 2 * a - u FROM x WHERE i > 0 UNION ALL SELECT vec_id, 189 - i, 2 * z - u FROM x WHERE i < 63),
+ fx AS (SELECT vec_id, k, SUM(e * cos(2 * pi() * k * j / 190)) AS re, -SUM(e * sin(2 * pi() * k * j / 190)) AS im FROM ext, range(96) t(k) GROUP BY 1, 2),
+ gn AS (SELECT k, CASE WHEN k IN (0, 95) THEN 1 ELSE 2 END / 190.0::DOUBLE AS c, tan(pi() * least(k * 10 / 190.0::DOUBLE, 5 * (1 - 1e-12::DOUBLE)) / 10) AS t, tan(pi() / 10) AS t1, tan(pi() * 0.05::DOUBLE) AS t05, tan(pi() * 0.2::DOUBLE) AS t2 FROM range(96) r(k)),
+ gain AS (SELECT k, c / (1 + pow(t / t1, 8)) AS low, CASE WHEN k = 0 THEN 0 ELSE c / (1 + pow(t1 / t, 8)) END AS high,
+   CASE WHEN k = 0 THEN 0 ELSE c / (1 + pow(abs(t * t - t05 * t2) / (t * (t2 - t05)), 4)) END AS band FROM gn),
+ y AS (SELECT vec_id, i, SUM(low * p) AS low, SUM(high * p) AS high, SUM(band * p) AS band
+   FROM (SELECT vec_id, k, i, re * cos(2 * pi() * k * (i + 63) / 190) - im * sin(2 * pi() * k * (i + 63) / 190) AS p FROM fx, range(64) s(i)) JOIN gain USING (k) GROUP BY 1, 2)"""
+
+
+@check("g08_zero_phase_butterworth", "vec_id i", "low high band", f"WITH @win, {_FILTER} SELECT vec_id, CAST(i AS INTEGER) AS i, low, high, band FROM y", digits=8)
 def _(t):
     def kernel(x):
         return {"i": range(len(x)), "low": butterworth_zero_phase(x, FS, 4, high=1.0), "high": butterworth_zero_phase(x, FS, 4, low=1.0),
