@@ -272,7 +272,20 @@ def _(t):
     return hf_store.read_windows(t.spark, _hf_store(t), ["u"], ["fw"], ["w_mean"], sites=["north"])
 
 
-@check("a14_site_ingest_job", "site height us", "fast_u met_ts_c gas_h2o")
+def _short_gaps(c: str) -> str:
+    """Linear filling up to two hours after the last value, which holds after the last one of all."""
+    last, nxt = (f"{f}(CASE WHEN {c} IS NOT NULL THEN us END IGNORE NULLS) OVER {w}" for f, w in (("last_value", "b"), ("first_value", "a")))
+    x, y = (f"{f}({c} IGNORE NULLS) OVER {w}" for f, w in (("last_value", "b"), ("first_value", "a")))
+    return f"coalesce({c}, CASE WHEN us - {last} <= 2 * {HOUR_US} THEN coalesce({x} + ({y} - {x}) * ((us - {last})::DOUBLE / ({nxt} - {last})), {x}) END) AS {c}"
+
+
+@check("a14_site_ingest_job", "site height us", "fast_u met_ts_c gas_h2o",
+       f"""WITH @tower, sl AS (SELECT site, height, us - us % {HOUR_US} AS us, AVG(u) AS u, AVG(ts_c) AS ts_c FROM tower GROUP BY 1, 2, 3),
+         g AS (SELECT site, height, UNNEST(generate_series(MIN(us), MAX(us) + ({DAY_US} - MAX(us) % {DAY_US}) % {DAY_US}, {HOUR_US})) AS us FROM sl GROUP BY 1, 2),
+         j AS (SELECT g.*, f.u AS fast_u, m.ts_c AS met_ts_c FROM g LEFT JOIN sl f ON f.site = g.site AND f.height = g.height AND f.us = g.us
+           LEFT JOIN sl m ON m.site = g.site AND m.height = g.height AND m.us + {HOUR_US} = g.us)
+         SELECT site, height, us, {_short_gaps("fast_u")}, {_short_gaps("met_ts_c")}, NULL::DOUBLE AS gas_h2o FROM j
+         WINDOW b AS (PARTITION BY site, height ORDER BY us), a AS (PARTITION BY site, height ORDER BY us ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""")
 def _(t):
     s = t.slots()
     return pipeline.ingest(s, KEYS, "us", HOUR_US, {"fast": (s, ["u"], 0), "met": (s, ["ts_c"], HOUR_US), "gas": (None, ["h2o"], 0)}, 2, CHUNK_US)
