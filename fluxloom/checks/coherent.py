@@ -134,6 +134,12 @@ _CA = f"""{_EV}, es AS (SELECT vec_id, CAST(round_even(time_s * 10, 0) AS BIGINT
  ca AS (SELECT es.vec_id, l AS lag, AVG(p.u) AS cx, AVG(p.w) AS cy, AVG(p.u * p.w) AS cxy FROM es, range(-6, 7) r(l) JOIN prime p ON TRUE WHERE p.vec_id = es.vec_id AND p.i = es.e + l GROUP BY 1, 2)"""
 
 
+def _other(sql: str) -> str:
+    """The event tables for the events of c instead of u, with names of their own."""
+    one = sql.replace("SUM(p.u * (1 - pow", "SUM(p.c * (1 - pow")
+    return re.sub(r"\b(sc|tr|wv|pk|ds|tz|ev|evt|es|ca)\b(?! *\()", r"\1_c", one).replace("sc(j, a)", "sc_c(j, a)")
+
+
 @check("g18_conditional_average", "vec_id lag", "cx", f"WITH @prime, {_CA} SELECT vec_id, CAST(lag AS INTEGER) AS lag, cx FROM ca", digits=8)
 def _(t):
     c = _slots(t).select("vec_id", F.posexplode(coherent.conditional_average(F.col("u"), F.col("ev"), 6)).alias("p", "cx"))
@@ -187,7 +193,25 @@ def _(t):
     return coherent.renewal_flux(_renewal(t).join(flux, V), F.lit(3.5), "fit", measured=F.col("y"))
 
 
-@check("x14_tke_triggers", "vec_id event", "time_s amplitude sweep_share")
+def _tke(a: float) -> str:
+    """Energy triggers at scale *a*: three-sample means with zeros beyond the ends, waves from a minimum to the next maximum."""
+    return f"""en AS (SELECT vec_id, i, w, sqrt(u * u + c * c + w * w) AS q FROM prime),
+ es3 AS (SELECT vec_id, i, (q + coalesce(LAG(q) OVER g, 0) + coalesce(LEAD(q) OVER g, 0)) / 3 AS x FROM en WINDOW g AS (PARTITION BY vec_id ORDER BY i)),
+ ec AS (SELECT vec_id, i, x - AVG(x) OVER (PARTITION BY vec_id) AS x FROM es3),
+ et AS (SELECT b.vec_id, b.i, SUM(p.x * (1 - pow((p.i - b.i) / (10 * {a!r}::DOUBLE), 2)) * exp(-pow((p.i - b.i) / (10 * {a!r}::DOUBLE), 2) / 2)) / (10 * {a!r}::DOUBLE) AS t
+   FROM ec p JOIN ec b ON p.vec_id = b.vec_id AND abs(p.i - b.i) <= ceil(4 * {a!r}::DOUBLE * 10) GROUP BY 1, 2),
+ ex AS (SELECT *, LAG(t) OVER g AS tp, LEAD(t) OVER g AS tn FROM et WINDOW g AS (PARTITION BY vec_id ORDER BY i)),
+ pr AS (SELECT l.vec_id, l.i, l.t, MIN(h.i) AS h, arg_min(h.t, h.i) AS th FROM ex l JOIN ex h ON h.vec_id = l.vec_id AND h.i > l.i AND h.t > h.tp AND h.t >= h.tn
+   WHERE l.t < l.tp AND l.t <= l.tn GROUP BY 1, 2, 3),
+ sz AS (SELECT *, th - t AS size, AVG(th - t) OVER (PARTITION BY vec_id) AS mean_size FROM pr),
+ tk AS (SELECT vec_id, i, size, row_number() OVER g AS event, LEAD(i, 1, 64) OVER g AS upto FROM sz WHERE size > 1.25 * mean_size AND i BETWEEN 10 * {a!r}::DOUBLE AND 64 - 10 * {a!r}::DOUBLE
+   WINDOW g AS (PARTITION BY vec_id ORDER BY i))"""
+
+
+@check("x14_tke_triggers", "vec_id event", "time_s amplitude sweep_share",
+       f"""WITH @prime, {_tke(0.3)}, cw AS (SELECT tk.vec_id, event, SUM(p.w) OVER (PARTITION BY tk.vec_id, event ORDER BY p.i) AS s FROM tk JOIN prime p ON p.vec_id = tk.vec_id AND p.i >= tk.i AND p.i < tk.upto),
+         sw AS (SELECT vec_id, event, AVG((s < 0)::INT) AS sweep_share FROM cw GROUP BY 1, 2)
+         SELECT vec_id, event, i / 10.0::DOUBLE AS time_s, size AS amplitude, sweep_share FROM tk JOIN sw USING (vec_id, event)""")
 def _(t):
     return coherent.tke_triggers(_primes(t), V, "u", "c", "w", FS, 0.3, 0.3, edge_scales=1.0)
 
@@ -218,27 +242,39 @@ def _(t):
     return coherent_job.strong_set_sweep(_primes(t), V, "u", "w", [1.0, 1.5, 2.0, 3.0, 4.0])
 
 
-@check("x15_ramps_job", "vec_id detector", "n_events mean_spacing")
-def _(t):
-    return coherent_job.ramps_job(_primes(t), V, ["u", "c"], ("u", "c", "w"), SCALES, FS, 1.0)
+def _flux_terms(signal: str, suffix: str, pair: str, x: str, y: str) -> str:
+    """Triple decomposition of x'y' about the events of one signal; all terms need each of the 13 lags."""
+    return f"""SELECT v.vec_id, '{signal}' AS event_signal, '{pair}' AS pair, CAST(coalesce(k.n, 0) AS INTEGER) AS n_events, f_tot, f_cs,
+   ej AS f_ej, sw AS f_sw, f_tot / cov AS ratio
+  FROM (SELECT vec_id, AVG({x} * {y}) AS cov FROM prime GROUP BY 1) v LEFT JOIN (SELECT vec_id, COUNT(*) AS n FROM es{suffix} GROUP BY 1) k USING (vec_id)
+  LEFT JOIN (SELECT vec_id, CASE WHEN COUNT(*) = 13 THEN AVG(cxy) END AS f_tot, CASE WHEN COUNT(*) = 13 THEN AVG(cx * cy) END AS f_cs,
+      CASE WHEN COUNT(*) = 13 THEN (SUM(cx * cy) FILTER (lag < 0) + 0.5 * SUM(cx * cy) FILTER (lag = 0)) / 13 END AS ej, CASE WHEN COUNT(*) = 13 THEN (SUM(cx * cy) FILTER (lag > 0) + 0.5 * SUM(cx * cy) FILTER (lag = 0)) / 13 END AS sw
+    FROM (SELECT e.vec_id, l AS lag, AVG(p.{x}) AS cx, AVG(p.{y}) AS cy, AVG(p.{x} * p.{y}) AS cxy FROM es{suffix} e, range(-6, 7) r(l) JOIN prime p ON TRUE WHERE p.vec_id = e.vec_id AND p.i = e.e + l GROUP BY 1, 2)
+    GROUP BY 1) g USING (vec_id)"""
 
 
-@check("x19_coherent_flux_job", "vec_id event_signal pair n_events", "f_tot f_cs f_ej f_sw ratio")
+@check("x19_coherent_flux_job", "vec_id event_signal pair n_events", "f_tot f_cs f_ej f_sw ratio",
+       f"WITH @prime, {_CA}, {_other(_CA)} " + " UNION ALL ".join(_flux_terms(s, "" if s == "u" else "_c", p, *xy) for s in "uc" for p, xy in (("uw", "uw"), ("wc", "wc"))), digits=7)
 def _(t):
     return coherent_job.coherent_flux_job(_primes(t), V, ["u", "c"], {"uw": ("u", "w"), "wc": ("w", "c")}, SCALES, FS, 6, 1.0)
 
 
-def _other(sql: str) -> str:
-    """The event tables for the events of c instead of u, with names of their own."""
-    one = sql.replace("SUM(p.u * (1 - pow", "SUM(p.c * (1 - pow")
-    return re.sub(r"\b(sc|tr|wv|pk|ds|tz|ev|evt|es|ca)\b(?! *\()", r"\1_c", one).replace("sc(j, a)", "sc_c(j, a)")
-
-
 _RECORD = """SELECT v.vec_id, '{s}' AS signal, d.a0, d.a0 * pi() / sqrt(2) AS duration, CAST(coalesce(n, 0) AS INTEGER) AS n_events, spacing AS mean_spacing
   FROM (SELECT DISTINCT vec_id FROM prime) v JOIN ds{x} d USING (vec_id) LEFT JOIN (SELECT vec_id, COUNT(*) AS n, CASE WHEN COUNT(*) > 1 THEN (MAX(time_s) - MIN(time_s)) / (COUNT(*) - 1) END AS spacing
     FROM evt{x} GROUP BY 1) e USING (vec_id)"""
 
 
+_COUNTS = """SELECT v.vec_id, '{d}' AS detector, coalesce(n, 0) AS n_events, CASE WHEN n > 1 THEN (b - a) / (n - 1) END AS mean_spacing FROM (SELECT DISTINCT vec_id FROM prime) v
+  LEFT JOIN (SELECT vec_id, COUNT(*) AS n, MIN({t}) AS a, MAX({t}) AS b FROM {f} GROUP BY 1) e USING (vec_id)"""
+
+
+@check("x15_ramps_job", "vec_id detector", "n_events mean_spacing",
+       f"""WITH @prime, {_EV}, {_other(_EV)}, {_tke(SCALES[len(SCALES) // 2])} {_COUNTS.format(d="u", t="time_s", f="evt")} UNION ALL {_COUNTS.format(d="c", t="time_s", f="evt_c")}
+         UNION ALL {_COUNTS.format(d="tke", t="i / 10.0::DOUBLE", f="tk")}""")
+def _(t):
+    return coherent_job.ramps_job(_primes(t), V, ["u", "c"], ("u", "c", "w"), SCALES, FS, 1.0)
+
+
 @check("x15_event_records", "vec_id signal n_events", "a0 duration mean_spacing",
        f"WITH @prime, {_EV}, {_other(_EV)} {_RECORD.format(s='u', x='')} UNION ALL {_RECORD.format(s='c', x='_c')}")
 def _(t):
@@ -285,7 +321,9 @@ def _(t):
     return out
 
 
-@check("x24_module_dispatch", "vec_id module", "n_rows")
+@check("x24_module_dispatch", "vec_id module", "n_rows",
+       f"""WITH @prime, {_DFT}, {_BINS}, {_MRD}, {_QUAD} SELECT vec_id, 'spectra' AS module, COUNT(*) AS n_rows FROM bn GROUP BY 1 UNION ALL SELECT vec_id, 'multiresolution', COUNT(*) FROM h GROUP BY 1
+         UNION ALL SELECT vec_id, 'quadrant', COUNT(*) FROM qd WHERE hole <> 0.5 GROUP BY 1 UNION ALL SELECT vec_id, 'scales', 1 FROM prime GROUP BY 1""")
 def _(t):
     jobs = coherent_job.run_modules(_primes(t), V, ["spectra", "multiresolution", "quadrant", "scales"], FS, N, 6)
     out = None
