@@ -164,9 +164,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     # equal sets are one node, named by its smallest document
     sets = nodes.filter("n > 0 AND doc_id IS NOT NULL")
-    named = sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
-    member = cut_lineage(sets.select("doc_id", "d1", "d2").join(named, ["d1", "d2"]).select(F.col("doc_id").alias("doc"), "node"), "members")
-    by_node = sets.join(member.filter("doc = node").distinct(), F.col("doc_id") == F.col("node"), "left_semi")
+    named = cut_lineage(sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in _BITS]), "nodes")
+    member = cut_lineage(sets.select("doc_id", "d1", "d2").join(named.select("d1", "d2", "node"), ["d1", "d2"]).select(
+        F.col("doc_id").alias("doc"), "node"), "members")
+    # the sets of one document link with one another
+    spread = member.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("doc", "a")
+    own = cut_lineage(member.join(spread, "doc").filter("node > a").select("a", F.col("node").alias("b")).distinct(), "own-links")
 
     # tokens that several documents have, each document with the token's first and its neighbour
     from pyspark.sql import Window
@@ -192,7 +195,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     apart = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in _BITS)
     possible = (f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
                 f" AND {100 + percent} * ({apart}) <= {100 - percent} * (x.n + y.n)")
-    marks = by_node.select(F.col("doc_id").alias("node"), "n", *_BITS)
+    marks = named.select("node", "n", *_BITS)
     near = pairs.join(marks.alias("x"), F.expr("a = x.node")).join(marks.alias("y"), F.expr("b = y.node")).filter(
         F.expr(f"{possible} AND met > least(x.n, y.n) div {2 * MORE_SHARED}"))
     near = cut_lineage(near.select("a", "b"), "near-pairs")
@@ -209,7 +212,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         common = F.size(F.array_intersect("tokens_a", "tokens_b"))
         return both.filter(100 * common >= percent * (F.size("tokens_a") + F.size("tokens_b") - common)).select("a", "b")
 
-    links = cut_lineage(linked(near), "links")
+    links = cut_lineage(linked(near).union(own), "links")
     labels = components(links)
 
     # what is left: pairs of different components that share a token
@@ -217,7 +220,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "doc", "node", F.coalesce("label", "node").alias("label"))
     spots = shared.select("token", "doc").join(placed, "doc").select("token", "node", "label").distinct()
     mixed = spots.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    wide = spots.join(mixed.select("token"), "token", "left_semi").join(marks, "node").dropDuplicates(["token", "node"])
+    wide = spots.join(mixed.select("token"), "token", "left_semi").join(marks, "node")
     left = wide.alias("x").join(wide.alias("y"), F.expr(f"x.token = y.token AND x.label < y.label AND {possible}"))
     left = left.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(
         F.count("*").alias("met"), F.min(F.least("x.n", "y.n")).alias("n")).filter(f"met > n div {MORE_SHARED}")

@@ -207,6 +207,17 @@ def test_jaccard_hot_tokens_are_salted_without_loss(spark, monkeypatch):
     assert got == brute_components(docs)
 
 
+def test_jaccard_rows_of_one_document_are_one_node(spark):
+    a, b, c, d = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue white black grey", "un deux trois quatre cinq six")
+    docs = [(5, a), (5, b), (2, a), (3, b), (7, c), (7, d), (7, d), (9, d), (8, c), (8, None), (1, "alone here")]
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(frame(spark, docs)).collect()}
+    assert got == {(5, 2), (2, 2), (3, 2), (7, 7), (9, 7), (8, 7), (1, 1)}
+    # both texts of a document are the first of their kind, and each has a near copy
+    words = [[f"{k}{i}" for i in range(60)] for k in "xy"]
+    near = [(1, " ".join(words[0])), (1, " ".join(words[1])), (4, " ".join(words[0] + ["more"])), (6, " ".join(words[1] + ["more"]))]
+    assert {(r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(frame(spark, near)).collect()} == {(1, 1), (4, 1), (6, 1)}
+
+
 def test_components_of_a_chain(spark):
     n = 50
     links = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101)], "a long, b long")
