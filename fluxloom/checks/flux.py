@@ -33,22 +33,23 @@ r1 AS (SELECT *, CASE WHEN abs((MEDIAN(a_p) OVER (PARTITION BY site) - p_std) /
 r2 AS (SELECT *, coalesce(rv / (("P_kPa" * 1000 - rv * 461.495 * ts) / (287.058 * ts) + rv), 0.012) AS q_ref FROM r1),
 r3 AS (SELECT *, ts / (1 + 0.51 * q_ref) AS "T_K", q_ref * "P_kPa" / 0.622 AS pv FROM r2),
 r4 AS (SELECT *, 1000 * ("P_kPa" - pv) / (287.058 * "T_K") AS rho_d, 1000 * pv / (461.495 * "T_K") AS rho_v FROM r3),
-ref AS (SELECT site, period_us, z_ref, "P_kPa", "T_K", q_ref, rho_d, rho_v, rho_d + rho_v AS rho_air, 1004.67 * (1 + 0.84 * q_ref) AS cp_air,
+ref AS (SELECT site, period_us, z_ref, p_std, "P_kPa", "T_K", q_ref, rho_d, rho_v, rho_d + rho_v AS rho_air, 1004.67 * (1 + 0.84 * q_ref) AS cp_air,
   "T_K" * (1 + 0.61 * q_ref) AS "T_virt_K", LAG(q_ref) OVER g AS qp, LAG(period_us) OVER g AS pp FROM r4 WINDOW g AS (PARTITION BY site ORDER BY period_us)),
-s1 AS (SELECT st.*, ref.* EXCLUDE (site, period_us), b0, b1, b2, degrees(atan2(-a_v, a_u)) + 45 AS d0 FROM st LEFT JOIN ref USING (site, period_us) LEFT JOIN fit USING (site, height)),
+s1 AS (SELECT st.*, ref.* EXCLUDE (site, period_us), b0, b1, b2, degrees(atan2(-a_v, a_u)) + 45 AS d0,
+  CASE WHEN abs((MEDIAN(a_p) OVER (PARTITION BY st.site, st.height) - p_std) / p_std) < 0.05 THEN a_p ELSE "P_kPa" END AS p_lev FROM st LEFT JOIN ref USING (site, period_us) LEFT JOIN fit USING (site, height)),
 j1 AS (SELECT t.us, t.u, t.v, t.w, t.ts_c, t.h2o, t.co2, t.fw, s1.*, CASE WHEN qp IS NULL THEN q_ref ELSE qp + (q_ref - qp) * ((us - pp)::DOUBLE / (t.period_us - pp)) END AS qf
   FROM tower t JOIN s1 ON t.site = s1.site AND t.height = s1.height AND t.period_us = s1.period_us),
-j2 AS (SELECT *, (ts_c + 273.15) / (1 + 0.51 * qf) AS ta_k, AVG((ts_c + 273.15) / (1 + 0.51 * qf)) OVER (PARTITION BY site, height, period_us) AS tam,
+j2 AS (SELECT *, (fw + 0.0098 * (height - z_ref)) * (1 + 0.61 * qf) AS vfw, (ts_c + 273.15) / (1 + 0.51 * qf) AS ta_k, AVG((ts_c + 273.15) / (1 + 0.51 * qf)) OVER (PARTITION BY site, height, period_us) AS tam,
   sqrt(b1 * b1 + b2 * b2 + 1) AS nrm FROM j1),
 j3 AS (SELECT *, -b1 / nrm AS p31, sqrt((b2 * b2 + 1)) / nrm AS ca, (b2 / nrm) / (sqrt(b2 * b2 + 1) / nrm) AS sb, (1 / nrm) / (sqrt(b2 * b2 + 1) / nrm) AS cb FROM j2),
 j4 AS (SELECT *, ca * (u - m_u) + p31 * sb * (v - m_v) - p31 * cb * (w - m_w) AS ut, CASE WHEN u IS NOT NULL THEN cb * (v - m_v) + sb * (w - m_w) END AS vt,
   p31 * (u - m_u) - ca * sb * (v - m_v) + ca * cb * (w - m_w) AS wr, ca * m_u + p31 * sb * m_v - p31 * cb * (m_w - b0) AS yu, cb * m_v + sb * (m_w - b0) AS yv,
-  u - a_u AS up, v - a_v AS vp, w - a_w AS wp, ts_c - a_ts AS tp, fw - a_f AS fp, h2o - a_h AS hp, (co2 - a_c) / 1e6 AS cp FROM j3),
+  u - a_u AS up, v - a_v AS vp, w - a_w AS wp, ts_c - a_ts AS tp, fw - a_f AS fp, vfw - AVG(vfw) OVER (PARTITION BY site, height, period_us) AS gp, h2o - a_h AS hp, (co2 - a_c) / 1e6 AS cp FROM j3),
 j5 AS (SELECT *, (yu * ut + yv * vt) / sqrt(yu * yu + yv * yv) AS ur, (yu * vt - yv * ut) / sqrt(yu * yu + yv * yv) AS vr,
   tp - 0.51 * tam * (hp / 1000 / (rho_d + rho_v)) AS ta FROM j4),
 j6 AS (SELECT *, hp + 1000 * (28.97 / 18.0153::DOUBLE * (rho_v / rho_d) * hp / 1000 + rho_v * (1 + 28.97 / 18.0153::DOUBLE * rho_v / rho_d) * ta / "T_K") AS hw,
   28.97 / 18.0153::DOUBLE * (a_c / 1e6 / rho_d) * hp / 1000 + a_c / 1e6 * (1 + 28.97 / 18.0153::DOUBLE * rho_v / rho_d) * ta / "T_K" AS xc,
-  co2 * 1000 * 8.314 * ta_k / (44.01 * "P_kPa" * 1000) AS ppm, least((us - 1 - (period_us - {DAY_US})) // {DAY_US // 4}, 3) AS sub FROM j5),
+  co2 * 1000 * 8.314 * ta_k / (44.01 * p_lev * 1000) AS ppm, least((us - 1 - (period_us - {DAY_US})) // {DAY_US // 4}, 3) AS sub FROM j5),
 j7 AS (SELECT *, cp + xc AS cw, (co2 - a_c) / 1e6 + xc AS cs, ca * u + p31 * sb * v - p31 * cb * w AS put, CASE WHEN u IS NOT NULL THEN cb * v + sb * w END AS pvt,
   p31 * u - ca * sb * v + ca * cb * w AS pwr FROM j6),
 sb0 AS (SELECT site, height, period_us, sub, {', '.join(f"CASE WHEN COUNT({a} * {b}) >= 3 THEN AVG({a} * {b}) - AVG({a}) * AVG({b}) FILTER ({a} IS NOT NULL) - AVG({b}) * AVG({a}) FILTER ({b} IS NOT NULL) + AVG({a}) * AVG({b}) END AS c_{n}, AVG({a} * {b}) AS d_{n}" for n, (a, b) in STEADY.items())}
@@ -56,7 +57,7 @@ sb0 AS (SELECT site, height, period_us, sub, {', '.join(f"CASE WHEN COUNT({a} *
 sb1 AS (SELECT site, height, period_us, {', '.join(f"AVG(c_{n}) AS c_{n}, AVG(d_{n}) AS d_{n}" for n in STEADY)} FROM sb0 GROUP BY 1, 2, 3),
 j8 AS (SELECT *, {', '.join(f"SUM(wr * {c}) OVER g AS tot_{n}" for n, c in EFFICIENT.items())} FROM j7 WINDOW g AS (PARTITION BY site, height, period_us)),
 ag AS (SELECT site, height, period_us, {', '.join(f'AVG({q}) AS "m_{q.replace("*", "_")}"' for q in PRODUCTS)},
-  STDDEV_SAMP(wr) AS sw1, VAR_POP(cs) AS cs_var, STDDEV_POP(u) AS sd_u, STDDEV_POP(v) AS sd_v, STDDEV_POP(w) AS sd_w, STDDEV_POP(ts_c) AS sd_t,
+  STDDEV_SAMP(wr) AS sw1, AVG(vfw) AS vfw_m, MAX(tam) AS tam_m, VAR_POP(cs) AS cs_var, STDDEV_POP(u) AS sd_u, STDDEV_POP(v) AS sd_v, STDDEV_POP(w) AS sd_w, STDDEV_POP(ts_c) AS sd_t,
   STDDEV_POP(fw) AS sd_f, STDDEV_POP(h2o) AS sd_h, STDDEV_POP(co2) AS sd_c, STDDEV_POP((yu * put + yv * pvt) / sqrt(yu * yu + yv * yv)) AS sd_ur,
   STDDEV_POP((yu * pvt - yv * put) / sqrt(yu * yu + yv * yv)) AS sd_vr, STDDEV_POP(pwr) AS sd_wr,
   {', '.join(f'CORR({a}, {b}) AS {n}_corr_pf' for n, (a, b) in CORRELATED.items())},
@@ -92,6 +93,8 @@ for _c in "uvw":
         f", {_c} - a_{_c} AS", f", {_at(_c)} AS")
 for _c, _m in (("ts_c", "ts"), ("fw", "f"), ("h2o", "h")):
     _FLUX_LINEAR = _FLUX_LINEAR.replace(f", {_c} - a_{_m} AS", f", {_at(_c)} AS")
+_OVER = "OVER (PARTITION BY site, height, period_us)"
+_FLUX_LINEAR = _FLUX_LINEAR.replace(f"AVG(vfw) {_OVER}", f"REGR_INTERCEPT(vfw, {_T}) {_OVER} - REGR_SLOPE(vfw, {_T}) {_OVER} * {_T}")
 _FLUX_LINEAR = _FLUX_LINEAR.replace("(co2 - a_c) / 1e6 AS cp", f"({_at('co2')}) / 1e6 AS cp")
 
 
@@ -131,6 +134,10 @@ _OUT = {
     "w_ts_cov_raw": ("m_wp_tp", "unrot OR tsf"), "w_theta_v_cov_pf": ("m_wr_tp", "rot OR tsf"),
     "w_t_air_cov_raw": ("m_wp_ta", "unrot OR tsf OR h2of"), "w_t_air_cov_pf": ("m_wr_ta", "rot OR tsf OR h2of"),
     "w_t_fw_cov_raw": ("m_wp_fp", "unrot OR fwf"), "w_t_fw_cov_pf": ("m_wr_fp", "rot OR fwf"),
+    **{f"w_theta_{k}fw_cov_{r}": (f"m_{w}_{x}", f"{f} OR fwf") for k, x in (("", "fp"), ("v_", "gp")) for r, w, f in (("raw", "wp", "unrot"), ("pf", "wr", "rot"))},
+    **{f"{a}_theta_fw_cov_{r}": (f"m_{a}{x}_fp", "rot OR fwf") for a in "uv" for r, x in (("raw", "p"), ("pf", "r"))},
+    "theta_fw": ("a_f + 0.0098 * (height - z_ref)", ""), "theta_v": ("a_ts + 0.0098 * (height - z_ref)", ""), "theta_v_fw": ("vfw_m", ""),
+    "t_air": ("tam_m - 273.15", ""),
     "u_ts_cov_pf": ("m_ur_tp", "rot OR tsf"), "v_ts_cov_pf": ("m_vr_tp", "rot OR tsf"),
     "H_raw": ("rho_air * cp_air * m_wp_ta", "unrot OR tsf OR h2of"), "H_pf": ("rho_air * cp_air * heat", ""),
     "H_buoyancy_pf": ("rho_air * cp_air * m_wr_tp", "rot OR tsf"),
@@ -210,6 +217,26 @@ def _(t):
     return primes(t.tower(), full_state(t.tower(), OPTS))
 
 
+# hygrometers of the upper levels, with periods without a value
+_SLOW = "SELECT site, height, period_us, ts_c + 272.65 AS t_k, CASE WHEN period_us // 86400000000 % 5 <> 2 THEN 35 + k / 4.0::DOUBLE END AS rh FROM tower WHERE height > 4"
+_LEVEL = f"""{_FLUX}, slow AS ({_SLOW}),
+v1 AS (SELECT slow.*, p_lev, z_ref, rh / 100 * 0.6112 * exp(17.67 * (slow.t_k - 273.16) / (slow.t_k - 29.66)) AS e FROM slow JOIN s1 USING (site, height, period_us)),
+v2 AS (SELECT site, height, period_us, AVG(rh) / 100 * 0.6112 * exp(17.67 * (AVG(t_k) - 273.16) / (AVG(t_k) - 29.66)) AS em, ANY_VALUE(p_lev) AS pm,
+  AVG((t_k + 0.0098 * (height - z_ref)) * (1 + 0.61 * 0.62197 * e / (p_lev - e))) AS theta_v_slow, AVG(621.97 * e / (p_lev - e)) AS r,
+  AVG(1000 * (p_lev - e) / (287.058 * t_k) + 1000 * e / (461.495 * t_k)) AS rho_air_moist, AVG(1000 * (p_lev - e) / (287.058 * t_k)) AS rho_air_dry,
+  AVG(1000 * e / (461.495 * t_k)) AS rho_h2o FROM v1 GROUP BY 1, 2, 3)
+SELECT w6.site, w6.height, w6.period_us, 1000 * 0.622 * em / (pm - 0.378 * em) AS q, theta_v_slow, r, rho_air_moist, rho_air_dry, rho_h2o,
+  w6.lo / w6."T_virt_K" * CASE WHEN w6.height > 4 THEN theta_v_slow ELSE w6."T_virt_K" END AS "L"
+FROM w6 LEFT JOIN v2 USING (site, height, period_us)"""
+
+
+@check("p06_level_humidity", "site height period_us", "q theta_v_slow r rho_air_moist rho_air_dry rho_h2o L", _LEVEL, 5)
+def _(t):
+    slow = t.tower().filter("height > 4").selectExpr("site", "height", "period_us", "ts_c + 272.65D AS t_k",
+                                                     "case when period_us div 86400000000 % 5 <> 2 then 35 + k / 4.0D end AS rh")
+    return flux_job(t.tower(), OPTS, humidity=slow)
+
+
 @check("f25_steady_state_deviation", "site height period_us", "uw wt",
        f"{_FLUX} SELECT site, height, period_us, ss_uw AS uw, ss_wt AS wt FROM w6", 4)
 def _(t):

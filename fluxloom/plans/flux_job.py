@@ -125,24 +125,78 @@ def _with_humidity_ramp(ref: DataFrame) -> DataFrame:
     return ref.withColumns({"q_prev": F.lag("q_ref").over(w), "end_prev": F.lag("period_us").over(w)})
 
 
+def level_humidity(humidity: DataFrame, pressure: DataFrame) -> DataFrame:
+    """Period humidity, virtual potential temperature and densities of the hygrometers of each level.
+
+    *humidity* carries site, height, period_us, t_k, rh in percent and may carry hmp_height, the sensor's own height; rows are
+    samples or slow means. *pressure* carries the level's P_lev and z_ref per period. theta_v_slow, r (g/kg) and the densities
+    are means over the complete rows, at the period's pressure; q_lev (kg/kg) is of the mean temperature and the mean humidity, each over its own valid
+    rows. A period without rows is absent.
+    """
+    h = humidity.withColumn("hmp_height", F.lit(None).cast("double")) if "hmp_height" not in humidity.columns else humidity
+    h = h.select(*KEY, "t_k", "rh", "hmp_height").join(pressure.select(*KEY, "P_lev", "z_ref"), KEY)
+    air = thermo.moist_air(F.col("t_k"), F.col("rh"), F.col("P_lev"), F.coalesce("hmp_height", "height") - F.col("z_ref"))
+    names = {"theta_v": "theta_v_slow", "r": "r", "rho_moist": "rho_air_moist", "rho_dry": "rho_air_dry", "rho_h2o": "rho_h2o"}
+    means = h.groupBy(*KEY).agg(F.first("P_lev").alias("p"), F.avg("t_k").alias("t"), F.avg("rh").alias("rh"),
+                                *[F.avg(air[k]).alias(n) for k, n in names.items()])
+    return means.select(*KEY, thermo.specific_humidity(F.col("rh"), F.col("p"), F.col("t")).alias("q_lev"), *names.values())
+
+
+def level_inputs(state: DataFrame, opts: FluxOptions, humidity: DataFrame | None = None) -> DataFrame:
+    """The pressure and humidity course of each level beside the reference state.
+
+    A level's own barometer counts where its median over the run lies within 5 % of the standard atmosphere, else the
+    reference pressure (P_lev). A level with a hygrometer has its own humidity course between the periods that have a value,
+    held at both ends; the others follow the reference. h_prev at h_start and h_next at h_end enclose a period's samples.
+    """
+    level = W.partitionBy("site", "height")
+    standard = thermo.standard_pressure(F.col("z_ref") + opts.elevation)
+    near = (median_exceeds(F.col("a_p_kpa"), 0.95 * F.col("p_std"), level) & ~median_exceeds(F.col("a_p_kpa"), 1.05 * F.col("p_std"), level)
+            & (F.count("a_p_kpa").over(level) > 0))
+    state = state.withColumn("p_std", standard).withColumn("P_lev", F.when(near, F.col("a_p_kpa")).otherwise(F.col("P_kPa"))).drop("p_std")
+    names = ("q_lev", "theta_v_slow", "r", "rho_air_moist", "rho_air_dry", "rho_h2o")
+    course = {"h_next": "q_ref", "h_end": "period_us", "h_prev": "q_prev", "h_start": "end_prev"}
+    if humidity is None:
+        return state.withColumns({**{n: F.lit(None).cast("double") for n in names}, "own_q": F.lit(False), **{k: F.col(c) for k, c in course.items()}})
+    state = state.join(level_humidity(humidity, state), KEY, "left")
+    order = level.orderBy("period_us")
+    after, before = order.rowsBetween(0, W.unboundedFollowing), order.rowsBetween(W.unboundedPreceding, -1)
+    at = F.when(F.col("q_lev").isNotNull(), F.col("period_us"))
+    own = {"h_next": F.first("q_lev", ignorenulls=True).over(after), "h_end": F.first(at, ignorenulls=True).over(after),
+           "h_prev": F.last("q_lev", ignorenulls=True).over(before), "h_start": F.last(at, ignorenulls=True).over(before)}
+    state = state.withColumn("own_q", F.count("q_lev").over(level) > 0)
+    return state.withColumns({k: F.when(F.col("own_q"), own[k]).otherwise(F.col(c)) for k, c in course.items()})
+
+
 def _sample_humidity() -> Column:
-    rate = (F.col("us") - F.col("end_prev")) / (F.col("period_us") - F.col("end_prev")).cast("double")
-    return F.when(F.col("q_prev").isNull(), F.col("q_ref")).otherwise(
-        F.col("q_prev") + (F.col("q_ref") - F.col("q_prev")) * rate)
+    c = F.col
+    rate = (c("us") - c("h_start")) / (c("h_end") - c("h_start")).cast("double")
+    return F.when(c("h_prev").isNull(), c("h_next")).when(c("h_next").isNull(), c("h_prev")).otherwise(
+        c("h_prev") + (c("h_next") - c("h_prev")) * rate)
+
+
+def _fine_wire_virtual() -> Column:
+    """Virtual potential temperature of the fine wire (deg C)."""
+    return (F.col("fw") + thermo.LAPSE_DRY * (F.col("height") - F.col("z_ref"))) * (1.0 + 0.61 * _sample_humidity())
 
 
-def full_state(samples: DataFrame, opts: FluxOptions, fits: DataFrame | None = None, slow: DataFrame | None = None) -> DataFrame:
-    """Everything known per period before the sample pass, including the mean air temperature."""
+def full_state(samples: DataFrame, opts: FluxOptions, fits: DataFrame | None = None, slow: DataFrame | None = None,
+               humidity: DataFrame | None = None) -> DataFrame:
+    """Everything known per period before the sample pass, including the means that need the humidity course."""
     base = period_state(samples, opts)
     fits = global_fits(base) if fits is None else fits
     ref = _with_humidity_ramp(reference_state(base, opts, slow))
     state = base.join(ref, ["site", "period_us"], "left").join(fits, ["site", "height"], "left")
     mu, mv, _ = planar_fit_rotate(*[F.col(c) for c in ("m_u", "m_v", "m_w", "b0", "b1", "b2")])
     state = state.withColumns({"y_u": mu, "y_v": mv})
-    ramp = state.select(*KEY, "q_ref", "q_prev", "end_prev")
+    state = level_inputs(state, opts, humidity)
+    ramp = state.select(*KEY, "z_ref", "h_next", "h_end", "h_prev", "h_start")
     air = (thermo.air_from_sonic(F.col("ts_c") + 273.15, _sample_humidity()))
-    t_air = samples.select(*KEY, "us", "ts_c").join(ramp, KEY).groupBy(*KEY).agg(F.avg(air).alias("t_air_k"))
-    return state.join(t_air, KEY, "left")
+    wire = _fine_wire_virtual()
+    slope = F.coalesce(F.regr_slope(wire, _seconds()), F.lit(0.0)) if opts.detrend == "linear" else F.lit(0.0)
+    means = samples.select(*KEY, "us", "ts_c", "fw").join(ramp, KEY).groupBy(*KEY).agg(
+        F.avg(air).alias("t_air_k"), F.avg(wire).alias("a_vfw"), slope.alias("k_vfw"), F.avg(F.when(wire.isNotNull(), _seconds())).alias("t_vfw"))
+    return state.join(means, KEY, "left")
 
 
 def primes(samples: DataFrame, state: DataFrame) -> DataFrame:
@@ -159,12 +213,13 @@ def primes(samples: DataFrame, state: DataFrame) -> DataFrame:
     sigma = thermo.M_DRY / thermo.M_VAPOUR
     ratio = c("rho_v") / c("rho_d")
     ta = thermo.air_perturbation(c("tp"), c("hp") / 1000.0 / (c("rho_d") + c("rho_v")), c("t_air_k"))
-    s = s.withColumns({"ur": ur, "vr": vr, "ta": ta})
+    gp = _fine_wire_virtual() - c("a_vfw") - c("k_vfw") * (_seconds() - c("t_vfw"))
+    s = s.withColumns({"ur": ur, "vr": vr, "ta": ta, "gp": gp})
     rho_c = c("a_co2") / 1e6
     ext_v = sigma * ratio * c("hp") / 1000.0 + c("rho_v") * (1.0 + sigma * ratio) * c("ta") / c("T_K")
     ext_c = sigma * rho_c / c("rho_d") * c("hp") / 1000.0 + rho_c * (1.0 + sigma * ratio) * c("ta") / c("T_K")
     return s.withColumns({"hw": c("hp") + 1000.0 * ext_v, "xc": ext_c, "cw": c("cp") + ext_c, "cs": (c("co2") - c("a_co2")) / 1e6 + ext_c,
-                          "ppm": thermo.co2_mole_fraction_ppm(c("co2"), c("P_kPa"), thermo.air_from_sonic(
+                          "ppm": thermo.co2_mole_fraction_ppm(c("co2"), c("P_lev"), thermo.air_from_sonic(
                               c("ts_c") + 273.15, _sample_humidity()) - 273.15)})
 
 
@@ -172,7 +227,7 @@ def primes(samples: DataFrame, state: DataFrame) -> DataFrame:
 PRODUCTS = ("up*up vp*vp wp*wp up*wp vp*wp ur*ur vr*vr wr*wr ur*vr ur*wr vr*wr ut*ut vt*vt ut*vt ut*wr vt*wr tp*tp fp*fp "
             "hp*hp cp*cp cw*cw ut*tp vt*tp wr*tp wp*tp wp*ta wr*ta up*tp vp*tp ur*tp vr*tp wp*fp wr*fp wp*hp wr*hp wr*hw "
             "wp*cp wr*cp wr*xc ur*hp ur*hw ur*cp ur*cw wr*ur*ur wr*vr*vr wr*wr*wr wr*ur*wr wr*tp*wr wr*tp*tp wr*hp*wr "
-            "wr*hw*wr wr*cp*wr wr*cw*wr cs cs*cs ppm").split()
+            "wr*hw*wr wr*cp*wr wr*cw*wr cs cs*cs ppm up*fp vp*fp ur*fp vr*fp wp*gp wr*gp").split()
 CORRELATED = {"u_w__w_theta_v": ("ur*wr", "tp*wr"), "u_w__w_h2o": ("ur*wr", "hp*wr"), "w_h2o__w_theta_v": ("hp*wr", "tp*wr"),
               "w_u": ("wr", "ur"), "w_theta_v": ("wr", "tp"), "w_h2o": ("wr", "hp"), "w_co2": ("wr", "cp"),
               "w_h2o_wpl": ("wr", "hw"), "w_co2_wpl": ("wr", "cw"), "u_w__w_co2": ("ur*wr", "cp*wr"),
@@ -186,7 +241,7 @@ STEADY = {"uw": ("ur", "wr"), "vw": ("vr", "wr"), "wt": ("wr", "tp"), "wh": ("wr
 
 
 # series each factor needs; x is the complete wind vector
-_NEEDS = {"up": "u", "vp": "v", "wp": "w", "ur": "x", "vr": "x", "wr": "x", "ut": "x", "vt": "x", "tp": "t", "fp": "f",
+_NEEDS = {"up": "u", "vp": "v", "wp": "w", "ur": "x", "vr": "x", "wr": "x", "ut": "x", "vt": "x", "tp": "t", "fp": "f", "gp": "f",
           "hp": "h", "cp": "c", "ta": "th", "hw": "th", "xc": "th", "cw": "thc", "cs": "thc", "ppm": "tc"}
 _PROBE = {"u": "up", "v": "vp", "w": "wp", "x": "ur", "t": "tp", "f": "fp", "h": "hp", "c": "cp"}
 
@@ -296,10 +351,11 @@ def period_sums(sub: DataFrame) -> DataFrame:
     return sub.groupBy(*KEY).agg(*[F.expr(e).alias(n) for n, e in aggs.items()])
 
 
-def flux_job(samples: DataFrame, opts: FluxOptions, fits: DataFrame | None = None, slow: DataFrame | None = None) -> DataFrame:
-    """All product groups; *samples* carry site, height, us, period_us and the channels."""
+def flux_job(samples: DataFrame, opts: FluxOptions, fits: DataFrame | None = None, slow: DataFrame | None = None,
+             humidity: DataFrame | None = None) -> DataFrame:
+    """All product groups; *samples* carry site, height, us, period_us and the channels, *humidity* the levels' hygrometers."""
     # the state is period-sized and read twice; a written table is computed once and survives lost executors
-    state = cut_lineage(full_state(samples, opts, fits, slow), "flux-state")
+    state = cut_lineage(full_state(samples, opts, fits, slow, humidity), "flux-state")
     sums = period_sums(sub_period_sums(primes(samples, state), opts))
     return blank(products(sums.join(state, KEY), opts))
 
@@ -342,6 +398,10 @@ def products(df: DataFrame, opts: FluxOptions) -> DataFrame:
         "w_theta_s_cov_raw": "M_wp_tp", "w_theta_s_cov_pf": "M_wr_tp", "w_t_fw_cov_raw": "M_wp_fp", "w_t_fw_cov_pf": "M_wr_fp",
         "u_ts_cov_raw": "M_up_tp", "v_ts_cov_raw": "M_vp_tp", "u_ts_cov_pf": "M_ur_tp", "v_ts_cov_pf": "M_vr_tp",
         "u_theta_s_cov_raw": "M_up_tp", "v_theta_s_cov_raw": "M_vp_tp", "u_theta_s_cov_pf": "M_ur_tp", "v_theta_s_cov_pf": "M_vr_tp",
+        "w_theta_fw_cov_raw": "M_wp_fp", "w_theta_fw_cov_pf": "M_wr_fp", "w_theta_v_fw_cov_raw": "M_wp_gp", "w_theta_v_fw_cov_pf": "M_wr_gp",
+        "u_theta_fw_cov_raw": "M_up_fp", "v_theta_fw_cov_raw": "M_vp_fp", "u_theta_fw_cov_pf": "M_ur_fp", "v_theta_fw_cov_pf": "M_vr_fp",
+        "theta_fw": f"a_fw + {thermo.LAPSE_DRY!r}D * (height - z_ref)", "theta_v": f"a_ts_c + {thermo.LAPSE_DRY!r}D * (height - z_ref)",
+        "theta_v_fw": "a_vfw", "t_air": "t_air_k - 273.15D", "q": "q_lev * 1000D",
         "w_h2o_cov_raw": "M_wp_hp", "w_h2o_cov_pf": "M_wr_hp", "w_h2o_wpl_cov_pf": "M_wr_hw",
         "w_q_wpl_cov_pf": "wpl * (M_wr_hp / 1e3D + rho_v / T_K * M_wr_ta)",
         "w_co2_cov_raw": "M_wp_cp", "w_co2_cov_pf": "M_wr_cp", "w_co2_wpl_cov_pf": "M_wr_cp + M_wr_xc",
@@ -351,7 +411,7 @@ def products(df: DataFrame, opts: FluxOptions) -> DataFrame:
         "_heat": "case when not (rot or tsf or h2of) then M_wr_ta end", "_tau": "case when not rot then hypot(M_ur_wr, M_vr_wr) end",
     })
     df = df.withColumns({
-        "L": stability.obukhov_length(c("_tau"), c("T_virt_K"), c("w_theta_v_cov_vertical")),
+        "L": stability.obukhov_length(c("_tau"), F.when(c("own_q"), c("theta_v_slow")).otherwise(c("T_virt_K")), c("w_theta_v_cov_vertical")),
         "ustar_pf": stability.friction_velocity(c("_tau"))})
     le = lambda e: f"1000D * Lv * wpl * ({e} / 1000D + rho_v / T_K * _heat)"
     df = add(df, {"LE_wpl_raw": le("M_wp_hp"), "LE_wpl_pf": le("M_wr_hp"), "zeta": "height / case when not (rot or tsf) then L end"})
@@ -388,7 +448,9 @@ PRODUCT_NAMES = set("""u_sigma_raw v_sigma_raw w_sigma_raw u_sigma_pf v_sigma_pf
  w_theta_s_cov_raw w_theta_s_cov_pf w_t_fw_cov_raw w_t_fw_cov_pf u_ts_cov_raw v_ts_cov_raw u_ts_cov_pf v_ts_cov_pf
  u_theta_s_cov_raw v_theta_s_cov_raw u_theta_s_cov_pf v_theta_s_cov_pf
  w_h2o_cov_raw w_h2o_cov_pf w_h2o_wpl_cov_pf w_q_wpl_cov_pf w_co2_cov_raw w_co2_cov_pf w_co2_wpl_cov_pf u_theta_v_cov_pf
- u_h2o_cov_pf u_h2o_wpl_cov_pf u_co2_cov_pf u_co2_wpl_cov_pf co2_mole_fraction""".split())
+ u_h2o_cov_pf u_h2o_wpl_cov_pf u_co2_cov_pf u_co2_wpl_cov_pf co2_mole_fraction
+ w_theta_fw_cov_raw w_theta_fw_cov_pf w_theta_v_fw_cov_raw w_theta_v_fw_cov_pf u_theta_fw_cov_raw v_theta_fw_cov_raw u_theta_fw_cov_pf
+ v_theta_fw_cov_pf theta_fw theta_v theta_v_fw t_air q theta_v_slow r rho_air_moist rho_air_dry rho_h2o""".split())
 
 
 def steady_state() -> dict[str, Column]:
