@@ -13,7 +13,7 @@ from .rotation import _fit
 from .standin import DAY_US, PERIOD
 
 OPTS = FluxOptions(period_us=DAY_US, n_sub=4, missing_share=0.12, diagnostic_limit=0.12, elevation=190.0, slope=6.0, aspect=30.0,
-                   bearing=45.0, canopy=3.0, latitude=39.0, displacement=0.3, krypton=True, detrend="constant")
+                   bearing=45.0, canopy=3.0, latitude=39.0, displacement=0.3, krypton=True, detrend="constant", level_means=True)
 LINEAR = replace(OPTS, detrend="linear")
 
 _OK = "u IS NOT NULL AND v IS NOT NULL AND w IS NOT NULL"

@@ -48,6 +48,7 @@ class FluxOptions:
     stability_source: str = "hoegstroem1988"
     default_q: float = 0.012
     krypton: bool = False
+    level_means: bool = False  # add mean temperatures of the level, which no flag voids
     detrend: str = "linear"  # or "constant"
 
 
@@ -435,7 +436,7 @@ def products(df: DataFrame, opts: FluxOptions) -> DataFrame:
              "H_pf", "H_buoyancy_pf", *(["LE_o2_raw", "LE_o2_pf"] if opts.krypton else [])]
     base = ["direction", "n_samples", "P_kPa", "T_K", "q_ref", "rho_d", "rho_v", "rho_air", "cp_air", "T_virt_K", "z_ref",
             "unrot", "rot", "tsf", "fwf", "h2of", "co2f"]
-    keep = [x for x in df.columns if x in PRODUCT_NAMES]
+    keep = [x for x in df.columns if x in PRODUCT_NAMES or (opts.level_means and x in LEVEL_MEANS)]
     return df.select(*KEY, *base, *keep, *extra, *[F.expr(e).alias(n) for n, e in shape.items()],
                      *[q.alias(n) for n, q in quality.items()])
 
@@ -450,7 +451,9 @@ PRODUCT_NAMES = set("""u_sigma_raw v_sigma_raw w_sigma_raw u_sigma_pf v_sigma_pf
  w_h2o_cov_raw w_h2o_cov_pf w_h2o_wpl_cov_pf w_q_wpl_cov_pf w_co2_cov_raw w_co2_cov_pf w_co2_wpl_cov_pf u_theta_v_cov_pf
  u_h2o_cov_pf u_h2o_wpl_cov_pf u_co2_cov_pf u_co2_wpl_cov_pf co2_mole_fraction
  w_theta_fw_cov_raw w_theta_fw_cov_pf w_theta_v_fw_cov_raw w_theta_v_fw_cov_pf u_theta_fw_cov_raw v_theta_fw_cov_raw u_theta_fw_cov_pf
- v_theta_fw_cov_pf theta_fw theta_v theta_v_fw t_air q theta_v_slow r rho_air_moist rho_air_dry rho_h2o""".split())
+ v_theta_fw_cov_pf q theta_v_slow r rho_air_moist rho_air_dry rho_h2o""".split())
+
+LEVEL_MEANS = ("theta_fw", "theta_v", "theta_v_fw", "t_air")
 
 
 def steady_state() -> dict[str, Column]:

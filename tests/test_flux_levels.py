@@ -8,7 +8,7 @@ from fluxloom.plans.flux_job import FluxOptions, flux_job
 
 PERIOD = 1_800_000_000
 STEP = 60_000_000
-KEEP = FluxOptions(period_us=PERIOD, missing_share=2.0, detrend="constant")
+KEEP = FluxOptions(period_us=PERIOD, missing_share=2.0, detrend="constant", level_means=True)
 
 
 def tower(spark, p_upper=99.0):
@@ -74,7 +74,7 @@ def test_a_barometer_off_the_standard_atmosphere_is_not_used(spark):
 
 def test_fine_wire_potential_temperatures(spark):
     for detrend in ("constant", "linear"):
-        row = by_key(flux_job(tower(spark), FluxOptions(period_us=PERIOD, missing_share=2.0, detrend=detrend)))[8.0, 1]
+        row = by_key(flux_job(tower(spark), FluxOptions(period_us=PERIOD, missing_share=2.0, detrend=detrend, level_means=True)))[8.0, 1]
         shift = 0.0098 * 5.0
         fw = [21.0 + math.sin(k * 1.7) for k in range(1, 31)]
         assert row.theta_fw == pytest.approx(sum(fw) / 30 + shift)
