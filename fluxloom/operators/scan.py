@@ -25,6 +25,10 @@ def _local(keys, order, ties=()):
     return W.partitionBy(*keys, CHUNK).orderBy(order, *ties)
 
 
+def _local_reversed(keys, order, ties=()):
+    return W.partitionBy(*keys, CHUNK).orderBy(*[F.col(c).desc() for c in (order, *ties)])
+
+
 def _summary_window(keys):
     return W.partitionBy(*keys).orderBy(CHUNK)
 
@@ -61,11 +65,13 @@ def brackets(df: DataFrame, keys, order: str, cols, chunk: int, ties=()) -> Data
     """Add ``before_<c>`` and ``after_<c>``: struct (o, x) of the nearest valid sample.
 
     *before* looks at the row itself and earlier rows, *after* at the row
-    itself and later rows; NULL where the series has no such sample.
+    itself and later rows, rows of equal order and *ties* on both sides; NULL
+    where the series has no such sample. Both scans run forward, *after* over
+    the reversed order: a frame that ends at the partition's last row is
+    evaluated anew for every row.
     """
     keys, ties = list(keys), list(ties)
-    w = _local(keys, order, ties)
-    back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    back, ahead = (w.rangeBetween(W.unboundedPreceding, W.currentRow) for w in (_local(keys, order, ties), _local_reversed(keys, order, ties)))
     marked = with_chunk(df, order, chunk)
     pair = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(order).alias("o"), F.col(c).alias("x")))
             for c in cols}
@@ -73,15 +79,14 @@ def brackets(df: DataFrame, keys, order: str, cols, chunk: int, ties=()) -> Data
     summary = marked.groupBy(*keys, CHUNK).agg(
         *[F.max_by(pair[c], at[c]).alias(f"_p_{c}") for c in cols],
         *[F.min_by(pair[c], at[c]).alias(f"_f_{c}") for c in cols])
-    sw = _summary_window(keys)
-    earlier, later = sw.rowsBetween(W.unboundedPreceding, -1), sw.rowsBetween(1, W.unboundedFollowing)
+    earlier, later = (w.rowsBetween(W.unboundedPreceding, -1) for w in (_summary_window(keys), W.partitionBy(*keys).orderBy(F.col(CHUNK).desc())))
     summary = summary.select(
         *keys, CHUNK,
         *[F.last(f"_p_{c}", ignorenulls=True).over(earlier).alias(f"_p_{c}") for c in cols],
-        *[F.first(f"_f_{c}", ignorenulls=True).over(later).alias(f"_f_{c}") for c in cols])
+        *[F.last(f"_f_{c}", ignorenulls=True).over(later).alias(f"_f_{c}") for c in cols])
     local = marked.select(
-        "*", *[F.last(pair[c], ignorenulls=True).over(back).alias(f"_b_{c}") for c in cols],
-        *[F.first(pair[c], ignorenulls=True).over(ahead).alias(f"_a_{c}") for c in cols])
+        "*", *[F.coalesce(pair[c], F.last(pair[c], ignorenulls=True).over(back)).alias(f"_b_{c}") for c in cols],
+        *[F.coalesce(pair[c], F.last(pair[c], ignorenulls=True).over(ahead)).alias(f"_a_{c}") for c in cols])
     out = _join_back(local, summary, keys)
     return out.select(
         *df.columns,

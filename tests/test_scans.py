@@ -110,3 +110,24 @@ def test_equal_stamps_of_two_loggers_both_stay(spark, tmp_path):
     paths = [f"{tmp_path}/A_1.dat", f"{tmp_path}/B_1.dat"]
     assert load_logger_files(spark, paths, ["u"]).count() == 1
     assert {r.source for r in load_logger_files(spark, paths, ["u"], source=r"/([AB])_1").collect()} == {"A", "B"}
+
+
+def test_brackets_match_brute_force_with_equal_stamps(spark):
+    rng = np.random.default_rng(8)
+    us = rng.integers(0, 400, 600)
+    x = [None if v < 0.5 else float(u) for u, v in zip(us, rng.random(600))]
+    rows = [("a", int(u), i, v) for i, (u, v) in enumerate(zip(us, x))]
+    df = spark.createDataFrame(rows, "key string, us long, i long, x double")
+    valid = np.array(sorted({u for _, u, _, v in rows if v is not None}))
+    for chunk in (37, 10**9):
+        for r in scan.brackets(df, ["key"], "us", ["x"], chunk).collect():
+            below, above = valid[valid <= r.us], valid[valid >= r.us]
+            assert (r.before_x.o if r.before_x else None) == (below[-1] if len(below) else None)
+            assert (r.after_x.o if r.after_x else None) == (above[0] if len(above) else None)
+
+
+def test_no_scan_frame_runs_to_the_end_of_its_partition(spark):
+    # such a frame costs the square of a chunk's rows
+    df = spark.createDataFrame([("a", 1, 1.0)], "key string, us long, x double")
+    plan = scan.brackets(df, ["key"], "us", ["x"], 10)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedpreceding$" in plan and "unboundedfollowing$" not in plan
