@@ -24,7 +24,8 @@ def to_date_vector(us: Column) -> dict[str, Column]:
     return {
         "year": F.year(ts), "doy": F.dayofyear(ts),
         "hhmm": F.hour(ts) * 100 + F.minute(ts),
-        "second": F.round(F.pmod(us, F.lit(60_000_000)) / 1e6, 2),
+        # rounded as hundredths: decimal rounding to two places takes other ties up than from_date_vector and SQL
+        "second": F.round(F.pmod(us, F.lit(60_000_000)) / 1e6 * 100) / 100,
     }
 
 

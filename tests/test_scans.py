@@ -131,3 +131,12 @@ def test_no_scan_frame_runs_to_the_end_of_its_partition(spark):
     df = spark.createDataFrame([("a", 1, 1.0)], "key string, us long, x double")
     plan = scan.brackets(df, ["key"], "us", ["x"], 10)._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "unboundedpreceding$" in plan and "unboundedfollowing$" not in plan
+
+
+def test_seconds_of_a_date_vector_round_as_hundredths(spark):
+    from fluxloom.functions.timecodes import to_date_vector
+
+    us = [145_000, 285_000, 1_005_000, 1_015_000, 59_994_999]
+    got = spark.createDataFrame([(i, u) for i, u in enumerate(us)], "i int, us long").select("i", to_date_vector(F.col("us"))["second"].alias("s"))
+    # each as np.floor(x * 100 + 0.5) / 100 in binary arithmetic, which SQL's ROUND(x, 2) is
+    assert [r.s for r in got.orderBy("i").collect()] == [float(np.floor(u / 1e6 * 100 + 0.5) / 100) for u in us]
