@@ -101,16 +101,20 @@ def toa5_header(spark: SparkSession, path) -> DataFrame:
     return row(r'^"?TIMESTAMP', "name").join(row(r'^"?TS"?,', "unit"), ["file", "pos"], "left")
 
 
-def load_logger_files(spark: SparkSession, paths, columns: list[str], source: str | None = None) -> DataFrame:
+def load_logger_files(spark: SparkSession, paths, columns: list[str], source: str | None = None, by_record: bool = False) -> DataFrame:
     """Several files as one table; of equal stamps of a source the first by (file, record) stays.
 
     *source* is a pattern whose group names the logger in a file's path; the
     name becomes the column ``source``. Without it all files are one logger's.
+    With *by_record* the record number tells samples of one stamp apart, and
+    only repeats of a record go.
     """
     df, keys = scan_toa5(spark, paths, columns), ["us"]
     if source:
         df, keys = df.withColumn("source", F.regexp_extract("file", source, 1)), ["source", "us"]
-    return df.groupBy(*keys).agg(F.min_by(F.struct("file", "record", *columns), F.struct("file", "record")).alias("_r")).select(*keys, "_r.*")
+    keys += ["record"] if by_record else []
+    rest = [c for c in ("file", "record", *columns) if c not in keys]
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("file", "record")).alias("_r")).select(*keys, "_r.*")
 
 
 def scan_stats_log(spark: SparkSession, path, columns: list[str]) -> DataFrame:

@@ -34,3 +34,26 @@ def test_entry_has_rows(spark):
 
 def test_every_oracle_has_a_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+@pytest.fixture(scope="module")
+def equal_stamps(spark, tmp_path_factory):
+    """Events of which three of one site share a stamp."""
+    from pyspark.sql import functions as F
+
+    root = tmp_path_factory.mktemp("ties")
+    rows = spark.read.parquet(f"{SF}/events.parquet").orderBy("event_id").filter("user_id % 2 = 0").limit(40)
+    first = rows.agg(F.min("ts")).first()[0]
+    rows.withColumn("ts", F.when(F.col("event_id") < 8, F.lit(first)).otherwise(F.col("ts"))).coalesce(1).write.parquet(f"{root}/events.parquet")
+    return str(root)
+
+
+@pytest.mark.parametrize("name", ["a04_multi_file_load"])
+def test_records_of_one_stamp_all_stay(spark, equal_stamps, name):
+    import duckdb
+
+    tied = duckdb.connect()
+    tied.execute(f"CREATE VIEW events AS SELECT * FROM '{equal_stamps}/events.parquet/*.parquet'")
+    want = tied.execute(contract.oracle_sql()[name]).df()
+    assert compare(contract.queries()[name](spark, equal_stamps).toPandas(), want) == "" and len(want)
+    assert tied.execute("SELECT COUNT(*) - COUNT(DISTINCT ts) FROM events").fetchone()[0] >= 2

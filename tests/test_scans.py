@@ -140,3 +140,14 @@ def test_seconds_of_a_date_vector_round_as_hundredths(spark):
     got = spark.createDataFrame([(i, u) for i, u in enumerate(us)], "i int, us long").select("i", to_date_vector(F.col("us"))["second"].alias("s"))
     # each as np.floor(x * 100 + 0.5) / 100 in binary arithmetic, which SQL's ROUND(x, 2) is
     assert [r.s for r in got.orderBy("i").collect()] == [float(np.floor(u / 1e6 * 100 + 0.5) / 100) for u in us]
+
+
+def test_samples_of_one_stamp_stay_by_record(spark, tmp_path):
+    from fluxloom.sources.text_scans import load_logger_files
+
+    (tmp_path / "A.dat").write_text('"2024-06-01 00:00:00",1,1.5\n"2024-06-01 00:00:00",2,2.5\n"2024-06-01 00:00:01",3,3.5\n')
+    (tmp_path / "B.dat").write_text('"2024-06-01 00:00:00",2,2.5\n"2024-06-01 00:00:01",3,3.5\n')
+    paths = [f"{tmp_path}/A.dat", f"{tmp_path}/B.dat"]
+    got = load_logger_files(spark, paths, ["u"], by_record=True)
+    assert sorted((r.record, r.u) for r in got.collect()) == [(1, 1.5), (2, 2.5), (3, 3.5)]
+    assert load_logger_files(spark, paths, ["u"]).count() == 2
