@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import cut_lineage
 from . import scan, sequence
 from .joins import linear_value
 from .quantiles import median_exceeds
@@ -39,12 +39,14 @@ def infer_unit(df: DataFrame, keys, temperature: str, pressure: str) -> DataFram
 MOST_PASSES = 20
 
 
-def sigma_spikes(df: DataFrame, keys, us: str, cols: dict[str, float], window_us: int, active: DataFrame | None = None) -> DataFrame:
+def sigma_spikes(df: DataFrame, keys, us: str, cols: dict[str, float], window_us: int, active: DataFrame | None = None,
+                 cut: Callable[[DataFrame], DataFrame] = lambda stats: stats, sides: bool = False) -> DataFrame:
     """Add ``<c>_spike``: beyond k standard deviations in one of its two half-overlapping windows.
 
     One pass. Every row belongs to two windows of length *window_us*; the
     window statistics are aggregates joined back, not sorted windows. With *active* (keys, _win) only those windows
-    are tested, and ``<c>_spike_a`` and ``<c>_spike_b`` tell which of the two flagged the row.
+    are tested, and with *sides* ``<c>_spike_a`` and ``<c>_spike_b`` tell which of the two flagged the row.
+    *cut* may write the statistics to a table.
     """
     keys = list(keys)
     half = window_us // 2
@@ -54,14 +56,14 @@ def sigma_spikes(df: DataFrame, keys, us: str, cols: dict[str, float], window_us
         both = both.join(active, [*keys, "_win"], "left_semi")
     stats = both.groupBy(*keys, "_win").agg(
         *[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"_s_{c}") for c in cols])
-    out = df
+    stats, out = cut(stats), df
     for name, start in (("a", slot), ("b", slot - half)):
         side = stats.select(*keys, "_win", *[F.col(f"_m_{c}").alias(f"_m{name}_{c}") for c in cols],
                             *[F.col(f"_s_{c}").alias(f"_s{name}_{c}") for c in cols])
         out = out.withColumn("_win", start).join(side, [*keys, "_win"], "left").drop("_win")
     hit = lambda c, k, n: F.coalesce(F.abs(F.col(c) - F.col(f"_m{n}_{c}")) >= k * F.nullif(F.col(f"_s{n}_{c}"), F.lit(0.0)), F.lit(False))
-    sides = [hit(c, k, n).alias(f"{c}_spike_{n}") for c, k in cols.items() for n in "ab"] if active is not None else []
-    return out.select(*df.columns, *[(hit(c, k, "a") | hit(c, k, "b")).alias(f"{c}_spike") for c, k in cols.items()], *sides)
+    each = [hit(c, k, n).alias(f"{c}_spike_{n}") for c, k in cols.items() for n in "ab"] if sides else []
+    return out.select(*df.columns, *[(hit(c, k, "a") | hit(c, k, "b")).alias(f"{c}_spike") for c, k in cols.items()], *each)
 
 
 def unflag_long_runs(df: DataFrame, keys, us: str, flag: str, longest: int, chunk: int) -> DataFrame:
@@ -89,30 +91,60 @@ def interpolate_spikes(df: DataFrame, keys, us: str, col: str, flag: str, chunk:
     return b.select(*df.columns, F.when(usable, repaired).alias(f"{col}_clean"))
 
 
+def _short_runs(flagged: DataFrame, keys, pos: str, longest: int, part: int = 1 << 16) -> DataFrame:
+    """Rows of *flagged* whose run of consecutive positions has at most *longest* rows.
+
+    Positions are dealt to parts with *longest* neighbours on both sides, which is as far as a run has to be seen.
+    """
+    keys = list(keys)
+    reach = lambda by: F.expr(f"({pos} + {by}) div {part}")
+    dealt = flagged.withColumn("_part", F.explode(F.sequence(reach(-longest), reach(longest))))
+    order = W.partitionBy(*keys, "_part").orderBy(pos)
+    dealt = dealt.withColumn("_run", F.col(pos) - F.row_number().over(order))
+    sized = dealt.withColumn("_size", F.count(F.lit(1)).over(W.partitionBy(*keys, "_part", "_run")))
+    return sized.filter((F.col("_size") <= longest) & (F.col("_part") == F.expr(f"{pos} div {part}"))).select(flagged.columns)
+
+
 def despike_passes(df: DataFrame, keys, us: str, cols: dict[str, float], window_us: int, longest: int,
-                   passes: int, chunk: int, cut, repair_keys=None) -> DataFrame:
+                   passes: int, chunk: int, cut, repair_keys=None, max_bad: float = 0.6) -> DataFrame:
     """Scalable repeated despiking: flag, keep long runs, repair; *cut* writes each pass to a table.
 
     It ends when a pass flags nothing, or after *passes*. A window in which a pass flags nothing is clean and not tested
     again. Repairs use the good neighbours of the same *repair_keys* (default *keys*). All windows of a pass see the same input, so the result does not depend
     on the order of windows; the order-dependent form is :func:`despike_to_convergence`.
+
+    Rows are numbered once per series, so runs are found among the flagged rows alone. Window statistics and flagged rows
+    are written before they are joined back: their size is known, and as long as they are small no pass shuffles its rows
+    for them.
     """
-    keys, names, out = list(keys), df.columns, df
-    half = window_us // 2
+    keys, names = list(keys), df.columns
+    repair, half = keys if repair_keys is None else list(repair_keys), window_us // 2
+    small = lambda rows: cut_lineage(rows, "despike-part")
     slots = {"a": F.expr(f"{us} - pmod({us}, {half}L)"), "b": F.expr(f"{us} - pmod({us}, {half}L) - {half}L")}
-    active = df.select(*keys, F.explode(F.array(*slots.values())).alias("_win")).distinct()
+    out = small(scan.row_index(df, keys, us, chunk, "_pos"))
+    active = None
     for _ in range(passes):
-        out = sigma_spikes(out, keys, us, cols, window_us, active)
-        for c in cols:
-            out = unflag_long_runs(out, keys, us, f"{c}_spike", longest, chunk)
-            out = interpolate_spikes(out, keys if repair_keys is None else repair_keys, us, c, f"{c}_spike", chunk)
-        hit = [F.when(reduce(or_, [F.col(f"{c}_spike") & F.col(f"{c}_spike_{n}") for c in cols]), at) for n, at in slots.items()]
-        out = cut(out.select(*[F.col(f"{c}_clean").alias(c) if c in cols else F.col(c) for c in names], F.array(*hit).alias("_hit")))
-        active = out.select(*keys, F.explode("_hit").alias("_win")).filter("_win IS NOT NULL").distinct()
-        out = out.select(*names)
-        if active.isEmpty():
+        tested = sigma_spikes(out, keys, us, cols, window_us, active, small, sides=True)
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), *[F.col(f"{c}_spike{x}").alias(f"f{x}") for x in ("", "_a", "_b")]) for c in cols])).alias("_at")
+        flagged = tested.select(*keys, us, "_pos", each).select(*keys, us, "_pos", "_at.*").filter("f")
+        short = _short_runs(flagged, [*keys, "c"], "_pos", longest)
+        mine = lambda c, f: F.coalesce(F.bool_or(F.when(F.col("c") == c, F.col(f))), F.lit(False))
+        windows = F.array_compact(F.array(*[F.when(F.bool_or(f"f_{n}"), at) for n, at in slots.items()]))
+        spikes = small(short.groupBy(*keys, us, "_pos").agg(windows.alias("_hit"), *[mine(c, "f").alias(f"_spike_{c}") for c in cols]))
+        active = spikes.select(*keys, F.explode("_hit").alias("_win")).distinct()
+        marked = out.join(spikes.drop(us, "_hit"), [*keys, "_pos"], "left")
+        good = marked.withColumns({f"_good_{c}": F.when(~F.coalesce(f"_spike_{c}", F.lit(False)), F.col(c)) for c in cols})
+        counts = small(good.groupBy(*repair).agg(F.count(F.lit(1)).alias("_n"), *[F.count(f"_good_{c}").alias(f"_k_{c}") for c in cols]))
+        b = scan.brackets(good, repair, us, [f"_good_{c}" for c in cols], chunk).join(counts, repair)
+
+        def clean(c: str) -> Column:
+            usable = (F.col(f"_k_{c}") >= 2) & (F.col("_n") - F.col(f"_k_{c}") <= max_bad * F.col("_n"))
+            return F.when(usable, F.when(F.col(f"_spike_{c}"), linear_value(f"_good_{c}", us)).otherwise(F.col(c)))
+
+        out = cut(b.select(*[clean(c).alias(c) if c in cols else F.col(c) for c in names], "_pos"))
+        if spikes.isEmpty():
             break
-    return out
+    return out.select(*names)
 
 
 def _short_outliers(block: np.ndarray, limits: np.ndarray, longest: int) -> np.ndarray:

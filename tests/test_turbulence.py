@@ -284,3 +284,58 @@ def test_linear_detrending_removes_a_trend_and_leaves_sigma(spark):
     residual = lambda x: x - np.polyval(np.polyfit(t, x, 1), t)
     assert row["w_ts_cov_raw"] == pytest.approx(np.mean(residual(w) * residual(ts)), rel=1e-9)
     assert row["w_sigma_raw"] == pytest.approx(np.std(w), rel=1e-9) and row["ts_sigma"] == pytest.approx(np.std(ts), rel=1e-9)
+
+
+def _despiked(pdf, cols, half, longest, passes, repair):
+    """Repeated despiking row by row: every pass flags from the same input, keeps long runs and repairs inside *repair*."""
+    out = pdf.sort_values("us").reset_index(drop=True)
+    active = {s for u in out.us for s in (u - u % half, u - u % half - half)}
+    for _ in range(passes):
+        start, new, hit = (out.us - out.us % half).to_numpy(), out.copy(), set()
+        for c, k in cols.items():
+            x, flag, by = out[c].to_numpy(float), np.zeros(len(out), bool), {}
+            for win in active:
+                rows = (start == win) | (start == win + half)
+                with np.errstate(all="ignore"):
+                    m, s = (np.nanmean(x[rows]), np.nanstd(x[rows])) if np.isfinite(x[rows]).any() else (0.0, 0.0)
+                by[win] = rows & (np.abs(x - m) >= k * s) & (s > 0)
+                flag |= by[win]
+            edges = np.flatnonzero(np.diff(np.r_[0, flag.astype(int), 0]))
+            for a, b in zip(edges[::2], edges[1::2]):
+                flag[a:b] &= b - a <= longest
+            hit |= {win for win in active if (by[win] & flag).any()}
+            for _, g in out.groupby(repair):
+                at = g.index.to_numpy()
+                ok = at[np.isfinite(x[at]) & ~flag[at]]
+                if len(ok) < 2 or len(at) - len(ok) > 0.6 * len(at):
+                    new.loc[at, c] = np.nan
+                else:
+                    bad = at[flag[at]]
+                    new.loc[bad, c] = np.interp(out.us[bad], out.us[ok], x[ok], left=np.nan, right=np.nan)
+        out, active = new, hit
+        if not active:
+            break
+    return out
+
+
+def test_despike_passes_match_brute_force_without_shuffling_rows_for_flags(spark):
+    from fluxloom.session import cut_lineage
+
+    rng = np.random.default_rng(4)
+    n = 900
+    pdf = pd.DataFrame({"us": np.arange(n) * 7 + rng.integers(0, 7, n), "u": rng.normal(size=n), "w": rng.normal(size=n)})
+    pdf["period_us"] = pdf.us // 700
+    pdf.loc[rng.random(n) < 0.1, "u"] = np.nan
+    pdf.loc[[0, 1, 200, 201, 202, 203, n - 1], "w"] = 12.0
+    pdf.loc[pdf.period_us == 3, "w"] = np.nan
+    df = spark.createDataFrame(pdf.assign(site="s")).withColumns({c: F.nanvl(c, F.lit(None)) for c in "uw"})
+    cols, seen = {"u": 1.9, "w": 1.7}, []
+    for repair in (None, ["site", "period_us"]):
+        cut = lambda d: seen.append(d._jdf.queryExecution().executedPlan().toString()) or cut_lineage(d, "despike")
+        got = qc.despike_passes(df, ["site"], "us", cols, 1400, 2, 3, 900, cut, repair).orderBy("us").toPandas()
+        want = _despiked(pdf, cols, 700, 2, 3, "period_us" if repair else np.zeros(n))
+        assert list(got.columns) == df.columns
+        for c in cols:
+            assert np.allclose(got[c].astype(float), want[c].astype(float), equal_nan=True)
+    # the rows of a pass are shuffled for its ordered scan alone; the other exchanges are of the scan's chunk summaries
+    assert len(seen) == 6 and max(plan.count("Exchange hashpartitioning") for plan in seen) <= 4
