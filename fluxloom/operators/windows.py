@@ -7,6 +7,8 @@ inside the partition that already holds the window: no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -39,18 +41,25 @@ def unpack(df: DataFrame, keys, cols, slot: str = "i") -> DataFrame:
     return df.select(*keys, F.posexplode(z).alias(slot, "_z")).select(*keys, slot, *[F.col(f"_z.{c}").alias(c) for c in cols])
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """*body* of *value*, which is evaluated once.
+
+    The optimizer inlines a column that a lambda refers to into the lambda, which would evaluate it anew for every
+    element; it does not inline a lambda's variable.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def array_mean(x: Column) -> Column:
     """Mean of the valid values of an array."""
-    ok = F.filter(x, lambda a: a.isNotNull())
-    return F.try_divide(F.aggregate(ok, F.lit(0.0), lambda s, a: s + a), F.size(ok))
+    return bound(F.filter(x, lambda a: a.isNotNull()),
+                 lambda ok: F.try_divide(F.aggregate(ok, F.lit(0.0), lambda s, a: s + a), F.size(ok)))
 
 
 def demeaned(df: DataFrame, cols) -> DataFrame:
     """Packed windows with each signal about its own mean."""
-    out = df.withColumns({f"_m_{c}": array_mean(F.col(c)) for c in cols})
-    minus = lambda m: lambda a: a - m
-    out = out.withColumns({c: F.transform(c, minus(F.col(f"_m_{c}"))) for c in cols})
-    return out.drop(*[f"_m_{c}" for c in cols])
+    centre = lambda x: bound(array_mean(x), lambda m: F.transform(x, lambda a: a - m))
+    return df.withColumns({c: bound(F.col(c), centre) for c in cols})
 
 
 def prepare(df: DataFrame, keys, us: str, cols, max_missing: float, chunk: int, order: str = "constant",
