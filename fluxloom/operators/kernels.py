@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from math import comb
 
 import numpy as np
@@ -96,15 +97,21 @@ def _wavelet(name: str, x: np.ndarray) -> np.ndarray:
 SUPPORT = {"mhat": 4.0, "ramp": 0.5, "haar": 0.5}
 
 
+@lru_cache(maxsize=64)
+def _wavelet_spectrum(name: str, a: float, half: int, fs: float, size: int) -> np.ndarray:
+    return np.conj(np.fft.rfft(_wavelet(name, np.arange(-half, half + 1) / fs / a), size))
+
+
 def wavelet_transform(x: np.ndarray, scales, fs: float, name: str = "mhat") -> np.ndarray:
     """T(a, b) = (1/a) sum x(t) g((t-b)/a) dt, zero beyond the ends; one row per scale."""
-    n, out = len(x), []
+    n, out, spectra = len(x), [], {}
     for a in np.atleast_1d(scales):
         half = int(np.ceil(SUPPORT[name] * a * fs))
-        g = _wavelet(name, np.arange(-half, half + 1) / fs / a)
         size = 1 << int(np.ceil(np.log2(n + 2 * half)))
-        # correlation with g: conjugate of its transform, shifted by the half support
-        full = np.fft.irfft(np.fft.rfft(x, size) * np.conj(np.fft.rfft(g, size)), size)
+        if size not in spectra:
+            spectra[size] = np.fft.rfft(x, size)
+        # correlation with the wavelet: conjugate of its transform, shifted by the half support
+        full = np.fft.irfft(spectra[size] * _wavelet_spectrum(name, float(a), half, fs, size), size)
         out.append(np.roll(full, half)[:n] / (fs * a))
     return np.array(out)
 
