@@ -356,8 +356,9 @@ def flux_job(samples: DataFrame, opts: FluxOptions, fits: DataFrame | None = Non
              humidity: DataFrame | None = None) -> DataFrame:
     """All product groups; *samples* carry site, height, us, period_us and the channels, *humidity* the levels' hygrometers."""
     # the state is period-sized and read twice; a written table is computed once and survives lost executors
-    state = cut_lineage(full_state(samples, opts, fits, slow, humidity), "flux-state")
-    sums = period_sums(sub_period_sums(primes(samples, state), opts))
+    state = cut_lineage(full_state(samples, opts, fits, slow, humidity), "flux-state", wide=True)
+    # the one pass over the samples with its many sums, compiled as a whole
+    sums = period_sums(cut_lineage(sub_period_sums(primes(samples, state), opts), "flux-sums", wide=True))
     return blank(products(sums.join(state, KEY), opts))
 
 

@@ -60,18 +60,24 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+def cut_lineage(df: DataFrame, label: str, compression: str = "snappy", wide: bool = False) -> DataFrame:
     """Write *df* to the shared scratch folder and read it back.
 
     The written table survives the loss of any executor, and every consumer
-    reads the same rows.
+    reads the same rows. *wide* compiles stages of up to 1,000 columns, which
+    Spark leaves uncompiled beyond 100: for aggregates of hundreds of sums.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")  # the table replaces the shuffle files, which go when it is written
+    settings = {CLEANUP: "true"}  # the table replaces the shuffle files, which go when it is written
+    if wide:
+        settings["spark.sql.codegen.maxFields"] = "1000"
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
         df.write.parquet(path, compression=compression)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from fluxloom.checks.registry import Tables
 from fluxloom.operators import coherent, lags, spectral, windows
 from fluxloom.operators.kernels import _wavelet, wavelet_transform
-from fluxloom.plans import coherent_job
+from fluxloom.plans import coherent_job, flux_job as flux
+from fluxloom.session import cut_lineage
 
 
 def _plan(df) -> str:
@@ -88,3 +89,13 @@ def test_wavelet_transform_is_the_direct_sum():
                 for a in scales]
         for _ in range(2):
             assert np.allclose(wavelet_transform(x, scales, fs, name), want)
+
+
+def test_the_wide_sums_of_the_flux_job_are_compiled(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(flux, "cut_lineage", lambda df, label, **how: calls.append((label, how)) or df)
+    flux.flux_job(Tables(spark, "/root/testdata/sf0.001").tower(), flux.FluxOptions(period_us=86_400_000_000))
+    assert calls == [("flux-state", {"wide": True}), ("flux-sums", {"wide": True})]
+    before = spark.conf.get("spark.sql.codegen.maxFields")
+    assert cut_lineage(spark.range(3), "wide", wide=True).count() == 3
+    assert spark.conf.get("spark.sql.codegen.maxFields") == before
